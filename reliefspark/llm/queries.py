@@ -6,21 +6,34 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .ann import nearest
 from .exact_dedup import exact_duplicates
+from .license_scan import scan
+from .lm import backoff_scores
 from .packing import pack_documents
+from .piece_bpe import tokenize
 from .quality import quality_scores
 from .simhash import near_duplicates
 from .substring_dedup import substring_dedup
+from .warc import roundtrip
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan(_table(spark, sf_dir, "documents"))
+
+
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op3_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(_table(spark, sf_dir, "embeddings"))
+
+
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(_table(spark, sf_dir, "documents"))
 
@@ -29,6 +42,10 @@ def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"), words=3, distance=2)
 
 
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return roundtrip(_table(spark, sf_dir, "pages"))
+
+
 def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
@@ -37,6 +54,14 @@ def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokenize(_table(spark, sf_dir, "documents"), with_ids=False)
+
+
+def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return backoff_scores(_table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -44,7 +69,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_exact_dedup, op4_best_fit_packing, op5_simhash_near_dedup, op7_quality_classifier, op8_substring_dedup, pipeline)
+    f.__name__: f for f in (op1_license_scan, op2_exact_dedup, op3_nearest_neighbours, op4_best_fit_packing, op5_simhash_near_dedup, op6_warc, op7_quality_classifier, op8_substring_dedup, op9_sentencepiece, op10_lm_scoring, pipeline)
 }
 
 ORACLE_SQL: dict[str, str] = {
