@@ -1,18 +1,26 @@
 """Substring dedup: content-defined chunks by a gear rolling hash, compared by digest; runs of chunks that were seen
-before are cut out."""
+before are cut out.
+
+Documents travel in blocks of whole rows. A block sends its distinct digests with the smallest doc_id that has them to the
+part of the digest table that owns them, and gets back those that a smaller doc_id of another block has; so a passage
+that a third of all documents share is one entry per block, and texts move once."""
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
-from .common import materialize, small
+from .common import materialize
+from .packed import pack_ints, pack_sorted, slices, unpack_ints, unpack_sorted
 
 #: Mean words of a chunk within a line.
 MEAN_WORDS = 6
@@ -21,6 +29,12 @@ MEAN_WORDS = 6
 MIN_WORDS = 16
 #: Bytes without white space after which a chunk may also end within a word.
 LONG_WORD = 64
+#: Bytes of text in a block, unless one row has more.
+BLOCK_BYTES = 8 << 20
+#: Digests that one part of the digest table takes on average.
+PART_ENTRIES = 1_000_000
+#: Rows without a doc_id count as one document after all others.
+LAST = np.iinfo(np.int64).max
 
 
 def _gear() -> np.ndarray:
@@ -65,59 +79,171 @@ def chunk_ends(data: bytes, mean_words: int = MEAN_WORDS) -> tuple[np.ndarray, n
     return ends, np.cumsum(begins)[ends - 1]
 
 
-def chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mean_words: int = MEAN_WORDS) -> DataFrame:
-    """(doc_id, k, start, size, words, digest, check) of every chunk; digest and check are parts of one 128-bit hash of the
-    chunk without the white space at its end."""
-    names = ["doc_id", "k", "start", "size", "words", "digest", "check"]
+def digests(data: bytes, ends: np.ndarray) -> np.ndarray:
+    """64-bit XXH3 of each chunk without the white space at its end."""
+    digest = xxhash.xxh3_64_intdigest
+    starts = [0, *ends[:-1].tolist()]
+    return np.array([digest(data[s:e].rstrip()) for s, e in zip(starts, ends.tolist(), strict=True)], np.uint64)
+
+
+def _read(block: bytes) -> pa.Table:
+    return pa.ipc.open_stream(block).read_all()
+
+
+def _texts(table: pa.Table, text_col: str) -> list[bytes]:
+    return [x or b"" for x in table.column(text_col).cast(pa.binary()).to_pylist()]
+
+
+def _ids(table: pa.Table, id_col: str) -> np.ndarray:
+    return np.array([LAST if x is None else int(x) for x in table.column(id_col).to_pylist()], np.int64)
+
+
+class _Chunks:
+    """The chunks of a block's texts: document, end, words and digest of each, and the block's distinct digests with the
+    smallest doc_id that has them."""
+
+    def __init__(self, table: pa.Table, id_col: str, text_col: str, mean_words: int):
+        self.texts, self.ids = _texts(table, text_col), _ids(table, id_col)
+        ends, words, keys = [], [], []
+        for t in self.texts:
+            e, w = chunk_ends(t, mean_words)
+            ends.append(e)
+            words.append(np.diff(w, prepend=0))
+            keys.append(digests(t, e) if len(e) else np.zeros(0, np.uint64))
+        self.sizes = np.fromiter(map(len, ends), np.int64, len(ends))
+        self.ends, self.words = np.concatenate([*ends, np.zeros(0, np.int64)]), np.concatenate([*words, np.zeros(0, np.int64)])
+        self.doc = np.repeat(np.arange(len(ends)), self.sizes)
+        self.keys, self.which = np.unique(np.concatenate([*keys, np.zeros(0, np.uint64)]), return_inverse=True)
+        self.first = np.full(len(self.keys), LAST)
+        np.minimum.at(self.first, self.which, self.ids[self.doc])
+
+
+def _spans(c: _Chunks, min_words: int) -> list[list[tuple[int, int, int, int]]]:
+    """(start, end, words, first_doc_id) of the repeated runs of each text; ends and starts in bytes."""
+    first = c.first[c.which]
+    again = first < c.ids[c.doc]
+    # a chunk of which this document is the first holder is repeated after its first place here
+    own = np.flatnonzero(~again)
+    pair = np.stack([c.doc[own], c.which[own]], axis=1)
+    if len(own):
+        _, place = np.unique(pair[:, 0] * (len(c.keys) + 1) + pair[:, 1], return_index=True)
+        later = np.ones(len(own), bool)
+        later[place] = False
+        again[own[later]] = True
+    starts = np.append(0, c.ends[:-1])
+    heads = np.cumsum(c.sizes) - c.sizes
+    starts[heads[c.sizes > 0]] = 0
+    edge = again & np.append(True, ~again[:-1] | (c.doc[1:] != c.doc[:-1])) if len(again) else again
+    run = np.cumsum(edge) - 1
+    out: list[list[tuple[int, int, int, int]]] = [[] for _ in c.texts]
+    at = np.flatnonzero(again)
+    if len(at):
+        cut = np.flatnonzero(np.append(True, run[at][1:] != run[at][:-1]))
+        words = np.add.reduceat(c.words[at], cut)
+        least = np.minimum.reduceat(first[at], cut)
+        last = np.append(cut[1:], len(at)) - 1
+        for k in np.flatnonzero(words >= min_words).tolist():
+            a, e = at[cut[k]], at[last[k]]
+            out[c.doc[a]].append((int(starts[a]), int(c.ends[e]), int(words[k]), int(least[k])))
+    return out
+
+
+def substring_dedup(docs: DataFrame, min_words: int = MIN_WORDS, mean_words: int = MEAN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs, all columns, text without its repeated spans, and these as column repeated_spans: byte ranges of the text as it
+    was, that repeat text of a smaller doc_id (first_doc_id), or an earlier part of the same text, in chunks that add up
+    to min_words words or more.
+
+    Of equal passages the smallest doc_id keeps its own. Rows that repeat a doc_id count as one document and are cut
+    alike. Rows with a null doc_id count as one document after all others; first_doc_id is null for it. Null and empty
+    texts stay as they are, with no spans. A column repeated_spans of docs is replaced. Other columns are carried along.
+    An empty table stays empty."""
+    docs = docs.drop("repeated_spans")
+
+    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, k, held, size = TaskContext.get().partitionId(), 0, [], 0
+        options = pa.ipc.IpcWriteOptions(compression="zstd")
+
+        def out() -> pa.RecordBatch:
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, held[0].schema, options=options) as w:
+                for b in held:
+                    w.write_batch(b)
+            return pa.RecordBatch.from_arrays([pa.array([(part << 32) + k]), pa.array([sink.getvalue().to_pybytes()], pa.binary()), pa.array([size])], ["block", "rows", "size"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        digest = xxhash.xxh3_128_digest
         for b in batches:
-            ids, parts, n = b.column(0).to_pylist(), [], 0
-            for i, x in zip(ids, b.column(1).to_pylist(), strict=True):
-                if i is None or not x:
-                    continue
-                ends, words = chunk_ends(x, mean_words)
-                starts = np.append(0, ends[:-1])
-                d = np.frombuffer(b"".join([digest(x[s:e].rstrip()) for s, e in zip(starts.tolist(), ends.tolist(), strict=True)]), "<i8").reshape(-1, 2)
-                parts.append((np.full(len(ends), i, np.int64), np.arange(len(ends), dtype=np.int32), starts.astype(np.int32), (ends - starts).astype(np.int32), np.diff(words, prepend=0).astype(np.int32), d[:, 0], (d[:, 1] >> 32).astype(np.int32)))
-                n += len(ends)
-                if n > 200_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*parts, strict=True)], names)
-                    parts, n = [], 0
-            if parts:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*parts, strict=True)], names)
-
-    src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").cast("binary").alias("t"))
-    return src.mapInArrow(run, "doc_id long, k int, start int, size int, words int, digest long, check int")
+            lengths = pa.compute.fill_null(pa.compute.binary_length(b.column(b.schema.get_field_index(text_col))), 0).to_numpy(zero_copy_only=False)
+            lo, own = 0, 0
+            for r, n in enumerate(lengths.tolist()):
+                if size + own and size + own + n > BLOCK_BYTES:
+                    if r > lo:
+                        held.append(b.slice(lo, r - lo))
+                    size += own
+                    yield out()
+                    held, size, k, lo, own = [], 0, k + 1, r, 0
+                own += n
+            if b.num_rows > lo:
+                held.append(b.slice(lo))
+                size += own
+        if held:
+            yield out()
+
+    stored = materialize(docs.mapInArrow(blocks, "block long, rows binary, size long"), "text-blocks")
+    size = stored.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
+    lead = min(20, max(1, math.ceil(math.log2(max(2, size / (4 * mean_words) / PART_ENTRIES)))))
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for block, rows in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                c = _Chunks(_read(rows), id_col, text_col, mean_words)
+                cuts = slices(c.keys, 64, lead)
+                columns = [pa.array([block] * len(cuts), pa.int64()), pa.array([p for p, _, _ in cuts], pa.int32()), pa.array([pack_sorted(c.keys[a:e]) for _, a, e in cuts], pa.binary()), pa.array([pack_ints(c.first[a:e]) for _, a, e in cuts], pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, ["block", "part", "keys", "docs"])
+
+    def answer(table: pa.Table) -> pa.Table:
+        """For each block those of its digests that a smaller doc_id has elsewhere."""
+        keys, first = [unpack_sorted(x) for x in table["keys"].to_pylist()], [unpack_ints(x) for x in table["docs"].to_pylist()]
+        every, least = np.concatenate(keys), np.concatenate(first)
+        order = np.argsort(every, kind="stable")
+        new = np.flatnonzero(np.append(True, np.diff(every[order]) != 0))
+        group = np.empty(len(every), np.int64)
+        group[order] = np.repeat(np.arange(len(new)), np.diff(np.append(new, len(every))))
+        lowest = np.minimum.reduceat(least[order], new)[group]
+        rows, at = [], 0
+        for block, k, f in zip(table["block"].to_pylist(), keys, first, strict=True):
+            low = lowest[at : at + len(k)]
+            at += len(k)
+            less = np.flatnonzero(low < f)
+            if len(less):
+                rows.append((block, pack_sorted(k[less]), pack_ints(low[less])))
+        return pa.table([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.binary())], ["block", "keys", "docs"])
+
+    span = StructType([StructField(n, LongType()) for n in ("start", "end", "words", "first_doc_id")])
+    schema = StructType([*docs.schema.fields, StructField("repeated_spans", ArrayType(span))])
+    kind = pa.list_(pa.struct([(n, pa.int64()) for n in span.names]))
+
+    def cut(mine: pa.Table, replies: pa.Table) -> pa.Table:
+        table = _read(mine["rows"][0].as_py())
+        c = _Chunks(table, id_col, text_col, mean_words)
+        for k, d in zip(replies["keys"].to_pylist(), replies["docs"].to_pylist(), strict=True):
+            c.first[np.searchsorted(c.keys, unpack_sorted(k))] = unpack_ints(d)
+        spans = _spans(c, min_words)
+        texts = []
+        for old, t, ranges in zip(table.column(text_col).to_pylist(), c.texts, spans, strict=True):
+            if not ranges:
+                texts.append(old)
+                continue
+            edges = [0, *(x for r in ranges for x in r[:2]), len(t)]
+            texts.append(b"".join(t[a:e] for a, e in zip(edges[::2], edges[1::2], strict=True)).decode())
+        names = table.column_names
+        table = table.set_column(names.index(text_col), names[names.index(text_col)], pa.array(texts, pa.string()))
+        found = [[dict(zip(span.names, (*r[:3], None if r[3] == LAST else r[3]), strict=True)) for r in s] or None for s in spans]
+        return table.append_column("repeated_spans", pa.array(found, kind))
+
+    asked = stored.select("block", "rows").mapInArrow(ask, "block long, part int, keys binary, docs binary")
+    replies = asked.groupBy("part").applyInArrow(answer, "block long, keys binary, docs binary")
+    return stored.select("block", "rows").groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(cut, schema)
 
 
 def repeated_spans(docs: DataFrame, min_words: int = MIN_WORDS, mean_words: int = MEAN_WORDS) -> DataFrame:
-    """(doc_id, start, end, words, first_doc_id): byte ranges of docs.text that repeat text of a smaller doc_id, or an
-    earlier part of the same text, in chunks that add up to min_words words or more."""
-    every = materialize(chunks(docs, mean_words=mean_words), "chunks")
-    seen = every.groupBy("digest", "check").agg(F.min("doc_id").alias("first_doc_id"), F.count("*").alias("n")).where("n > 1")
-    seen = materialize(seen.drop("n"), "seen")
-    again = every.join(small(seen, seen.count()), ["digest", "check"]).select("doc_id", "k", "start", "size", "words", "digest", "check", "first_doc_id").distinct()
-    # in the first document only the first place is no repeat
-    place = Window.partitionBy("digest", "check", "doc_id").orderBy("start")
-    own = again.where("doc_id = first_doc_id").withColumn("place", F.row_number().over(place)).where("place > 1").drop("place")
-    again = again.where("doc_id <> first_doc_id").unionByName(own)
-    run = again.withColumn("run", F.col("k") - F.row_number().over(Window.partitionBy("doc_id").orderBy("k")))
-    spans = run.groupBy("doc_id", "run").agg(F.min("start").alias("start"), F.max(F.col("start") + F.col("size")).alias("end"), F.sum("words").alias("words"), F.min("first_doc_id").alias("first_doc_id"))
-    return spans.where(F.col("words") >= min_words).select("doc_id", "start", "end", "words", "first_doc_id")
-
-
-def substring_dedup(docs: DataFrame, min_words: int = MIN_WORDS, mean_words: int = MEAN_WORDS) -> DataFrame:
-    """docs, all columns, text without its repeated spans, and these as column repeated_spans (null if none).
-
-    doc_id names a row: rows that repeat one whole are cut alike. Null and empty texts, and rows with a null doc_id,
-    stay as they are. A column repeated_spans of docs is replaced. Between equal passages the smallest doc_id keeps its own."""
-    spans = repeated_spans(docs, min_words, mean_words)
-    by_doc = spans.groupBy(F.col("doc_id").alias("__doc")).agg(F.sort_array(F.collect_list(F.struct("start", "end", "words", "first_doc_id"))).alias("repeated_spans"))
-    by_doc = materialize(by_doc, "spans")
-    joined = docs.drop("repeated_spans").join(by_doc, docs["doc_id"] == by_doc["__doc"], "left").drop("__doc")
-    stay = F.expr("transform(sequence(0, size(repeated_spans)), i -> named_struct('s', if(i = 0, 0, repeated_spans[i - 1].end), 'e', if(i = size(repeated_spans), octet_length(text), repeated_spans[i].start)))")
-    joined = joined.withColumn("__stay", F.when(F.col("repeated_spans").isNotNull(), stay))
-    cut = F.expr("if(__stay is null, text, array_join(transform(filter(__stay, p -> p.e > p.s), p -> decode(substring(cast(text as binary), p.s + 1, p.e - p.s), 'UTF-8')), ''))")
-    return joined.withColumn("text", cut).drop("__stay").select(*[c for c in docs.columns if c != "repeated_spans"], "repeated_spans")
+    """(doc_id, start, end, words, first_doc_id) of every span that substring_dedup cuts out."""
+    return substring_dedup(docs, min_words, mean_words).select("doc_id", F.inline("repeated_spans"))
