@@ -9,19 +9,18 @@ is one entry per block, however many documents hold it."""
 from __future__ import annotations
 
 import math
-import struct
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize
+from .packed import pack_ints, pack_sorted, slices, unpack_ints, unpack_sorted
 
 #: Longest n-gram: two words. Each order more sends about twice the input in 64-bit hashes.
 ORDER = 2
@@ -30,9 +29,11 @@ ALPHA = 0.4
 #: A word that no other document has counts as this often.
 UNSEEN = 0.5
 #: Words of a block, as long as no single document has more.
-BLOCK_WORDS = 1_000_000
+BLOCK_WORDS = 1_500_000
 #: Entries of one part of the count table on average.
-PART_ENTRIES = 2_000_000
+PART_ENTRIES = 1_500_000
+#: Bits of an n-gram's hash beyond what its number takes: one n-gram in 2**21 or fewer shares a count, at every size.
+SPARE_BITS = 21
 MEMO_WORDS = 500_000
 BEGIN = np.uint64(0x9E3779B97F4A7C15)
 
@@ -73,40 +74,19 @@ def grams(words: np.ndarray, starts: np.ndarray, order: int) -> list[np.ndarray]
     return out
 
 
-def pack_sorted(a: np.ndarray) -> bytes:
-    """Ascending 64-bit integers: differences, byte planes, Zstandard."""
-    d = np.diff(a.astype("<u8"), prepend=np.uint64(0))
-    return struct.pack("<Q", len(a)) + zstandard.ZstdCompressor(1).compress(d.view(np.uint8).reshape(-1, 8).T.tobytes())
-
-
-def unpack_sorted(b: bytes) -> np.ndarray:
-    (n,) = struct.unpack_from("<Q", b)
-    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(b[8:]), np.uint8).reshape(8, n)
-    return np.cumsum(np.ascontiguousarray(planes.T).view("<u8").reshape(-1), dtype=np.uint64)
-
-
-def pack_ints(a: np.ndarray) -> bytes:
-    a = a.astype("<u4" if not len(a) or int(a.max()) < 1 << 32 else "<u8")
-    width = a.dtype.itemsize
-    return struct.pack("<BQ", width, len(a)) + zstandard.ZstdCompressor(1).compress(a.view(np.uint8).reshape(-1, width).T.tobytes())
-
-
-def unpack_ints(b: bytes) -> np.ndarray:
-    width, n = struct.unpack_from("<BQ", b)
-    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(b[9:]), np.uint8).reshape(width, n)
-    return np.ascontiguousarray(planes.T).view(f"<u{width}").reshape(-1).astype(np.int64)
-
-
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Documents to blocks: (block, ids, sizes, vocabulary, words)."""
+    """Documents to blocks: ids, words per document, hashes of the distinct words, their numbers, and the words as numbers."""
     memo = _WordHash()
     part, k = TaskContext.get().partitionId(), 0
 
     def out(ids: list, texts: list[np.ndarray]) -> pa.RecordBatch:
-        vocabulary, words = np.unique(np.concatenate(texts), return_inverse=True)
+        vocabulary, words, often = np.unique(np.concatenate(texts), return_inverse=True, return_counts=True)
+        # frequent words get small numbers, which pack better
+        rank = np.empty(len(vocabulary), np.int64)
+        rank[np.argsort(-often, kind="stable")] = np.arange(len(vocabulary))
         sizes = np.fromiter(map(len, texts), np.int64, len(texts))
-        values = [[(part << 32) + k], [ids], [pack_ints(sizes)], [pack_sorted(vocabulary)], [pack_ints(words)], [int(sizes.sum())]]
-        return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(values, (pa.int64(), pa.list_(pa.int64()), pa.binary(), pa.binary(), pa.binary(), pa.int64()), strict=True)], ["block", "ids", "sizes", "vocabulary", "words", "n"])
+        values = [[(part << 32) + k], [ids], [pack_ints(sizes)], [pack_sorted(vocabulary)], [pack_ints(rank)], [pack_ints(rank[words])], [int(sizes.sum())]]
+        return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(values, (pa.int64(), pa.list_(pa.int64()), pa.binary(), pa.binary(), pa.binary(), pa.binary(), pa.int64()), strict=True)], ["block", "ids", "sizes", "vocabulary", "rank", "words", "n"])
 
     ids, texts, n = [], [], 0
     for b in batches:
@@ -123,7 +103,7 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield out(ids, texts)
 
 
-def _expanded(sizes: bytes, vocabulary: bytes, words: bytes, order: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
+def _expanded(sizes: bytes, vocabulary: bytes, rank: bytes, words: bytes, order: int, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
     """Words per document, document of each place, begin places, and the n-grams at each place (begin marks too)."""
     n = unpack_ints(sizes)
     total = int(n.sum()) + len(n)
@@ -132,9 +112,10 @@ def _expanded(sizes: bytes, vocabulary: bytes, words: bytes, order: int) -> tupl
     inner = np.ones(total, bool)
     inner[starts] = False
     h[starts] = BEGIN
-    w = unpack_ints(words)
-    h[inner] = unpack_sorted(vocabulary)[w] if len(w) else w
-    return n, np.repeat(np.arange(len(n)), n + 1), starts, grams(h, starts, order)
+    by_rank = np.empty(len(r := unpack_ints(rank)), np.uint64)
+    by_rank[r] = unpack_sorted(vocabulary)
+    h[inner] = by_rank[unpack_ints(words)]
+    return n, np.repeat(np.arange(len(n)), n + 1), starts, [g >> np.uint64(64 - bits) for g in grams(h, starts, order)]
 
 
 def _distinct(levels: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -152,16 +133,16 @@ def backoff_scores(docs: DataFrame, order: int = ORDER, alpha: float = ALPHA, id
     the other documents, where an unseen word counts UNSEEN times. Null and empty texts score 0 with no words. Rows that
     repeat an id are documents of their own and score each other; null ids are scored. Other columns are not looked at."""
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").cast("binary").alias("t"))
-    blocks = materialize(src.mapInArrow(_blocks, "block long, ids array<long>, sizes binary, vocabulary binary, words binary, n long"), "blocks")
+    blocks = materialize(src.mapInArrow(_blocks, "block long, ids array<long>, sizes binary, vocabulary binary, rank binary, words binary, n long"), "blocks")
     n_words = blocks.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    bits = min(64, math.ceil(math.log2(max(2, n_words * order))) + SPARE_BITS)
     lead = min(20, max(1, math.ceil(math.log2(max(2, n_words * order * 0.7 / PART_ENTRIES)))))
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for block, sizes, vocabulary, words in zip(*(b.column(k).to_pylist() for k in range(4)), strict=True):
-                keys, counts = _distinct(_expanded(sizes, vocabulary, words, order)[3])
-                cut = np.searchsorted(keys, np.arange(1, 1 << lead, dtype=np.uint64) << np.uint64(64 - lead))
-                ranges = [(p, a, e) for p, (a, e) in enumerate(zip([0, *cut.tolist()], [*cut.tolist(), len(keys)], strict=True)) if e > a]
+            for block, *stored in zip(*(b.column(k).to_pylist() for k in range(5)), strict=True):
+                keys, counts = _distinct(_expanded(*stored, order, bits)[3])
+                ranges = slices(keys, bits, lead)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([block] * len(ranges), pa.int64()), pa.array([p for p, _, _ in ranges], pa.int32()), pa.array([pack_sorted(keys[a:e]) for _, a, e in ranges], pa.binary()), pa.array([pack_ints(counts[a:e]) for _, a, e in ranges], pa.binary())],
                     ["block", "part", "grams", "counts"],
@@ -189,7 +170,7 @@ def backoff_scores(docs: DataFrame, order: int = ORDER, alpha: float = ALPHA, id
         if not len(mine):
             return pd.DataFrame({"doc_id": pd.array([], "Int64"), "n_words": pd.array([], "int64"), "log10_score": pd.array([], "float64")})
         row = mine.iloc[0]
-        sizes, doc, starts, levels = _expanded(row["sizes"], row["vocabulary"], row["words"], order)
+        sizes, doc, starts, levels = _expanded(row["sizes"], row["vocabulary"], row["rank"], row["words"], order, bits)
         keys, totals = _distinct(levels)
         for g, t in zip(replies["grams"], replies["totals"], strict=True):
             totals[np.searchsorted(keys, unpack_sorted(g))] = unpack_ints(t)
@@ -216,7 +197,7 @@ def backoff_scores(docs: DataFrame, order: int = ORDER, alpha: float = ALPHA, id
         ids = pd.array([None if x is None or x != x else int(x) for x in row["ids"]], "Int64")
         return pd.DataFrame({"doc_id": ids, "n_words": sizes, "log10_score": sums})[names]
 
-    asked = blocks.select("block", "sizes", "vocabulary", "words").mapInArrow(ask, "block long, part int, grams binary, counts binary")
+    asked = blocks.select("block", "sizes", "vocabulary", "rank", "words").mapInArrow(ask, "block long, part int, grams binary, counts binary")
     replies = asked.groupBy("part").applyInPandas(answer, "block long, grams binary, totals binary")
     scored = blocks.groupBy("block").cogroup(replies.groupBy("block")).applyInPandas(score, "doc_id long, n_words long, log10_score double")
     return scored.withColumn("mean_log10", F.when(F.col("n_words") > 0, F.col("log10_score") / F.col("n_words")))
