@@ -8,6 +8,7 @@ Candidates of all tables are merged and ranked by exact scores."""
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -19,7 +20,7 @@ from pyspark.sql.window import Window
 from .common import materialize
 
 #: Tables, projections of each, width of a slot in standard deviations of a projection.
-TABLES, PROJECTIONS, WIDTH = 6, 6, 1.2
+TABLES, PROJECTIONS, WIDTH = 6, 6, 1.5
 #: Chance of a neighbour in the buckets that one table's probes visit.
 SUCCESS = 0.4
 #: Vectors in one block of buckets on average.
@@ -78,22 +79,34 @@ class ProbeIndex:
         powers = self.slots ** np.arange(self.a.shape[2])
         return np.stack([(self._slot(x, t) * powers).sum(axis=1) for t in range(len(self.a))], axis=1)
 
-    def probes(self, q: np.ndarray, t: int, success: float) -> np.ndarray:
-        """Buckets of table t for one query, in order of estimated success."""
+    def slot_gains(self, q: np.ndarray, t: int) -> tuple[np.ndarray, np.ndarray]:
+        """(slots, projections): log chance that a neighbour of q is in a slot of table t, and that less the log share of all
+        vectors there."""
         edge = (np.arange(self.slots + 1) - self.slots // 2)[:, None] - self.shift[t][None, :]
         edge = edge * self.width
         edge[0], edge[-1] = -np.inf, np.inf
-        p = q @ self.a[t]
-        here = np.diff(_phi((edge - self.beta * p) / self.rest), axis=0)
-        base = np.diff(_phi(edge / self.sigma), axis=0)
-        log_here, log_base = np.log(here + 1e-12), np.log(base + 1e-12)
+        here = np.log(np.diff(_phi((edge - self.beta * (q @ self.a[t])) / self.rest), axis=0) + 1e-12)
+        return here, here - np.log(np.diff(_phi(edge / self.sigma), axis=0) + 1e-12)
+
+    def last_gain(self, q: np.ndarray, t: int, success: float) -> float:
+        """Of all buckets of table t in order of estimated success: the gain of the last that is visited."""
+        here, gains = self.slot_gains(q, t)
         chance, gain = np.zeros(1), np.zeros(1)
-        for j in range(self.a.shape[2] - 1, -1, -1):  # the first projection is the lowest digit of a bucket
-            chance = (chance[:, None] + log_here[None, :, j]).reshape(-1)
-            gain = (gain[:, None] + (log_here - log_base)[None, :, j]).reshape(-1)
+        for j in range(self.a.shape[2]):
+            chance = (chance[:, None] + here[None, :, j]).reshape(-1)
+            gain = (gain[:, None] + gains[None, :, j]).reshape(-1)
         order = np.argsort(-gain, kind="stable")
         reached = np.cumsum(np.exp(chance[order]))
-        return order[: int(np.searchsorted(reached, success)) + 1]
+        return float(gain[order[min(len(order) - 1, int(np.searchsorted(reached, success)))]])
+
+    def visits(self, q: np.ndarray, last: np.ndarray, buckets: np.ndarray, t: int) -> np.ndarray:
+        """(queries, buckets): whether each query visits each bucket of table t."""
+        digits = np.stack([buckets // self.slots**j % self.slots for j in range(self.a.shape[2])], axis=1)
+        out = np.zeros((len(q), len(buckets)), bool)
+        for r, x in enumerate(q):
+            gains = self.slot_gains(x, t)[1]
+            out[r] = gains[digits, np.arange(digits.shape[1])].sum(axis=1) >= last[r] - 1e-9
+        return out
 
 
 def _valid(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
@@ -103,43 +116,34 @@ def _valid(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
     return v.where(F.size("v") == (sizes[0]["n"] if sizes else 0)).distinct()
 
 
-def _block_search(near: int):
-    """For a cogroup of (block: bucket, table, id, v, members) and (block: qid, v, tables and buckets that it probes)."""
+def _block_search(index: ProbeIndex | None, near: int):
+    """For a cogroup of (block, table, bucket, id, v, members) and (block, qid, v, gain of the last bucket by table; None: all)."""
 
     def run(base: pd.DataFrame, asks: pd.DataFrame) -> pd.DataFrame:
         out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         if len(base) and len(asks):
-            key = base["bucket"].to_numpy()
-            names, which = np.unique(key, return_inverse=True)
-            v, members = np.array(base["v"].tolist()), base["members"].tolist()
-            ids = base["id"].to_numpy()
+            t = int(base["table"].iloc[0])  # a block holds whole buckets of one table
+            names, which = np.unique(base["bucket"].to_numpy(), return_inverse=True)
+            v, members = np.stack(base["v"].to_numpy()), base["members"].tolist()
             for lo in range(0, len(asks), CHUNK):
                 part = asks.iloc[lo : lo + CHUNK]
-                q = np.array(part["v"].tolist())
-                visits = np.zeros((len(part), len(names)), bool)
-                for r, probed in enumerate(part["buckets"]):
-                    if probed is None:
-                        visits[r] = True
-                        continue
-                    at = np.searchsorted(names, probed)
-                    at = at[at < len(names)]
-                    visits[r, at[np.isin(names[at], probed)]] = True
+                q = np.stack(part["v"].to_numpy())
+                if index is None:
+                    visits = np.ones((len(q), len(names)), bool)
+                else:
+                    visits = index.visits(q, np.array([g[t] for g in part["last"]]), names, t)
                 some = np.flatnonzero(visits.any(axis=0)[which])
                 if not len(some):
                     continue
                 scores = q @ v[some].T
                 scores[~visits[:, which[some]]] = -np.inf
-                k = min(near * TABLES, len(some))
+                k = min(near, len(some))
                 floor = np.partition(scores, len(some) - k, axis=1)[:, len(some) - k]
                 for r, qid in enumerate(part["qid"].tolist()):
                     got = np.flatnonzero((scores[r] >= floor[r]) & (scores[r] > -np.inf))
-                    # a vector is here once for each table that put it in this block
-                    best: dict[int, tuple[float, list]] = {}
-                    for g in got.tolist():
-                        best.setdefault(int(ids[some[g]]), (float(scores[r, g]), members[some[g]]))
-                    flat = sorted((-s, int(m)) for s, ms in best.values() for m in ms)[:near]
+                    flat = sorted((-s, int(m)) for s, g in zip(scores[r, got].tolist(), some[got].tolist(), strict=True) for m in members[g])[:near]
                     out.append((np.full(len(flat), qid), np.array([m for _, m in flat], np.int64), np.array([-s for s, _ in flat])))
-        cols = [np.concatenate(c) if out else np.zeros(0, kind) for c, kind in zip(zip(*out, strict=True) if out else [(), (), ()], (np.int64, np.int64, float), strict=True)]
+        cols = [np.concatenate(c) for c in zip(*out, strict=True)] if out else [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
         return pd.DataFrame({"qid": cols[0], "vec_id": cols[1], "score": cols[2]})
 
     return run
@@ -165,42 +169,35 @@ def nearest(vectors: DataFrame, every: int = 20, k: int = 20, id_col: str = "vec
     if not n:
         return v.select(F.col("vec_id").alias("query_id"), F.lit(1).alias("rank"), "vec_id", F.lit(0.0).alias("score"))
     index = ProbeIndex.fit(sample, k)
-    blocks = max(1, math.ceil(n_classes * TABLES / BLOCK_ROWS))
-    cells = index.slots**PROJECTIONS
+    blocks = max(1, math.ceil(n_classes / BLOCK_ROWS))  # of each table
 
-    def place(batches):
+    def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            x = np.array(b["v"].tolist())
-            got = index.buckets(x) if len(b) else np.zeros((0, TABLES), np.int64)
+            if not len(b):
+                continue
+            got = index.buckets(np.stack(b["v"].to_numpy()))
             for t in range(TABLES):
-                key = got[:, t] + t * cells
-                yield pd.DataFrame({"block": _block_of(key, blocks), "bucket": key, "id": b["id"], "v": b["v"], "members": b["members"]})
+                yield pd.DataFrame({"block": _block_of(got[:, t], blocks) + t * blocks, "table": t, "bucket": got[:, t], "id": b["id"], "v": b["v"], "members": b["members"]})
 
-    def probe(batches):
+    def probe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            rows = []
-            for qid, q in zip(b["qid"], b["v"], strict=True):
-                keys = np.sort(np.concatenate([index.probes(np.asarray(q), t, success) + t * cells for t in range(TABLES)]))
-                block = _block_of(keys, blocks)
-                order = np.argsort(block, kind="stable")
-                cuts = np.flatnonzero(np.append(True, np.diff(block[order]) != 0))
-                rows += [(int(block[order[c]]), qid, q, keys[order[c:e]]) for c, e in zip(cuts, [*cuts[1:], len(order)], strict=True)]
-            yield pd.DataFrame(rows, columns=["block", "qid", "v", "buckets"])
-
-    placed = classes.mapInPandas(place, "block long, bucket long, id long, v array<double>, members array<long>")
-    # of each class's copies only the probed bucket's is looked at; a block holds whole buckets
+            b["last"] = [[index.last_gain(np.asarray(q), t, success) for t in range(TABLES)] for q in b["v"]]
+            yield b
+
+    placed = classes.mapInPandas(place, "block long, table int, bucket long, id long, v array<double>, members array<long>")
     queries = asked.select("qid").distinct().join(classes.select(F.col("id").alias("qid"), "v"), "qid")
-    asks = queries.mapInPandas(probe, "block long, qid long, v array<double>, buckets array<long>")
-    search, result = _block_search(near), "qid long, vec_id long, score double"
-    found = placed.groupBy("block").cogroup(asks.groupBy("block")).applyInPandas(search, result).distinct()
+    everywhere = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks * TABLES - 1).cast("long"))).alias("block")
+    asks = queries.mapInPandas(probe, "qid long, v array<double>, last array<double>").select(everywhere, "qid", "v", "last")
+    result = "qid long, vec_id long, score double"
+    found = placed.groupBy("block").cogroup(asks.groupBy("block")).applyInPandas(_block_search(index, near), result)
     best = Window.partitionBy("qid").orderBy(F.desc("score"), "vec_id")
     top = materialize(found.groupBy("qid", "vec_id").agg(F.max("score").alias("score")).withColumn("r", F.row_number().over(best)).where(F.col("r") <= near).drop("r"), "top")
     full = min(near, n)
     short = materialize(queries.join(top.groupBy("qid").count().where(F.col("count") >= full), "qid", "left_anti"), "short")
     if short.count():
-        whole = classes.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks))).select("block", F.lit(0).cast("long").alias("bucket"), "id", "v", "members")
-        everywhere = short.select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("block"), "qid", "v", F.lit(None).cast("array<long>").alias("buckets"))
-        more = whole.groupBy("block").cogroup(everywhere.groupBy("block")).applyInPandas(search, result)
+        whole = classes.select((F.pmod(F.xxhash64("id"), F.lit(blocks))).alias("block"), F.lit(0).alias("table"), F.lit(0).cast("long").alias("bucket"), "id", "v", "members")
+        again = short.select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("block"), "qid", "v")
+        more = whole.groupBy("block").cogroup(again.groupBy("block")).applyInPandas(_block_search(None, near), result)
         more = more.withColumn("r", F.row_number().over(best)).where(F.col("r") <= near).drop("r")
         top = top.join(short.select("qid"), "qid", "left_anti").unionByName(more)
     answers = asked.join(top, "qid").where("vec_id <> query_id")
