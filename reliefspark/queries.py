@@ -379,12 +379,13 @@ _SUM9 = " + ".join(f"coalesce(n{k}, 0)" for k in range(9)) + " + coalesce(n4, 0)
 
 @query("focal_sum_3x3", DEM, f"--with{_N9.format(s='t')} SELECT x, y, CAST({_SUM9} AS BIGINT) AS total FROM n")
 def _(t):
-    return raster.focal_sum(raster.extract(t, 0, 0, 64, 64).join(t.select("x", "y"), ["x", "y"], "left_semi"))
+    return raster.focal_sum(raster.extract(t, 0, 0, 64, 64)).join(t.select("x", "y"), ["x", "y"], "left_semi")
 
 
 @query("raster_simplify", COVER, f"--withm AS (SELECT x, y, CASE WHEN h = 80 THEN 1 ELSE 0 END AS h FROM t), {_N9.format(s='m')} SELECT x, y, CASE WHEN {_SUM9} <= 3 THEN 0 WHEN {_SUM9} >= 7 THEN 1 ELSE n4 END AS h FROM n")
 def _(t):
-    return raster.simplify_step(t.withColumn("h", water.monochrome(c("h"))))
+    dense = raster.extract(t.withColumn("h", water.monochrome(c("h"))), 0, 0, 64, 64)
+    return raster.simplify_step(dense).join(t.select("x", "y"), ["x", "y"], "left_semi")
 
 
 @query("height_histogram", DEM, "SELECT h, count(*) AS n FROM t GROUP BY h")
