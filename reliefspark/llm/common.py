@@ -3,12 +3,13 @@ distributed connected components."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..storage import materialize, shared_dir
+
+__all__ = ["BROADCAST_ROWS", "WHITE", "connected_components", "materialize", "shared_dir", "small", "without_ids"]
+
 #: ASCII white space as one Java regular expression.
 WHITE = r"[\x20\x09-\x0D]+"
 
@@ -16,30 +17,6 @@ WHITE = r"[\x20\x09-\x0D]+"
 BROADCAST_ROWS = 1_000_000
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir, which driver and executors share.
-
-    Where it is unset: a temporary folder if Spark runs in this one process, else a folder of the warehouse."""
-    own = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.reliefspark.shared.dir", None)
-    if not own:
-        local = spark.sparkContext.master.startswith("local") and not spark.sparkContext.master.startswith("local-cluster")
-        own = f"file://{tempfile.mkdtemp(prefix='reliefspark-')}" if local else f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_work"
-        spark.conf.set("spark.reliefspark.shared.dir", own)
-    return own.rstrip("/")
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """df as a table written to the shared folder and read again: cuts the lineage, and outlives executors.
-
-    The files go when the driver's JVM ends."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(p)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def small(df: DataFrame, rows: int, bound: int = BROADCAST_ROWS) -> DataFrame:
     """df marked for broadcast if its counted rows are within the bound, else as it is, for a shuffled join."""
     return F.broadcast(df) if rows <= bound else df

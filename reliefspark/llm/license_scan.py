@@ -14,6 +14,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import materialize
+
 # Families and the notices and opening words by which their licences are known.
 TEMPLATES = {
     "apache": [
@@ -240,8 +242,9 @@ def scan_text(model: LicenceModel, data: bytes | None) -> list[dict]:
 
 def prose_sample(docs: DataFrame, rows: int = SAMPLE_DOCS) -> list[bytes]:
     """Up to four paragraphs each of a bounded sample of documents, by hash of doc_id, without key words."""
-    texts = docs.select(F.col("doc_id").cast("long").alias("i"), F.col("text").cast("string").alias("t")).where("i is not null and t is not null").orderBy(F.xxhash64("i"), "i", F.xxhash64("t")).limit(rows)
-    texts = texts.select(F.slice(F.filter(F.split("t", "\n"), lambda p: F.length(p) > 20), 1, 4).alias("p"))
+    own = docs.select(F.col("doc_id").cast("long").alias("i"), F.col("text").cast("string").alias("t")).where("i is not null and t is not null")
+    chosen = materialize(own.select("i").distinct().orderBy(F.xxhash64("i"), "i").limit(rows), "prose")
+    texts = own.join(F.broadcast(chosen), "i", "left_semi").select(F.slice(F.filter(F.split("t", "\n"), lambda p: F.length(p) > 20), 1, 4).alias("p"))
     taken = sorted(p[:2000].encode() for r in texts.toArrow()["p"].to_pylist() for p in r or [])
     key = re.compile(rb"(?i)licen[sc]|copyright|reserved|permission|redistribut|software|public domain|warrant")
     return [p for p in taken if not key.search(p)]

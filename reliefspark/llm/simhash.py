@@ -128,6 +128,153 @@ def near_duplicates(docs: DataFrame, words: int = 3, distance: int = 2, id_col:
     return each.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def drop_near_duplicates(docs: DataFrame, words: int = 5, distance: int = 2) -> DataFrame:
-    """docs, all columns, with the smallest doc_id of each component."""
-    return without_ids(docs, near_duplicates(docs, words, distance).where("doc_id <> component_id").select("doc_id"))
+#: Fingerprints of each document's distinct words by which similar documents are found: at one changed bit in 12, which is
+#: what a likeness of 0.8 in five-word shingles comes to, one of their 48 halves is whole in 98 of 100 pairs.
+BANKS = 24
+#: Share of differing bits up to which a pair's shingles are compared.
+NEAR_BITS = 0.2
+#: Documents in one cell up to which every pair of them is tried.
+PAIRS_MAX = 32
+
+
+class _WordHash(dict):
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= 500_000:
+            self.clear()
+        h = xxhash.xxh3_64_intdigest(word)
+        if len(word) <= 64:
+            self[word] = h
+        return h
+
+
+def bank_fingerprints(hashes: np.ndarray, banks: int = BANKS) -> np.ndarray:
+    """`banks` SimHash fingerprints of the same features: each bank hashes the features anew."""
+    if not len(hashes):
+        return np.zeros(banks, np.uint64)
+    counts = np.zeros(banks * 64, np.int64)
+    add = np.arange(1, banks + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    for k in range(0, len(hashes), 2048):
+        x = hashes[k : k + 2048, None] + add[None, :]
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        x ^= x >> np.uint64(31)
+        lanes = np.unpackbits(x.view(np.uint8), axis=1, bitorder="little").view(np.uint64)
+        counts += np.add.reduceat(lanes, np.arange(0, len(x), 255), axis=0).view(np.uint8).reshape(-1, banks * 64).sum(axis=0, dtype=np.int64)
+    return np.packbits(counts * 2 > len(hashes), bitorder="little").view("<u8")
+
+
+def _bank_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    memo = _WordHash()
+    for b in batches:
+        sigs = []
+        for t in b.column(1).to_pylist():
+            words = set((t or b"").lower().split())
+            sigs.append(bank_fingerprints(np.sort(np.fromiter(map(memo.__getitem__, words), np.uint64, len(words)))).tobytes())
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sigs, pa.binary())], ["id", "sig"])
+
+
+def _cell_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(cell, finer, id): for each half of each fingerprint the counts of its 16 two-bit segments, alone and with the counts
+    of the next half."""
+    low = np.uint64(LOW)
+    for b in batches:
+        for lo in range(0, b.num_rows, 1000):
+            part = b.slice(lo, 1000)
+            f = np.frombuffer(b"".join(part.column(1).to_pylist()), "<u8").reshape(part.num_rows, BANKS)
+            e = (((f & (f >> np.uint64(1))) & low) << np.uint64(1)) | ((f ^ (f >> np.uint64(1))) & low)
+            half = np.stack([e >> np.uint64(32), e & np.uint64(0xFFFFFFFF)], axis=2).reshape(part.num_rows, BANKS * 2)
+            cell = half | (np.arange(BANKS * 2, dtype=np.uint64) << np.uint64(32))
+            finer = (cell * np.uint64(0x9FB21C651E98DF25)) ^ (np.roll(half, -1, axis=1) * np.uint64(0x9E3779B97F4A7C15))
+            ids = np.repeat(part.column(0).to_numpy(), BANKS * 2)
+            yield pa.RecordBatch.from_arrays([pa.array(cell.reshape(-1).view(np.int64)), pa.array(finer.reshape(-1).view(np.int64)), pa.array(ids)], ["cell", "finer", "id"])
+
+
+def _stars(rows: DataFrame, key: str) -> DataFrame:
+    lead = rows.groupBy(key).agg(F.min("id").alias("b"), F.count("*").alias("n")).where("n > 1").drop("n")
+    return rows.join(lead, key).where("id <> b").select(F.col("id").alias("a"), "b")
+
+
+def _candidates(cells: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Pairs (a, b) to try, and the rows of cells that are too full to try every pair: there each document is tried with the
+    first of its cell and the first of its finer cell."""
+    n = cells.groupBy("cell").agg(F.count("*").alias("n")).where("n > 1")
+    counted = cells.join(n, "cell")
+    few = counted.where(F.col("n") <= PAIRS_MAX).select("cell", "id")
+    full = materialize(counted.where(F.col("n") > PAIRS_MAX).select("cell", "finer", "id"), "full")
+    pairs = few.join(few.withColumnRenamed("id", "b"), "cell").where("id > b").select(F.col("id").alias("a"), "b")
+    return pairs.union(_stars(full, "cell")).union(_stars(full, "finer")).distinct(), full
+
+
+def shingles(data: bytes | None, words: int) -> set[bytes]:
+    w = (data or b"").lower().split()
+    return {b" ".join(w[k : k + words]) for k in range(max(1, len(w) - words + 1))} if w else set()
+
+
+def _alike(pairs: DataFrame, sigs: DataFrame, texts: DataFrame, words: int, similarity: float) -> DataFrame:
+    """The pairs that are near by all their bits and then by the exact Jaccard similarity of their shingles."""
+    most = int(NEAR_BITS * BANKS * 64)
+
+    def by_bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                x, y = (np.frombuffer(b"".join(b.column(k).to_pylist()), "<u8").reshape(-1, BANKS) for k in (2, 3))
+                keep = np.bitwise_count(x ^ y).sum(axis=1) <= most
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["a", "b"]).filter(pa.array(keep))
+
+    def by_text(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last: tuple[int | None, set[bytes]] = (None, set())
+        for b in batches:
+            keep = []
+            for i, x, y in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
+                if last[0] != i:
+                    last = (i, shingles(y, words))
+                mine, other = shingles(x, words), last[1]
+                both = len(mine & other)
+                union = len(mine) + len(other) - both
+                keep.append(not union or both / union >= similarity)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    sa, sb = sigs.select(F.col("id").alias("a"), F.col("sig").alias("x")), sigs.select(F.col("id").alias("b"), F.col("sig").alias("y"))
+    near = materialize(pairs.join(sa, "a").join(sb, "b").select("a", "b", "x", "y").mapInArrow(by_bits, "a long, b long"), "near")
+    ids = materialize(near.select(F.col("a").alias("id")).union(near.select("b")).distinct(), "near-ids")
+    used = texts.join(small(ids, ids.count()), "id", "left_semi")
+    ta, tb = used.select(F.col("id").alias("a"), F.col("t").alias("x")), used.select(F.col("id").alias("b"), F.col("t").alias("y"))
+    return near.join(ta, "a").join(tb, "b").select("a", "b", "x", "y").mapInArrow(by_text, "a long, b long")
+
+
+def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, component_id) of the documents that are in one component with another: chains of texts whose sets of word
+    shingles have a Jaccard similarity of `similarity` or more; component_id is the smallest doc_id.
+
+    Candidates are pairs whose segment counts agree in a half of one of BANKS fingerprints - a cell of the grid. In a cell
+    of more than PAIRS_MAX documents each is tried with the first of its cell and of its finer cell; then the components
+    found stand for their documents and the cell is tried again, until its components are few enough to try every pair
+    or a round joins none. Links are found by chance (see BANKS), but a pair is joined only after its whole texts are compared.
+    Rows with a null id take no part; a doc_id names one text. Texts without words are all alike."""
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").cast("binary").alias("t")).where("id is not null")
+    sigs = materialize(texts.mapInArrow(_bank_rows, "id long, sig binary"), "signatures")
+    heads = sigs.groupBy("sig").agg(F.min("id").alias("head"), F.count("*").alias("n"))
+    same = sigs.join(heads.where("n > 1"), "sig").where("id <> head").select(F.col("id").alias("a"), F.col("head").alias("b"))
+    cells = heads.select(F.col("head").alias("id"), "sig").mapInArrow(_cell_rows, "cell long, finer long, id long")
+    pairs, full = _candidates(materialize(cells, "cells"))
+    links = materialize(_alike(pairs.union(same), sigs, texts, words, similarity), "alike")
+    n_links = links.count()
+    while True:
+        found = materialize(connected_components(links), "components")
+        if not full.limit(1).count():
+            break
+        head = found.select(F.col("node").alias("id"), "component")
+        rows = full.join(head, "id", "left").select("cell", "finer", F.coalesce("component", "id").alias("id")).distinct()
+        pairs, full = _candidates(materialize(rows, "cells"))
+        more = materialize(_alike(pairs, sigs, texts, words, similarity), "alike")
+        links = links.union(more).distinct()
+        n = links.count()
+        if n == n_links:
+            break
+        n_links = n
+    return found.select(F.col("node").alias("doc_id"), F.col("component").alias("component_id"))
+
+
+def drop_near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """docs, all columns, with the smallest doc_id of each component of similar_documents."""
+    return without_ids(docs, similar_documents(docs, words, similarity).where("doc_id <> component_id").select("doc_id"))
