@@ -725,7 +725,7 @@ def _(t):
     return t.select("x", "y", F.when(c("h") % 2 == 1, F.lit(0x49C8FFFF)).otherwise(F.lit(0)).cast("long").alias("rgba"))
 
 
-@query("split_3x3_tiles", DEM, "SELECT CAST(floor(x / 22.0) AS INT) AS tile_x, CAST(floor(y / 22.0) AS INT) AS tile_y, count(*) AS cells, sum(h) AS total FROM t GROUP BY 1, 2")
+@query("split_3x3_tiles", DEM, "SELECT CAST(floor(x / 22.0) AS INT) AS tile_x, CAST(floor(y / 22.0) AS INT) AS tile_y, count(*) AS cells, CAST(sum(h) AS BIGINT) AS total FROM t GROUP BY 1, 2")
 def _(t):
     return t.groupBy(coords.tile_of_cell(c("x"), 22).alias("tile_x"), coords.tile_of_cell(c("y"), 22).alias("tile_y")).agg(F.count("*").alias("cells"), F.sum("h").alias("total"))
 
