@@ -3,12 +3,19 @@ distributed connected components."""
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
+from collections.abc import Iterator
+from typing import Any
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..storage import materialize, shared_dir
 
-__all__ = ["BROADCAST_ROWS", "WHITE", "connected_components", "materialize", "shared_dir", "small", "without_ids"]
+__all__ = ["BROADCAST_ROWS", "WHITE", "connected_components", "materialize", "release", "shared_dir", "small", "small_batches", "values", "without_ids"]
 
 #: ASCII white space as one Java regular expression.
 WHITE = r"[\x20\x09-\x0D]+"
@@ -17,6 +24,34 @@ WHITE = r"[\x20\x09-\x0D]+"
 BROADCAST_ROWS = 1_000_000
 
 
+#: Bytes of rows that go to a Python worker at once, unless one row has more.
+BATCH_BYTES = 4 << 20
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """df, after the session is set to send its rows to Python workers in batches of at most BATCH_BYTES: a batch of whole
+    texts may else hold 64 MB, several times over in the JVM and the worker."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = str(conf.get(key)).rstrip("b")
+    if not now.isdigit() or int(now) > BATCH_BYTES:
+        conf.set(key, str(BATCH_BYTES))
+    return df
+
+
+def values(column: pa.Array, rows: int = 256) -> Iterator[Any]:
+    """The values of an Arrow column, few at a time in memory."""
+    for lo in range(0, len(column), rows):
+        yield from column.slice(lo, rows).to_pylist()
+
+
+def release() -> None:
+    """Gives a Python worker's free memory back at the end of a task; workers live on to serve other stages."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def small(df: DataFrame, rows: int, bound: int = BROADCAST_ROWS) -> DataFrame:
     """df marked for broadcast if its counted rows are within the bound, else as it is, for a shuffled join."""
     return F.broadcast(df) if rows <= bound else df

@@ -14,7 +14,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, release, small_batches, values
 
 # Families and the notices and opening words by which their licences are known.
 TEMPLATES = {
@@ -265,9 +265,10 @@ def scan(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> DataFrame:
         m = shared.value
         kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("family", pa.string()), ("chance", pa.float64()), ("similarity", pa.float64()), ("confirmed", pa.bool_())]))
         for b in batches:
-            found = [scan_text(m, t) for t in b.column(1).to_pylist()]
+            found = [scan_text(m, t) for t in values(b.column(1))]
             families = [sorted({x["family"] for x in f if x["confirmed"]}) for f in found]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(families, pa.list_(pa.string())), pa.array(found, kind)], ["doc_id", "families", "licences"])
+        release()
 
-    src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").cast("binary").alias("t"))
+    src = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").cast("binary").alias("t"))
     return src.mapInArrow(run, SCHEMA)

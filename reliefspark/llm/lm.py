@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, release, small_batches, values
 from .packed import pack_ints, pack_sorted, slices, unpack_ints, unpack_sorted
 
 #: Longest n-gram: two words. Each order more sends about twice the input in 64-bit hashes.
@@ -34,7 +34,7 @@ BLOCK_WORDS = 1_500_000
 PART_ENTRIES = 1_500_000
 #: Bits of an n-gram's hash beyond what its number takes: one n-gram in 2**21 or fewer shares a count, at every size.
 SPARE_BITS = 21
-MEMO_WORDS = 500_000
+MEMO_WORDS = 300_000
 BEGIN = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -90,7 +90,7 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     ids, texts, n = [], [], 0
     for b in batches:
-        for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+        for i, t in zip(values(b.column(0)), values(b.column(1)), strict=True):
             w = (t or b"").lower().split()
             h = np.fromiter(map(memo.__getitem__, w), np.uint64, len(w))
             if texts and n + len(h) > BLOCK_WORDS:
@@ -101,6 +101,8 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             n += len(h)
     if texts:
         yield out(ids, texts)
+    memo.clear()
+    release()
 
 
 def _expanded(sizes: bytes, vocabulary: bytes, rank: bytes, words: bytes, order: int, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
@@ -132,7 +134,7 @@ def backoff_scores(docs: DataFrame, order: int = ORDER, alpha: float = ALPHA, id
     longest n-gram that another document holds, times alpha for each order given up; at order 1, c(word) over all words of
     the other documents, where an unseen word counts UNSEEN times. Null and empty texts score 0 with no words. Rows that
     repeat an id are documents of their own and score each other; null ids are scored. Other columns are not looked at."""
-    src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").cast("binary").alias("t"))
+    src = small_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").cast("binary").alias("t"))
     blocks = materialize(src.mapInArrow(_blocks, "block long, ids array<long>, sizes binary, vocabulary binary, rank binary, words binary, n long"), "blocks")
     n_words = blocks.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     bits = min(64, math.ceil(math.log2(max(2, n_words * order))) + SPARE_BITS)

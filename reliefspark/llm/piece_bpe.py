@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import small_batches, values
+
 SPACE = "▁"
 #: Words whose ids a worker remembers; then it forgets all and begins anew.
 MEMO_WORDS = 400_000
@@ -183,7 +185,7 @@ def tokenize(docs: DataFrame, model_file: str | None = None, with_ids: bool = Tr
         bpe = load(model_file)
         for b in batches:
             rows: list[tuple] = []
-            for text in b.column(1).to_pylist():
+            for text in values(b.column(1)):
                 data = bpe.encode_bytes(text)
                 ids = np.frombuffer(data, "<u4").tolist()
                 decoded = bpe.decode_bytes(ids)
@@ -192,4 +194,4 @@ def tokenize(docs: DataFrame, model_file: str | None = None, with_ids: bool = Tr
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds))], names)
 
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>, decoded string" * with_ids
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("t")).mapInArrow(run, schema)
+    return small_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("t")).mapInArrow(run, schema)

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, materialize, small, without_ids
+from .common import connected_components, materialize, release, small, small_batches, values, without_ids
 
 #: Fingerprints in one cell of the grid up to which the cell is joined with itself; fuller cells go by shared neighbours.
 CELL_MAX = 128
@@ -47,10 +47,11 @@ def fingerprints(docs: DataFrame, words: int = 3, id_col: str = "doc_id", text_c
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fps = np.fromiter((fingerprint(x, words) for x in b.column(1).to_pylist()), np.uint64, b.num_rows)
+            fps = np.fromiter((fingerprint(x, words) for x in values(b.column(1))), np.uint64, b.num_rows)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps.view(np.int64))], ["doc_id", "fp"])
+        release()
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").cast("binary").alias("t")).mapInArrow(run, "doc_id long, fp long")
+    return small_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").cast("binary").alias("t")).mapInArrow(run, "doc_id long, fp long")
 
 
 def _signed(x: int) -> int:
@@ -133,13 +134,15 @@ def near_duplicates(docs: DataFrame, words: int = 3, distance: int = 2, id_col:
 BANKS = 24
 #: Share of differing bits up to which a pair's shingles are compared.
 NEAR_BITS = 0.2
+#: Words whose hashes a worker remembers.
+MEMO_WORDS = 150_000
 #: Documents in one cell up to which every pair of them is tried.
 PAIRS_MAX = 32
 
 
 class _WordHash(dict):
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= 500_000:
+        if len(self) >= MEMO_WORDS:
             self.clear()
         h = xxhash.xxh3_64_intdigest(word)
         if len(word) <= 64:
@@ -167,10 +170,12 @@ def _bank_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     memo = _WordHash()
     for b in batches:
         sigs = []
-        for t in b.column(1).to_pylist():
+        for t in values(b.column(1)):
             words = set((t or b"").lower().split())
             sigs.append(bank_fingerprints(np.sort(np.fromiter(map(memo.__getitem__, words), np.uint64, len(words)))).tobytes())
         yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sigs, pa.binary())], ["id", "sig"])
+    memo.clear()
+    release()
 
 
 def _cell_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -225,7 +230,7 @@ def _alike(pairs: DataFrame, sigs: DataFrame, texts: DataFrame, words: int, simi
         last: tuple[int | None, set[bytes]] = (None, set())
         for b in batches:
             keep = []
-            for i, x, y in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
+            for i, x, y in zip(values(b.column(1)), values(b.column(2)), values(b.column(3)), strict=True):
                 if last[0] != i:
                     last = (i, shingles(y, words))
                 mine, other = shingles(x, words), last[1]
@@ -233,6 +238,7 @@ def _alike(pairs: DataFrame, sigs: DataFrame, texts: DataFrame, words: int, simi
                 union = len(mine) + len(other) - both
                 keep.append(not union or both / union >= similarity)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+        release()
 
     sa, sb = sigs.select(F.col("id").alias("a"), F.col("sig").alias("x")), sigs.select(F.col("id").alias("b"), F.col("sig").alias("y"))
     near = materialize(pairs.join(sa, "a").join(sb, "b").select("a", "b", "x", "y").mapInArrow(by_bits, "a long, b long"), "near")
@@ -251,7 +257,7 @@ def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8,
     found stand for their documents and the cell is tried again, until its components are few enough to try every pair
     or a round joins none. Links are found by chance (see BANKS), but a pair is joined only after its whole texts are compared.
     Rows with a null id take no part; a doc_id names one text. Texts without words are all alike."""
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").cast("binary").alias("t")).where("id is not null")
+    texts = small_batches(docs).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").cast("binary").alias("t")).where("id is not null")
     sigs = materialize(texts.mapInArrow(_bank_rows, "id long, sig binary"), "signatures")
     heads = sigs.groupBy("sig").agg(F.min("id").alias("head"), F.count("*").alias("n"))
     same = sigs.join(heads.where("n > 1"), "sig").where("id <> head").select(F.col("id").alias("a"), F.col("head").alias("b"))

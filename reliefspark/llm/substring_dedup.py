@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
-from .common import materialize
+from .common import materialize, release, small_batches
 from .packed import pack_ints, pack_sorted, slices, unpack_ints, unpack_sorted
 
 #: Mean words of a chunk within a line.
@@ -30,7 +30,7 @@ MIN_WORDS = 16
 #: Bytes without white space after which a chunk may also end within a word.
 LONG_WORD = 64
 #: Bytes of text in a block, unless one row has more.
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 4 << 20
 #: Digests that one part of the digest table takes on average.
 PART_ENTRIES = 1_000_000
 #: Rows without a doc_id count as one document after all others.
@@ -157,7 +157,7 @@ def substring_dedup(docs: DataFrame, min_words: int = MIN_WORDS, mean_words: int
     alike. Rows with a null doc_id count as one document after all others; first_doc_id is null for it. Null and empty
     texts stay as they are, with no spans. A column repeated_spans of docs is replaced. Other columns are carried along.
     An empty table stays empty."""
-    docs = docs.drop("repeated_spans")
+    docs = small_batches(docs).drop("repeated_spans")
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, k, held, size = TaskContext.get().partitionId(), 0, [], 0
@@ -198,6 +198,7 @@ def substring_dedup(docs: DataFrame, min_words: int = MIN_WORDS, mean_words: int
                 cuts = slices(c.keys, 64, lead)
                 columns = [pa.array([block] * len(cuts), pa.int64()), pa.array([p for p, _, _ in cuts], pa.int32()), pa.array([pack_sorted(c.keys[a:e]) for _, a, e in cuts], pa.binary()), pa.array([pack_ints(c.first[a:e]) for _, a, e in cuts], pa.binary())]
                 yield pa.RecordBatch.from_arrays(columns, ["block", "part", "keys", "docs"])
+        release()
 
     def answer(table: pa.Table) -> pa.Table:
         """For each block those of its digests that a smaller doc_id has elsewhere."""
@@ -237,6 +238,8 @@ def substring_dedup(docs: DataFrame, min_words: int = MIN_WORDS, mean_words: int
         names = table.column_names
         table = table.set_column(names.index(text_col), names[names.index(text_col)], pa.array(texts, pa.string()))
         found = [[dict(zip(span.names, (*r[:3], None if r[3] == LAST else r[3]), strict=True)) for r in s] or None for s in spans]
+        del c
+        release()
         return table.append_column("repeated_spans", pa.array(found, kind))
 
     asked = stored.select("block", "rows").mapInArrow(ask, "block long, part int, keys binary, docs binary")

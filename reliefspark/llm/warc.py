@@ -17,7 +17,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, small
+from .common import materialize, small, small_batches
 
 #: Magic number of the skippable frame that holds the dictionary.
 DICTIONARY_MAGIC = 0x184D2A5D
@@ -164,7 +164,7 @@ def write_archives(pages: DataFrame, archive_bytes: int = ARCHIVE_BYTES) -> Data
     others are revisits of it. Rows with a null page_id are revisits unless their payload has no numbered page. Rows that
     repeat the response's id are responses too. Other columns are not looked at; an empty table gives no archive."""
     html = F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary")
-    src = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), html.alias("payload"))
+    src = small_batches(pages).select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), html.alias("payload"))
     keyed = src.select("page_id", F.unhex(F.sha1("payload")).alias("sha1"), F.sha2("payload", 256).alias("sha256"))
     # equal payloads by two digests together; partial aggregates meet, so a payload of a third of the pages is no burden
     groups = keyed.groupBy("sha1", "sha256").agg(F.max("page_id").alias("keeper"), F.count("*").alias("n")).where("n > 1").drop("n")
