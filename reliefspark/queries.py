@@ -13,6 +13,7 @@ from . import fixtures as fx
 from .functions import angles, arith, color, coords, projections, terrain
 from .operators import contours, geometry, raster, tiles, water
 from .plans import shading
+from .sources import grids
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -879,3 +880,109 @@ def _(t):
 def _(t):
     found = F.array_compact(F.array(F.when(c("min_lon") < -100, "west"), F.when(c("min_lat") < -40, "south"), F.when(c("max_lon") <= c("min_lon"), "empty")))
     return t.select("id", F.array_join(found, ",").alias("errors"))
+
+
+# --- formats and texts -----------------------------------------------------------------------------------------------
+
+for _how in grids.FORMATS:
+
+    def _roundtrip(t: DataFrame, how: str = _how) -> DataFrame:
+        cells = t.withColumn("h", F.when(c("h") > 1000, 1).otherwise(0)) if how == "png1" else t
+        return grids.from_tiles(grids.to_tiles(cells, 32, how), 32, how).join(t.select("x", "y"), ["x", "y"], "left_semi")
+
+    query(f"{_how}_roundtrip", DEM, "SELECT x, y, CASE WHEN h > 1000 THEN 1 ELSE 0 END AS h FROM t" if _how == "png1" else "SELECT x, y, h FROM t")(_roundtrip)
+
+
+@query("paeth", fx.STENCILS, "SELECT id, CASE WHEN abs(h0 + h1 - h2 - h0) <= abs(h0 + h1 - h2 - h1) AND abs(h0 + h1 - h2 - h0) <= abs(h0 + h1 - h2 - h2) THEN h0 WHEN abs(h0 + h1 - h2 - h1) <= abs(h0 + h1 - h2 - h2) THEN h1 ELSE h2 END AS p FROM t")
+def _(t):
+    p = c("h0") + c("h1") - c("h2")
+    a, b, d = F.abs(p - c("h0")), F.abs(p - c("h1")), F.abs(p - c("h2"))
+    return t.select("id", F.when((a <= b) & (a <= d), c("h0")).when(b <= d, c("h1")).otherwise(c("h2")).alias("p"))
+
+
+_KINDS = ("raw", "raw - lft", "raw - up", "raw - (lft + up) // 2")
+
+
+@query("png_best_filter", COVER, "--withb AS (SELECT x, y, h AS raw, coalesce(lag(h) OVER (PARTITION BY y ORDER BY x), 0) AS lft, coalesce(lag(h) OVER (PARTITION BY x ORDER BY y), 0) AS up FROM t), s AS (SELECT y, " + ", ".join(f"sum(({k}) & 255) AS s{i}" for i, k in enumerate(_KINDS)) + " FROM b GROUP BY y) SELECT y, CASE WHEN s0 <= least(s1, s2, s3) THEN 0 WHEN s1 <= least(s2, s3) THEN 1 WHEN s2 <= s3 THEN 2 ELSE 3 END AS kind FROM s")
+def _(t):
+    left = F.coalesce(F.lag("h").over(Window.partitionBy("y").orderBy("x")), F.lit(0))
+    up = F.coalesce(F.lag("h").over(Window.partitionBy("x").orderBy("y")), F.lit(0))
+    b = t.withColumn("l", left).withColumn("u", up)
+    kinds = [c("h"), c("h") - c("l"), c("h") - c("u"), c("h") - F.floor((c("l") + c("u")) / 2).cast("int")]
+    s = b.groupBy("y").agg(*[F.sum(k.bitwiseAND(F.lit(255))).alias(f"s{i}") for i, k in enumerate(kinds)])
+    return s.select("y", F.array_min(F.array(*[F.struct(c(f"s{i}").alias("s"), F.lit(i).alias("i")) for i in range(4)]))["i"].alias("kind"))
+
+
+@query("png_scanline_length", "SELECT p_partkey AS id, p_size AS width, CASE p_partkey % 4 WHEN 0 THEN 1 WHEN 1 THEN 8 WHEN 2 THEN 16 ELSE 32 END AS bpp FROM part", "SELECT id, (width * bpp + 7) // 8 AS length FROM t")
+def _(t):
+    return t.select("id", F.ceil(c("width") * c("bpp") / 8).cast("int").alias("length"))
+
+
+@query("crc32_text", "SELECT p_partkey AS id, p_name AS name FROM part")
+def _(t):
+    return t.select("id", F.crc32(c("name").cast("binary")).alias("crc"))
+
+
+@query("parse_float_list", "SELECT o_orderkey AS id, CAST(o_custkey AS VARCHAR(20)) || ',' || CAST(o_orderkey % 7 AS VARCHAR(20)) || '.5,' || CASE WHEN o_orderkey % 3 = 0 THEN 'x' ELSE '-2' END AS txt FROM orders", "SELECT id, CASE WHEN id % 3 <> 0 THEN CAST(split_part(txt, ',', 1) AS DOUBLE) + CAST(split_part(txt, ',', 2) AS DOUBLE) - 2 END AS total FROM t")
+def _(t):
+    parts = F.transform(F.split("txt", ","), lambda v: v.try_cast("double"))
+    return t.select("id", F.when(~F.exists(parts, lambda v: v.isNull()), F.aggregate(parts, F.lit(0.0), lambda a, v: a + v)).alias("total"))
+
+
+@query("proj_params", "SELECT p_partkey AS id, '+proj=lcc +lat_1=' || CAST(p_size AS VARCHAR(9)) || ' +lon_0=' || CAST(p_partkey % 90 AS VARCHAR(9)) AS txt FROM part", "SELECT id, 'lcc' AS proj, CAST(regexp_extract(txt, 'lat_1=([0-9]+)', 1) AS DOUBLE) AS lat_1, CAST(regexp_extract(txt, 'lon_0=([0-9]+)', 1) AS DOUBLE) AS lon_0 FROM t")
+def _(t):
+    m = F.str_to_map("txt", F.lit(" "), F.lit("="))
+    return t.select("id", m["+proj"].alias("proj"), m["+lat_1"].cast("double").alias("lat_1"), m["+lon_0"].cast("double").alias("lon_0"))
+
+
+@query("color_scale_string", "SELECT p_size AS h, max(p_partkey) * 7919 % 16777216 AS rgb, p_brand AS brand FROM part GROUP BY p_size, p_brand", "SELECT brand, string_agg(h || ':#' || lpad(lower(to_hex(rgb)), 6, '0'), ';' ORDER BY h) AS scale FROM t GROUP BY brand")
+def _(t):
+    mark = F.format_string("%d:#%06x", c("h"), c("rgb"))
+    marks = F.array_sort(F.collect_list(F.struct("h", mark.alias("mark"))))
+    return t.groupBy("brand").agg(F.array_join(F.transform(marks, lambda v: v["mark"]), ";").alias("scale"))
+
+
+@query("svg_path_string", fx.VERTICES, "SELECT id, string_agg(CASE WHEN ord = 1 THEN 'M' ELSE 'L' END || CAST(x AS BIGINT) || ' ' || CAST(y AS BIGINT), '' ORDER BY ord) || 'Z' AS path FROM t GROUP BY id")
+def _(t):
+    step = F.concat(F.when(c("ord") == 1, "M").otherwise("L"), c("x").cast("long").cast("string"), F.lit(" "), c("y").cast("long").cast("string"))
+    steps = F.array_sort(F.collect_list(F.struct("ord", step.alias("s"))))
+    return t.groupBy("id").agg(F.concat(F.array_join(F.transform(steps, lambda v: v["s"]), ""), F.lit("Z")).alias("path"))
+
+
+@query("tiff_tile_prune", "SELECT o_orderkey AS id, CAST(o_custkey * 37 % 36000 AS INT) AS x0, CAST(o_orderkey * 41 % 36000 AS INT) AS y0 FROM orders", "SELECT id, CAST(tx AS INT) AS tx, CAST(ty AS INT) AS ty FROM t CROSS JOIN LATERAL (SELECT unnest(generate_series(x0 // 1024, least(x0 + 1500, 35999) // 1024)) AS tx) CROSS JOIN LATERAL (SELECT unnest(generate_series(y0 // 1024, least(y0 + 1500, 35999) // 1024)) AS ty)")
+def _(t):
+    cut = lambda v: F.floor(v / 1024).cast("int")
+    far = lambda v: F.least(c(v) + 1500, F.lit(35999))
+    return tiles.explode_grid(t, cut(c("x0")), cut(far("x0")), cut(c("y0")), cut(far("y0"))).select("id", c("tile_x").alias("tx"), c("tile_y").alias("ty"))
+
+
+@query("geo_area_mbr", fx.POINTS, f"SELECT id, round((lon - 2) / 60.0, 8) AS min_lon, round(2.0 * atan(exp((lat - 1) / 60.0)) - {PI} / 2, 8) AS min_lat, round((lon + 2) / 60.0, 8) AS max_lon, round(2.0 * atan(exp((lat + 1) / 60.0)) - {PI} / 2, 8) AS max_lat FROM t")
+def _(t):
+    around = [F.struct((c("lon") + dx).alias("px"), (c("lat") + dy).alias("py")) for dx in (-2.0, 0.0, 2.0) for dy in (-1.0, 0.0, 1.0) if dx or dy]
+    x, y = projections.Mercator(60.0).inverse(c("px"), c("py"))
+    border = t.select("id", F.inline(F.array(*around))).select("id", x.alias("lon"), y.alias("lat"))
+    found = border.groupBy("id").agg(F.min("lon").alias("a"), F.min("lat").alias("b"), F.max("lon").alias("d"), F.max("lat").alias("e"), F.count("lat").alias("n")).where("n = 8")
+    return found.select("id", *[F.round(k, 8).alias(n) for k, n in zip("abde", ("min_lon", "min_lat", "max_lon", "max_lat"), strict=True)])
+
+
+@query("anneal_schedule", "SELECT event_id, event_id % 100 AS step, value AS delta FROM events", "SELECT event_id, round(100 * pow(0.85, step), 9) AS temperature, round(CASE WHEN delta <= 0 THEN 1.0 ELSE exp(-delta / (100 * pow(0.85, step))) END, 9) AS acceptance FROM t")
+def _(t):
+    temperature = F.lit(100.0) * F.pow(F.lit(0.85), c("step"))
+    return t.select("event_id", F.round(temperature, 9).alias("temperature"), F.round(F.when(c("delta") <= 0, 1.0).otherwise(F.exp(-c("delta") / temperature)), 9).alias("acceptance"))
+
+
+@query("dem_with_water", DEM, "SELECT x, y, CASE WHEN h IS NULL THEN NULL WHEN h < 200 THEN h + 500 - 32768 ELSE h + 500 END AS v FROM t")
+def _(t):
+    wet = F.when(c("h") < 200, 1).otherwise(0)
+    return t.select("x", "y", F.when(c("h").isNotNull(), raster.encode_water(c("h"), wet)).alias("v"))
+
+
+@query("shade_water", COVER, "--withw AS (SELECT x, y, CASE WHEN h = 80 THEN 1237909503 ELSE 0 END AS rgba FROM t) SELECT * FROM w")
+def _(t):
+    return t.select("x", "y", F.when(water.monochrome(c("h")) == 1, F.lit(0x49C8FFFF)).otherwise(F.lit(0)).cast("long").alias("rgba"))
+
+
+@query("shade_water_outline", COVER, "--withd AS (SELECT CAST(i % 66 - 1 AS INT) AS x, CAST(i // 66 - 1 AS INT) AS y FROM (SELECT unnest(range(66 * 66)) AS i)), l AS (SELECT d.x, d.y FROM d LEFT JOIN t USING (x, y) WHERE t.h IS DISTINCT FROM 80), k AS (SELECT t.x, t.y, min(abs(t.x - l.x) + abs(t.y - l.y)) AS dist FROM t, l WHERE t.h = 80 GROUP BY t.x, t.y) SELECT DISTINCT CAST(round_even(x * 0.5, 0) AS INT) AS px, CAST(round_even(y * 0.5, 0) AS INT) AS py, 255 AS rgba FROM k WHERE dist <= 3")
+def _(t):
+    near = water.distance_to_shore(raster.extract(t, 0, 0, 64, 64).withColumn("h", F.coalesce(water.monochrome(c("h")), F.lit(0)))).where("dist <= 3")
+    return near.select(F.rint(c("x") * 0.5).cast("int").alias("px"), F.rint(c("y") * 0.5).cast("int").alias("py")).distinct().withColumn("rgba", F.lit(255))
