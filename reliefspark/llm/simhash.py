@@ -129,13 +129,17 @@ def near_duplicates(docs: DataFrame, words: int = 3, distance: int = 2, id_col:
     return each.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-#: Fingerprints of each document's distinct words by which similar documents are found: at one changed bit in 12, which is
-#: what a likeness of 0.8 in five-word shingles comes to, one of their 48 halves is whole in 98 of 100 pairs.
-BANKS = 24
+#: Fingerprints of each document's distinct pairs of words by which similar documents are found: at one changed bit in 11, which is
+#: what a likeness of 0.8 in five-word shingles comes to, one of their 64 halves is whole in 14 of 15 pairs, at one in 16
+#: (a likeness of 0.9) in all but one in 1000.
+BANKS = 32
 #: Share of differing bits up to which a pair's shingles are compared.
 NEAR_BITS = 0.2
 #: Words whose hashes a worker remembers.
 MEMO_WORDS = 150_000
+#: Banks by whose cells documents are first tried, and the Manhattan distance between the segment counts of the first
+#: fingerprints of a pair beyond which it is not tried: more than NEAR_BITS of 64 bits and some.
+FIRST_BANKS, NEAR_COUNTS = 4, 16
 #: Documents in one cell up to which every pair of them is tried.
 PAIRS_MAX = 32
 
@@ -171,16 +175,18 @@ def _bank_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         sigs = []
         for t in values(b.column(1)):
-            words = set((t or b"").lower().split())
-            sigs.append(bank_fingerprints(np.sort(np.fromiter(map(memo.__getitem__, words), np.uint64, len(words)))).tobytes())
+            words = (t or b"").lower().split()
+            h = np.fromiter(map(memo.__getitem__, words), np.uint64, len(words))
+            pairs = h if len(h) < 2 else h[:-1] * np.uint64(0x9FB21C651E98DF25) ^ h[1:]
+            sigs.append(bank_fingerprints(np.unique(pairs)).tobytes())
         yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sigs, pa.binary())], ["id", "sig"])
     memo.clear()
     release()
 
 
 def _cell_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(cell, finer, id): for each half of each fingerprint the counts of its 16 two-bit segments, alone and with the counts
-    of the next half."""
+    """(cell, finer, id, e): for each half of each fingerprint the counts of its 16 two-bit segments, alone and with the counts
+    of the next half; e: the segment counts of the first fingerprint."""
     low = np.uint64(LOW)
     for b in batches:
         for lo in range(0, b.num_rows, 1000):
@@ -191,22 +197,26 @@ def _cell_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             cell = half | (np.arange(BANKS * 2, dtype=np.uint64) << np.uint64(32))
             finer = (cell * np.uint64(0x9FB21C651E98DF25)) ^ (np.roll(half, -1, axis=1) * np.uint64(0x9E3779B97F4A7C15))
             ids = np.repeat(part.column(0).to_numpy(), BANKS * 2)
-            yield pa.RecordBatch.from_arrays([pa.array(cell.reshape(-1).view(np.int64)), pa.array(finer.reshape(-1).view(np.int64)), pa.array(ids)], ["cell", "finer", "id"])
+            first = np.repeat(e[:, 0].view(np.int64), BANKS * 2)
+            yield pa.RecordBatch.from_arrays([pa.array(cell.reshape(-1).view(np.int64)), pa.array(finer.reshape(-1).view(np.int64)), pa.array(ids), pa.array(first)], ["cell", "finer", "id", "e"])
 
 
 def _stars(rows: DataFrame, key: str) -> DataFrame:
-    lead = rows.groupBy(key).agg(F.min("id").alias("b"), F.count("*").alias("n")).where("n > 1").drop("n")
-    return rows.join(lead, key).where("id <> b").select(F.col("id").alias("a"), "b")
-
-
-def _candidates(cells: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Pairs (a, b) to try, and the rows of cells that are too full to try every pair: there each document is tried with the
-    first of its cell and the first of its finer cell."""
-    n = cells.groupBy("cell").agg(F.count("*").alias("n")).where("n > 1")
-    counted = cells.join(n, "cell")
-    few = counted.where(F.col("n") <= PAIRS_MAX).select("cell", "id")
-    full = materialize(counted.where(F.col("n") > PAIRS_MAX).select("cell", "finer", "id"), "full")
-    pairs = few.join(few.withColumnRenamed("id", "b"), "cell").where("id > b").select(F.col("id").alias("a"), "b")
+    """Each id with the smallest of its key, if their segment counts are near."""
+    lead = rows.groupBy(key).agg(F.min("id").alias("b"), F.min_by("e", "id").alias("e2"), F.count("*").alias("n")).where("n > 1").drop("n")
+    return rows.join(lead, key).where("id <> b").where(manhattan(F.col("e"), F.col("e2")) <= NEAR_COUNTS).select(F.col("id").alias("a"), "b")
+
+
+def _candidates(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Of rows (cell, finer, id, component): pairs (a, b) of different components to try, and the rows of cells that are too
+    full to try every pair: there each component is tried with the first of its cell and of its finer cell."""
+    n = rows.groupBy("cell").agg(F.count("*").alias("n"), F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high")
+    counted = rows.join(n.select("cell", "n"), "cell")
+    few = counted.where(F.col("n") <= PAIRS_MAX).select("cell", "id", "component", "e")
+    full = counted.where(F.col("n") > PAIRS_MAX).groupBy("cell", "finer", "component").agg(F.min_by("e", "id").alias("e")).select("cell", "finer", F.col("component").alias("id"), "component", "e")
+    full = materialize(full, "full")
+    other = few.select("cell", F.col("id").alias("b"), F.col("component").alias("c2"), F.col("e").alias("e2"))
+    pairs = few.join(other, "cell").where("id > b and component <> c2").where(manhattan(F.col("e"), F.col("e2")) <= NEAR_COUNTS).select(F.col("id").alias("a"), "b")
     return pairs.union(_stars(full, "cell")).union(_stars(full, "finer")).distinct(), full
 
 
@@ -252,32 +262,32 @@ def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8,
     """(doc_id, component_id) of the documents that are in one component with another: chains of texts whose sets of word
     shingles have a Jaccard similarity of `similarity` or more; component_id is the smallest doc_id.
 
-    Candidates are pairs whose segment counts agree in a half of one of BANKS fingerprints - a cell of the grid. In a cell
-    of more than PAIRS_MAX documents each is tried with the first of its cell and of its finer cell; then the components
-    found stand for their documents and the cell is tried again, until its components are few enough to try every pair
-    or a round joins none. Links are found by chance (see BANKS), but a pair is joined only after its whole texts are compared.
+    Candidates are pairs whose segment counts agree in a half of one of BANKS fingerprints - a cell of the grid - and are
+    near in the first fingerprint. Each document is first tried with the first of its cells in FIRST_BANKS. Then, in cells of up to PAIRS_MAX documents, every pair is tried
+    that is not yet in one component; in fuller cells the components stand for their documents and are tried with the
+    first of the cell and of the finer cell, until every pair can be tried or a round joins none. Links are found by chance (see BANKS), but a pair is joined only after its whole texts are compared.
     Rows with a null id take no part; a doc_id names one text. Texts without words are all alike."""
     texts = small_batches(docs).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").cast("binary").alias("t")).where("id is not null")
     sigs = materialize(texts.mapInArrow(_bank_rows, "id long, sig binary"), "signatures")
     heads = sigs.groupBy("sig").agg(F.min("id").alias("head"), F.count("*").alias("n"))
     same = sigs.join(heads.where("n > 1"), "sig").where("id <> head").select(F.col("id").alias("a"), F.col("head").alias("b"))
-    cells = heads.select(F.col("head").alias("id"), "sig").mapInArrow(_cell_rows, "cell long, finer long, id long")
-    pairs, full = _candidates(materialize(cells, "cells"))
-    links = materialize(_alike(pairs.union(same), sigs, texts, words, similarity), "alike")
+    cells = heads.select(F.col("head").alias("id"), "sig").mapInArrow(_cell_rows, "cell long, finer long, id long, e long")
+    rows = materialize(cells, "cells")
+    # first each document with the first of its cells: whole groups of copies join here, at a few pairs a document
+    pairs = _stars(rows.where(F.col("cell") < F.lit(FIRST_BANKS << 33)), "cell").union(same).distinct()
+    links = materialize(_alike(pairs, sigs, texts, words, similarity), "alike")
     n_links = links.count()
     while True:
         found = materialize(connected_components(links), "components")
-        if not full.limit(1).count():
-            break
-        head = found.select(F.col("node").alias("id"), "component")
-        rows = full.join(head, "id", "left").select("cell", "finer", F.coalesce("component", "id").alias("id")).distinct()
-        pairs, full = _candidates(materialize(rows, "cells"))
+        head = found.select(F.col("node").alias("id"), F.col("component").alias("now"))
+        named = rows.select("cell", "finer", "id", "e").join(head, "id", "left").select("cell", "finer", "id", "e", F.coalesce("now", "id").alias("component"))
+        # then the pairs of a cell that are still apart; a full cell goes on with its components
+        pairs, rows = _candidates(named)
         more = materialize(_alike(pairs, sigs, texts, words, similarity), "alike")
         links = links.union(more).distinct()
-        n = links.count()
+        n, n_links = n_links, links.count()
         if n == n_links:
             break
-        n_links = n
     return found.select(F.col("node").alias("doc_id"), F.col("component").alias("component_id"))
 
 
