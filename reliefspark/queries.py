@@ -733,12 +733,13 @@ def _(t):
 
 # --- geometry --------------------------------------------------------------------------------------------------------
 
-PT = [(c(f"x{k}"), c(f"y{k}")) for k in range(1, 5)]
+def points() -> list[geometry.Point]:
+    return [(c(f"x{k}"), c(f"y{k}")) for k in range(1, 5)]
 
 
 @query("orientation", fx.SEGMENTS, "SELECT id, (x2 - x1) * (y3 - y1) - (x3 - x1) * (y2 - y1) AS area, CASE WHEN abs((x2 - x1) * (y3 - y1) - (x3 - x1) * (y2 - y1)) <= 0.0001 THEN 'collinear' WHEN (x2 - x1) * (y3 - y1) - (x3 - x1) * (y2 - y1) > 0 THEN 'left' ELSE 'right' END AS side FROM t")
 def _(t):
-    a = geometry.area2(*PT[:3])
+    a = geometry.area2(*points()[:3])
     return t.select("id", a.alias("area"), geometry.side(a, 1e-4).alias("side"))
 
 
@@ -762,7 +763,7 @@ _SG = "--withs AS (SELECT *, " + ", ".join(f"CASE WHEN abs({_a2(a, b, d)}) <= 0.
 
 @query("segments_intersect_class", fx.SEGMENTS, _SG)
 def _(t):
-    return t.select("id", geometry.intersection_class(*PT).alias("kind"))
+    return t.select("id", geometry.intersection_class(*points()).alias("kind"))
 
 
 _ST = "--withn AS (SELECT *, x1 * (y4 - y3) + x2 * (y3 - y4) + x4 * (y2 - y1) + x3 * (y1 - y2) AS dn FROM t), u AS (SELECT *, (x1 * (y4 - y3) + x3 * (y1 - y4) + x4 * (y3 - y1)) / nullif(dn, 0) AS sv, -(x1 * (y3 - y2) + x2 * (y1 - y3) + x3 * (y2 - y1)) / nullif(dn, 0) AS tv FROM n) SELECT id, round(x1 + sv * (x2 - x1), 6) AS px, round(y1 + sv * (y2 - y1), 6) AS py FROM u WHERE abs(dn) > 0.0001 AND sv >= -0.0001 AND sv <= 1.0001 AND tv >= -0.0001 AND tv <= 1.0001 AND NOT (x1 = x2 AND y1 = y2) AND NOT (x3 = x4 AND y3 = y4)"
@@ -770,7 +771,7 @@ _ST = "--withn AS (SELECT *, x1 * (y4 - y3) + x2 * (y3 - y4) + x4 * (y2 - y1) +
 
 @query("segments_intersection_point", fx.SEGMENTS, _ST)
 def _(t):
-    kind, x, y = geometry.intersection_point(*PT)
+    kind, x, y = geometry.intersection_point(*points())
     denom = c("x1") * (c("y4") - c("y3")) + c("x2") * (c("y3") - c("y4")) + c("x4") * (c("y2") - c("y1")) + c("x3") * (c("y1") - c("y2"))
     return t.where(F.abs(denom) > 1e-4).select("id", kind.alias("kind"), F.round(x, 6).alias("px"), F.round(y, 6).alias("py")).where("px is not null").drop("kind")
 
