@@ -27,12 +27,12 @@ def downsample_water(cells: DataFrame, factor: float, width: int, height: int) -
     return share.withColumn("h", F.when(F.col("h") > 500_000, 1).otherwise(0))
 
 
-def _label_blocks(pdf: pd.DataFrame) -> pd.DataFrame:
+def _label_block(pdf: pd.DataFrame, block: int) -> pd.DataFrame:
     """Union-find by array passes within one block: each water cell gets the smallest cell number of its piece."""
     bx, by = int(pdf["bx"].iloc[0]), int(pdf["by"].iloc[0])
     x, y = pdf["x"].to_numpy(), pdf["y"].to_numpy()
-    grid = np.full((BLOCK, BLOCK), np.iinfo(np.int64).max)
-    ly, lx = y - by * BLOCK, x - bx * BLOCK
+    grid = np.full((block, block), np.iinfo(np.int64).max)
+    ly, lx = y - by * block, x - bx * block
     grid[ly, lx] = pdf["cell"].to_numpy()
     water = grid < np.iinfo(np.int64).max
     parent = {int(c): int(c) for c in grid[water]}
@@ -69,17 +69,17 @@ def smallest_reachable(edges: DataFrame) -> DataFrame:
         roots = after
 
 
-def components(cells: DataFrame, width: int) -> DataFrame:
+def components(cells: DataFrame, width: int, block: int = BLOCK) -> DataFrame:
     """(x, y, color) of water cells (h = 1): 4-connected bodies, numbered from 2 in order of their first cell, row by row.
 
     Pieces are labelled within blocks, the rims of blocks give edges between pieces, and only pieces are joined again."""
     water = cells.where("h = 1").select("x", "y", (F.col("y").cast("long") * width + F.col("x")).alias("cell"))
-    blocks = water.withColumn("bx", F.floor(F.col("x") / BLOCK)).withColumn("by", F.floor(F.col("y") / BLOCK))
-    labelled = materialize(blocks.groupBy("bx", "by").applyInPandas(_label_blocks, "x int, y int, cell long, label long"), "labels")
+    blocks = water.withColumn("bx", F.floor(F.col("x") / block)).withColumn("by", F.floor(F.col("y") / block))
+    labelled = materialize(blocks.groupBy("bx", "by").applyInPandas(lambda pdf: _label_block(pdf, block), "x int, y int, cell long, label long"), "labels")
     edges = labelled.select(F.col("label").alias("a"), F.col("label").alias("b")).distinct()
     for dx, dy in ((1, 0), (0, 1)):
-        rim = labelled.where((F.pmod(F.col("x" if dx else "y") + 1, F.lit(BLOCK)) == 0))
-        other = labelled.where((F.pmod(F.col("x" if dx else "y"), F.lit(BLOCK)) == 0)).select((F.col("x") - dx).alias("x"), (F.col("y") - dy).alias("y"), F.col("label").alias("b"))
+        rim = labelled.where((F.pmod(F.col("x" if dx else "y") + 1, F.lit(block)) == 0))
+        other = labelled.where((F.pmod(F.col("x" if dx else "y"), F.lit(block)) == 0)).select((F.col("x") - dx).alias("x"), (F.col("y") - dy).alias("y"), F.col("label").alias("b"))
         edges = edges.union(rim.join(other, ["x", "y"]).select(F.col("label").alias("a"), "b"))
     roots = smallest_reachable(edges.distinct())
     # bodies, not cells, are numbered in one ordered pass

@@ -13,7 +13,7 @@ from ..sources.grids import from_tiles
 
 def arriving(spark: SparkSession, folder: str, pattern: str = "*.hgt") -> DataFrame:
     """A stream of (tile_x, tile_y, content) of files named like N46E015.hgt."""
-    files = spark.readStream.format("binaryFile").option("pathGlobFilter", pattern).load(folder)
+    files = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").option("pathGlobFilter", pattern).load(folder)
     name = F.regexp_extract("path", r"([^/]+)\.[^.]+$", 1)
     x, y = parse_tile_name(name)
     return files.select(x.alias("tile_x"), y.alias("tile_y"), "content").where("tile_x is not null")

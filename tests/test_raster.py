@@ -30,13 +30,8 @@ def test_one_water_body(spark):
 def test_components_across_blocks_against_flood_fill(spark):
     rng = random.Random(4)
     n = 30
-    old = water.BLOCK
-    water.BLOCK = 8
-    try:
-        g = [[int(rng.random() < 0.55) for _ in range(n)] for _ in range(n)]
-        got = {(r.x, r.y): r.color for r in water.components(cells(spark, g), n).collect()}
-    finally:
-        water.BLOCK = old
+    g = [[int(rng.random() < 0.55) for _ in range(n)] for _ in range(n)]
+    got = {(r.x, r.y): r.color for r in water.components(cells(spark, g), n, block=8).collect()}
     seen, color = {}, 2
     for y in range(n):
         for x in range(n):
