@@ -142,6 +142,13 @@ MEMO_WORDS = 150_000
 FIRST_BANKS, NEAR_COUNTS = 4, 16
 #: Documents in one cell up to which every pair of them is tried.
 PAIRS_MAX = 32
+#: Bits of a document's parity sketch: bit k is set if an odd number of its distinct shingles hash to k. Two sketches differ
+#: in no more bits than there are shingles in one document alone. Folded to CELL_BITS it travels with the cells.
+SKETCH_BITS, CELL_BITS = 1024, 128
+
+
+#: What a row of the cells carries besides its cells.
+WITH = ("id", "e", "o", "p", "s")
 
 
 class _WordHash(dict):
@@ -170,23 +177,54 @@ def bank_fingerprints(hashes: np.ndarray, banks: int = BANKS) -> np.ndarray:
     return np.packbits(counts * 2 > len(hashes), bitorder="little").view("<u8")
 
 
-def _bank_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    memo = _WordHash()
-    for b in batches:
-        sigs = []
-        for t in values(b.column(1)):
-            words = (t or b"").lower().split()
-            h = np.fromiter(map(memo.__getitem__, words), np.uint64, len(words))
-            pairs = h if len(h) < 2 else h[:-1] * np.uint64(0x9FB21C651E98DF25) ^ h[1:]
-            sigs.append(bank_fingerprints(np.unique(pairs)).tobytes())
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sigs, pa.binary())], ["id", "sig"])
-    memo.clear()
-    release()
+def shingle_hashes(h: np.ndarray, words: int) -> np.ndarray:
+    """Distinct hashes of the shingles of a text with these word hashes; fewer words make one shingle."""
+    k = min(len(h), words)
+    if not k:
+        return h
+    out = np.full(len(h) - k + 1, k, np.uint64)
+    for j in range(k):
+        out = (out ^ h[j : j + len(out)]) * np.uint64(0x9FB21C651E98DF25)
+        out ^= out >> np.uint64(32)
+    return np.unique(out)
+
+
+def parity_sketch(hashes: np.ndarray) -> np.ndarray:
+    """SKETCH_BITS bits as words of 64."""
+    odd = np.bincount((hashes & np.uint64(SKETCH_BITS - 1)).astype(np.int64), minlength=SKETCH_BITS) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view("<u8")
+
+
+def most_alone(similarity: float) -> float:
+    """Shingles in one of two documents alone, as a share of the sum of their counts, at a Jaccard similarity: the bound
+    that the differing bits of two parity sketches must keep."""
+    return (1 - similarity) / (1 + similarity)
+
+
+def _bank_rows(words: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memo = _WordHash()
+        for b in batches:
+            sigs, sketches, counts = [], [], []
+            for t in values(b.column(1)):
+                text = (t or b"").lower().split()
+                h = np.fromiter(map(memo.__getitem__, text), np.uint64, len(text))
+                pairs = h if len(h) < 2 else h[:-1] * np.uint64(0x9FB21C651E98DF25) ^ h[1:]
+                sigs.append(bank_fingerprints(np.unique(pairs)).tobytes())
+                s = shingle_hashes(h, words)
+                sketches.append(parity_sketch(s).tobytes())
+                counts.append(len(s))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sigs, pa.binary()), pa.array(sketches, pa.binary()), pa.array(counts, pa.int32())], ["id", "sig", "sketch", "shingles"])
+        memo.clear()
+        release()
+
+    return run
 
 
 def _cell_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(cell, finer, id, e): for each half of each fingerprint the counts of its 16 two-bit segments, alone and with the counts
-    of the next half; e: the segment counts of the first fingerprint."""
+    """(cell, finer, id, e, o, p, s): for each half of each fingerprint the counts of its 16 two-bit segments, alone and with
+    the counts of the next half; e: the segment counts of the first fingerprint; o and p: the parity sketch folded to
+    CELL_BITS; s: the number of distinct shingles."""
     low = np.uint64(LOW)
     for b in batches:
         for lo in range(0, b.num_rows, 1000):
@@ -197,27 +235,38 @@ def _cell_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             cell = half | (np.arange(BANKS * 2, dtype=np.uint64) << np.uint64(32))
             finer = (cell * np.uint64(0x9FB21C651E98DF25)) ^ (np.roll(half, -1, axis=1) * np.uint64(0x9E3779B97F4A7C15))
             ids = np.repeat(part.column(0).to_numpy(), BANKS * 2)
-            first = np.repeat(e[:, 0].view(np.int64), BANKS * 2)
-            yield pa.RecordBatch.from_arrays([pa.array(cell.reshape(-1).view(np.int64)), pa.array(finer.reshape(-1).view(np.int64)), pa.array(ids), pa.array(first)], ["cell", "finer", "id", "e"])
+            sketch = np.frombuffer(b"".join(part.column(2).to_pylist()), "<u8").reshape(part.num_rows, -1, CELL_BITS // 64)
+            o, p = np.bitwise_xor.reduce(sketch, axis=1).view(np.int64).T
+            each = [np.repeat(x, BANKS * 2) for x in (np.ascontiguousarray(e[:, 0]).view(np.int64), o, p, part.column(3).to_numpy())]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (cell.reshape(-1).view(np.int64), finer.reshape(-1).view(np.int64), ids, *each)], ["cell", "finer", *WITH])
+
+
+def _near(similarity: float) -> Column:
+    """Of two rows of cells, the second's columns ending in 2: their segment counts are near, and their parity sketches
+    leave a Jaccard similarity of `similarity` possible."""
+    alone = F.bit_count(F.col("o").bitwiseXOR(F.col("o2"))) + F.bit_count(F.col("p").bitwiseXOR(F.col("p2")))
+    return (manhattan(F.col("e"), F.col("e2")) <= NEAR_COUNTS) & (alone <= (F.col("s") + F.col("s2")) * most_alone(similarity) + 1e-6)
 
 
-def _stars(rows: DataFrame, key: str) -> DataFrame:
-    """Each id with the smallest of its key, if their segment counts are near."""
-    lead = rows.groupBy(key).agg(F.min("id").alias("b"), F.min_by("e", "id").alias("e2"), F.count("*").alias("n")).where("n > 1").drop("n")
-    return rows.join(lead, key).where("id <> b").where(manhattan(F.col("e"), F.col("e2")) <= NEAR_COUNTS).select(F.col("id").alias("a"), "b")
+def _stars(rows: DataFrame, key: str, similarity: float) -> DataFrame:
+    """Each id with the smallest of its key, if of another component and if they may be similar."""
+    lead = rows.groupBy(key).agg(F.min(F.struct(*WITH, "component")).alias("first"), F.count("*").alias("n")).where("n > 1")
+    lead = lead.select(key, *[F.col(f"first.{c}").alias(f"{c}2") for c in (*WITH, "component")])
+    return rows.join(lead, key).where("component <> component2").where(_near(similarity)).select(F.col("id").alias("a"), F.col("id2").alias("b"))
 
 
-def _candidates(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Of rows (cell, finer, id, component): pairs (a, b) of different components to try, and the rows of cells that are too
-    full to try every pair: there each component is tried with the first of its cell and of its finer cell."""
+def _candidates(rows: DataFrame, similarity: float) -> tuple[DataFrame, DataFrame]:
+    """Of rows (cell, finer, component and WITH): pairs (a, b) of different components to try, and the rows of cells that are
+    too full to try every pair: there one document stands for each component in a finer cell and is tried with the first of
+    its cell and of its finer cell."""
     n = rows.groupBy("cell").agg(F.count("*").alias("n"), F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high")
     counted = rows.join(n.select("cell", "n"), "cell")
-    few = counted.where(F.col("n") <= PAIRS_MAX).select("cell", "id", "component", "e")
-    full = counted.where(F.col("n") > PAIRS_MAX).groupBy("cell", "finer", "component").agg(F.min_by("e", "id").alias("e")).select("cell", "finer", F.col("component").alias("id"), "component", "e")
+    few = counted.where(F.col("n") <= PAIRS_MAX).select("cell", "component", *WITH)
+    full = counted.where(F.col("n") > PAIRS_MAX).groupBy("cell", "finer", "component").agg(F.min(F.struct(*WITH)).alias("first")).select("cell", "finer", "component", "first.*")
     full = materialize(full, "full")
-    other = few.select("cell", F.col("id").alias("b"), F.col("component").alias("c2"), F.col("e").alias("e2"))
-    pairs = few.join(other, "cell").where("id > b and component <> c2").where(manhattan(F.col("e"), F.col("e2")) <= NEAR_COUNTS).select(F.col("id").alias("a"), "b")
-    return pairs.union(_stars(full, "cell")).union(_stars(full, "finer")).distinct(), full
+    other = few.select("cell", F.col("component").alias("component2"), *[F.col(c).alias(f"{c}2") for c in WITH])
+    pairs = few.join(other, "cell").where("id > id2 and component <> component2").where(_near(similarity)).select(F.col("id").alias("a"), F.col("id2").alias("b"))
+    return pairs.union(_stars(full, "cell", similarity)).union(_stars(full, "finer", similarity)).distinct(), full
 
 
 def shingles(data: bytes | None, words: int) -> set[bytes]:
@@ -226,14 +275,15 @@ def shingles(data: bytes | None, words: int) -> set[bytes]:
 
 
 def _alike(pairs: DataFrame, sigs: DataFrame, texts: DataFrame, words: int, similarity: float) -> DataFrame:
-    """The pairs that are near by all their bits and then by the exact Jaccard similarity of their shingles."""
-    most = int(NEAR_BITS * BANKS * 64)
+    """The pairs that are near by all their bits, may be similar by their parity sketches, and are by the exact Jaccard
+    similarity of their shingles."""
+    most, share = int(NEAR_BITS * BANKS * 64), most_alone(similarity)
 
     def by_bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
-                x, y = (np.frombuffer(b"".join(b.column(k).to_pylist()), "<u8").reshape(-1, BANKS) for k in (2, 3))
-                keep = np.bitwise_count(x ^ y).sum(axis=1) <= most
+                apart = [np.bitwise_count(np.bitwise_xor(*(np.frombuffer(b"".join(b.column(k).to_pylist()), "<u8").reshape(b.num_rows, -1) for k in two))).sum(axis=1) for two in ((2, 3), (4, 5))]
+                keep = (apart[0] <= most) & (apart[1] <= b.column(6).to_numpy() * share + 1e-6)
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["a", "b"]).filter(pa.array(keep))
 
     def by_text(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -250,8 +300,8 @@ def _alike(pairs: DataFrame, sigs: DataFrame, texts: DataFrame, words: int, simi
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
         release()
 
-    sa, sb = sigs.select(F.col("id").alias("a"), F.col("sig").alias("x")), sigs.select(F.col("id").alias("b"), F.col("sig").alias("y"))
-    near = materialize(pairs.join(sa, "a").join(sb, "b").select("a", "b", "x", "y").mapInArrow(by_bits, "a long, b long"), "near")
+    sa, sb = (sigs.select(F.col("id").alias(k), F.col("sig").alias(x), F.col("sketch").alias(f"o{x}"), F.col("shingles").cast("long").alias(f"n{x}")) for k, x in (("a", "x"), ("b", "y")))
+    near = materialize(pairs.join(sa, "a").join(sb, "b").select("a", "b", "x", "y", "ox", "oy", F.col("nx") + F.col("ny")).mapInArrow(by_bits, "a long, b long"), "near")
     ids = materialize(near.select(F.col("a").alias("id")).union(near.select("b")).distinct(), "near-ids")
     used = texts.join(small(ids, ids.count()), "id", "left_semi")
     ta, tb = used.select(F.col("id").alias("a"), F.col("t").alias("x")), used.select(F.col("id").alias("b"), F.col("t").alias("y"))
@@ -263,26 +313,26 @@ def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8,
     shingles have a Jaccard similarity of `similarity` or more; component_id is the smallest doc_id.
 
     Candidates are pairs whose segment counts agree in a half of one of BANKS fingerprints - a cell of the grid - and are
-    near in the first fingerprint. Each document is first tried with the first of its cells in FIRST_BANKS. Then, in cells of up to PAIRS_MAX documents, every pair is tried
-    that is not yet in one component; in fuller cells the components stand for their documents and are tried with the
+    near in the first fingerprint, and whose parity sketches do not rule the similarity out, which loses no pair. Each document is first tried with the first of its cells in FIRST_BANKS. Then, in cells of up to PAIRS_MAX documents, every pair is tried
+    that is not yet in one component; in fuller cells one document stands for each component and is tried with the
     first of the cell and of the finer cell, until every pair can be tried or a round joins none. Links are found by chance (see BANKS), but a pair is joined only after its whole texts are compared.
     Rows with a null id take no part; a doc_id names one text. Texts without words are all alike."""
     texts = small_batches(docs).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").cast("binary").alias("t")).where("id is not null")
-    sigs = materialize(texts.mapInArrow(_bank_rows, "id long, sig binary"), "signatures")
-    heads = sigs.groupBy("sig").agg(F.min("id").alias("head"), F.count("*").alias("n"))
+    sigs = materialize(texts.mapInArrow(_bank_rows(words), "id long, sig binary, sketch binary, shingles int"), "signatures")
+    heads = sigs.groupBy("sig").agg(F.min(F.struct("id", "sketch", "shingles")).alias("first"), F.count("*").alias("n")).select("sig", "first", "n", F.col("first.id").alias("head"))
     same = sigs.join(heads.where("n > 1"), "sig").where("id <> head").select(F.col("id").alias("a"), F.col("head").alias("b"))
-    cells = heads.select(F.col("head").alias("id"), "sig").mapInArrow(_cell_rows, "cell long, finer long, id long, e long")
+    cells = heads.select("head", "sig", "first.sketch", "first.shingles").mapInArrow(_cell_rows, "cell long, finer long, id long, e long, o long, p long, s int")
     rows = materialize(cells, "cells")
     # first each document with the first of its cells: whole groups of copies join here, at a few pairs a document
-    pairs = _stars(rows.where(F.col("cell") < F.lit(FIRST_BANKS << 33)), "cell").union(same).distinct()
+    pairs = _stars(rows.where(F.col("cell") < F.lit(FIRST_BANKS << 33)).withColumn("component", F.col("id")), "cell", similarity).union(same).distinct()
     links = materialize(_alike(pairs, sigs, texts, words, similarity), "alike")
     n_links = links.count()
     while True:
         found = materialize(connected_components(links), "components")
         head = found.select(F.col("node").alias("id"), F.col("component").alias("now"))
-        named = rows.select("cell", "finer", "id", "e").join(head, "id", "left").select("cell", "finer", "id", "e", F.coalesce("now", "id").alias("component"))
+        named = rows.select("cell", "finer", *WITH).join(head, "id", "left").select("cell", "finer", *WITH, F.coalesce("now", "id").alias("component"))
         # then the pairs of a cell that are still apart; a full cell goes on with its components
-        pairs, rows = _candidates(named)
+        pairs, rows = _candidates(named, similarity)
         more = materialize(_alike(pairs, sigs, texts, words, similarity), "alike")
         links = links.union(more).distinct()
         n, n_links = n_links, links.count()

@@ -240,6 +240,20 @@ def test_links_lose_none(spark, monkeypatch, full, distance):
     assert {i: found.get(i, i) for i in want} == want
 
 
+def test_parity_sketch_is_a_lower_bound():
+    rng = random.Random(4)
+    for n in (0, 1, 4, 5, 30, 900, 3000):
+        w = prose(rng, n).split()[:n]
+        v = [x if rng.random() > 0.03 else x + "s" for x in w]
+        sets = [simhash.shingles(" ".join(x).encode(), 5) for x in (w, v)]
+        memo = simhash._WordHash()
+        hashes = [simhash.shingle_hashes(np.array([memo[x.encode()] for x in t], np.uint64), 5) for t in (w, v)]
+        assert [len(x) for x in hashes] == [len(x) for x in sets]
+        apart = int(np.bitwise_count(np.bitwise_xor(*map(simhash.parity_sketch, hashes))).sum())
+        alone, both = len(sets[0] ^ sets[1]), len(sets[0] | sets[1])
+        assert apart <= alone and (not both or abs(alone - (len(sets[0]) + len(sets[1])) * simhash.most_alone(1 - alone / both)) < 1e-6)
+
+
 def test_similar_documents(spark):
     rng = random.Random(9)
     base = [prose(rng, 300) for _ in range(40)]
