@@ -140,8 +140,9 @@ MEMO_WORDS = 150_000
 #: Banks by whose cells documents are first tried, and the Manhattan distance between the segment counts of the first
 #: fingerprints of a pair beyond which it is not tried: more than NEAR_BITS of 64 bits and some.
 FIRST_BANKS, NEAR_COUNTS = 4, 16
-#: Documents in one cell up to which every pair of them is tried.
-PAIRS_MAX = 32
+#: Documents in one cell from which its documents are first tried with one of them, in up to STAR_TURNS turns, before every
+#: pair still apart is tried; and rows of a cell that one task tries against as many others.
+PAIRS_MAX, STAR_TURNS, BLOCK_ROWS = 32, 2, 1000
 #: Bits of a document's parity sketch: bit k is set if an odd number of its distinct shingles hash to k. Two sketches differ
 #: in no more bits than there are shingles in one document alone. Folded to CELL_BITS it travels with the cells.
 SKETCH_BITS, CELL_BITS = 1024, 128
@@ -222,8 +223,7 @@ def _bank_rows(words: int):
 
 
 def _cell_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(cell, finer, id, e, o, p, s): for each half of each fingerprint the counts of its 16 two-bit segments, alone and with
-    the counts of the next half; e: the segment counts of the first fingerprint; o and p: the parity sketch folded to
+    """(cell, id, e, o, p, s): for each half of each fingerprint the counts of its 16 two-bit segments; e: the segment counts of the first fingerprint; o and p: the parity sketch folded to
     CELL_BITS; s: the number of distinct shingles."""
     low = np.uint64(LOW)
     for b in batches:
@@ -233,12 +233,11 @@ def _cell_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             e = (((f & (f >> np.uint64(1))) & low) << np.uint64(1)) | ((f ^ (f >> np.uint64(1))) & low)
             half = np.stack([e >> np.uint64(32), e & np.uint64(0xFFFFFFFF)], axis=2).reshape(part.num_rows, BANKS * 2)
             cell = half | (np.arange(BANKS * 2, dtype=np.uint64) << np.uint64(32))
-            finer = (cell * np.uint64(0x9FB21C651E98DF25)) ^ (np.roll(half, -1, axis=1) * np.uint64(0x9E3779B97F4A7C15))
             ids = np.repeat(part.column(0).to_numpy(), BANKS * 2)
             sketch = np.frombuffer(b"".join(part.column(2).to_pylist()), "<u8").reshape(part.num_rows, -1, CELL_BITS // 64)
             o, p = np.bitwise_xor.reduce(sketch, axis=1).view(np.int64).T
             each = [np.repeat(x, BANKS * 2) for x in (np.ascontiguousarray(e[:, 0]).view(np.int64), o, p, part.column(3).to_numpy())]
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (cell.reshape(-1).view(np.int64), finer.reshape(-1).view(np.int64), ids, *each)], ["cell", "finer", *WITH])
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (cell.reshape(-1).view(np.int64), ids, *each)], ["cell", *WITH])
 
 
 def _near(similarity: float) -> Column:
@@ -248,25 +247,27 @@ def _near(similarity: float) -> Column:
     return (manhattan(F.col("e"), F.col("e2")) <= NEAR_COUNTS) & (alone <= (F.col("s") + F.col("s2")) * most_alone(similarity) + 1e-6)
 
 
-def _stars(rows: DataFrame, key: str, similarity: float) -> DataFrame:
-    """Each id with the smallest of its key, if of another component and if they may be similar."""
-    lead = rows.groupBy(key).agg(F.min(F.struct(*WITH, "component")).alias("first"), F.count("*").alias("n")).where("n > 1")
-    lead = lead.select(key, *[F.col(f"first.{c}").alias(f"{c}2") for c in (*WITH, "component")])
-    return rows.join(lead, key).where("component <> component2").where(_near(similarity)).select(F.col("id").alias("a"), F.col("id2").alias("b"))
+def _stars(rows: DataFrame, similarity: float, turn: int = 0) -> DataFrame:
+    """Each id with one row of its cell, another in each turn, if of another component and if they may be similar."""
+    lead = rows.groupBy("cell").agg(F.min(F.struct(F.xxhash64("id", F.lit(turn)) if turn else F.col("id").alias("at"), *WITH, "component")).alias("first"), F.count("*").alias("n")).where("n > 1")
+    lead = lead.select("cell", *[F.col(f"first.{c}").alias(f"{c}2") for c in (*WITH, "component")])
+    return rows.join(lead, "cell").where("component <> component2").where(_near(similarity)).select(F.greatest("id", "id2").alias("a"), F.least("id", "id2").alias("b")).distinct()
 
 
-def _candidates(rows: DataFrame, similarity: float) -> tuple[DataFrame, DataFrame]:
-    """Of rows (cell, finer, component and WITH): pairs (a, b) of different components to try, and the rows of cells that are
-    too full to try every pair: there one document stands for each component in a finer cell and is tried with the first of
-    its cell and of its finer cell."""
-    n = rows.groupBy("cell").agg(F.count("*").alias("n"), F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high")
-    counted = rows.join(n.select("cell", "n"), "cell")
-    few = counted.where(F.col("n") <= PAIRS_MAX).select("cell", "component", *WITH)
-    full = counted.where(F.col("n") > PAIRS_MAX).groupBy("cell", "finer", "component").agg(F.min(F.struct(*WITH)).alias("first")).select("cell", "finer", "component", "first.*")
-    full = materialize(full, "full")
-    other = few.select("cell", F.col("component").alias("component2"), *[F.col(c).alias(f"{c}2") for c in WITH])
-    pairs = few.join(other, "cell").where("id > id2 and component <> component2").where(_near(similarity)).select(F.col("id").alias("a"), F.col("id2").alias("b"))
-    return pairs.union(_stars(full, "cell", similarity)).union(_stars(full, "finer", similarity)).distinct(), full
+def _apart(rows: DataFrame, more_than: int = 1) -> DataFrame:
+    """The rows of cells that hold more than one component and more than `more_than` rows, and the rows of their cell, n."""
+    n = rows.groupBy("cell").agg(F.count("*").alias("n"), F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").where(F.col("n") > more_than)
+    return rows.join(n.select("cell", "n"), "cell")
+
+
+def _every_pair(rows: DataFrame, similarity: float) -> DataFrame:
+    """All pairs (a, b) of a cell that are of different components and may be similar. A cell of more than BLOCK_ROWS rows is
+    dealt into blocks by id, and each two blocks are tried by themselves."""
+    counted = _apart(rows).withColumn("k", F.ceil(F.col("n") / BLOCK_ROWS).cast("int")).withColumn("r", F.pmod(F.xxhash64("id"), F.col("k")).cast("int"))
+    left = counted.select("cell", F.col("r").alias("x"), F.explode(F.sequence("r", F.col("k") - 1)).alias("y"), "component", *WITH)
+    right = counted.select("cell", F.explode(F.sequence(F.lit(0), "r")).alias("x"), F.col("r").alias("y"), F.col("component").alias("component2"), *[F.col(c).alias(f"{c}2") for c in WITH])
+    pairs = left.join(right, ["cell", "x", "y"]).where("component <> component2 and (x < y or id < id2)").where(_near(similarity))
+    return pairs.select(F.greatest("id", "id2").alias("a"), F.least("id", "id2").alias("b")).distinct()
 
 
 def shingles(data: bytes | None, words: int) -> set[bytes]:
@@ -313,31 +314,36 @@ def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8,
     shingles have a Jaccard similarity of `similarity` or more; component_id is the smallest doc_id.
 
     Candidates are pairs whose segment counts agree in a half of one of BANKS fingerprints - a cell of the grid - and are
-    near in the first fingerprint, and whose parity sketches do not rule the similarity out, which loses no pair. Each document is first tried with the first of its cells in FIRST_BANKS. Then, in cells of up to PAIRS_MAX documents, every pair is tried
-    that is not yet in one component; in fuller cells one document stands for each component and is tried with the
-    first of the cell and of the finer cell, until every pair can be tried or a round joins none. Links are found by chance (see BANKS), but a pair is joined only after its whole texts are compared.
+    near in the first fingerprint, and whose parity sketches do not rule the similarity out, which loses no pair. Each document is first tried with the first of its cells in FIRST_BANKS. Then,
+    in cells of more than PAIRS_MAX documents, each is tried with others of its cell in turn, and at last every pair of
+    every cell that is not yet in one component. Links are found by chance (see BANKS), but a pair is joined only after its whole texts are compared.
     Rows with a null id take no part; a doc_id names one text. Texts without words are all alike."""
     texts = small_batches(docs).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").cast("binary").alias("t")).where("id is not null")
     sigs = materialize(texts.mapInArrow(_bank_rows(words), "id long, sig binary, sketch binary, shingles int"), "signatures")
     heads = sigs.groupBy("sig").agg(F.min(F.struct("id", "sketch", "shingles")).alias("first"), F.count("*").alias("n")).select("sig", "first", "n", F.col("first.id").alias("head"))
     same = sigs.join(heads.where("n > 1"), "sig").where("id <> head").select(F.col("id").alias("a"), F.col("head").alias("b"))
-    cells = heads.select("head", "sig", "first.sketch", "first.shingles").mapInArrow(_cell_rows, "cell long, finer long, id long, e long, o long, p long, s int")
+    cells = heads.select("head", "sig", "first.sketch", "first.shingles").mapInArrow(_cell_rows, "cell long, id long, e long, o long, p long, s int")
     rows = materialize(cells, "cells")
     # first each document with the first of its cells: whole groups of copies join here, at a few pairs a document
-    pairs = _stars(rows.where(F.col("cell") < F.lit(FIRST_BANKS << 33)).withColumn("component", F.col("id")), "cell", similarity).union(same).distinct()
+    pairs = _stars(rows.where(F.col("cell") < F.lit(FIRST_BANKS << 33)).withColumn("component", F.col("id")), similarity).union(same).distinct()
     links = materialize(_alike(pairs, sigs, texts, words, similarity), "alike")
-    n_links = links.count()
-    while True:
-        found = materialize(connected_components(links), "components")
+
+    def named() -> DataFrame:
         head = found.select(F.col("node").alias("id"), F.col("component").alias("now"))
-        named = rows.select("cell", "finer", *WITH).join(head, "id", "left").select("cell", "finer", *WITH, F.coalesce("now", "id").alias("component"))
-        # then the pairs of a cell that are still apart; a full cell goes on with its components
-        pairs, rows = _candidates(named, similarity)
-        more = materialize(_alike(pairs, sigs, texts, words, similarity), "alike")
-        links = links.union(more).distinct()
-        n, n_links = n_links, links.count()
-        if n == n_links:
+        return rows.join(head, "id", "left").select("cell", *WITH, F.coalesce("now", "id").alias("component"))
+
+    found = materialize(connected_components(links), "components")
+    for turn in range(1, STAR_TURNS + 1):
+        # then those of full cells with others, as long as this joins any
+        full = materialize(_apart(named(), PAIRS_MAX).drop("n"), "full")
+        more = materialize(_alike(_stars(full, similarity, turn), sigs, texts, words, similarity), "alike")
+        if more.isEmpty():
             break
+        links = links.union(more)
+        found = materialize(connected_components(links), "components")
+    # at last every pair of a cell that is still apart
+    more = materialize(_alike(_every_pair(named(), similarity), sigs, texts, words, similarity), "alike")
+    found = materialize(connected_components(links.union(more)), "components")
     return found.select(F.col("node").alias("doc_id"), F.col("component").alias("component_id"))
 
 

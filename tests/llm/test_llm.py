@@ -276,6 +276,16 @@ def test_similar_documents(spark):
     assert kept.columns == table(spark, []).columns and 225 not in {r.doc_id for r in kept.collect()}
 
 
+def test_full_cells_try_every_pair(spark, monkeypatch):
+    """Pairs that differ from the first of their cell and from each other pair, in a cell of more than PAIRS_MAX rows."""
+    monkeypatch.setattr(simhash, "BLOCK_ROWS", 7)
+    rows = [(1, i, i // 2 if i < 10 else i, 0, 0, 0, 100) for i in range(50)] + [(2, 60, 60, 0, 0, 0, 100), (2, 61, 61, 0, 0, 0, 100)]
+    df = spark.createDataFrame([(c, k, *w) for c, w_id, k, *w in [(c, i, k, i, *rest) for c, i, k, *rest in rows]], "cell long, component long, id long, e long, o long, p long, s int").select("cell", "component", *simhash.WITH)
+    got = [tuple(r) for r in simhash._every_pair(df, 0.8).collect()]
+    component = {i: k for _, i, k, *_ in rows}
+    assert len(got) == len(set(got)) and set(got) == {(a, b) for a in range(50) for b in range(a) if component[a] != component[b]} | {(61, 60)}
+
+
 # --- 6 WARC ---
 
 
