@@ -3,11 +3,13 @@ under Manhattan distance, which never exceeds the Hamming distance; the exact di
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -129,17 +131,11 @@ def near_duplicates(docs: DataFrame, words: int = 3, distance: int = 2, id_col:
     return each.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-#: Fingerprints of each document's distinct pairs of words by which similar documents are found: at one changed bit in 11, which is
-#: what a likeness of 0.8 in five-word shingles comes to, one of their 64 halves is whole in 14 of 15 pairs, at one in 16
-#: (a likeness of 0.9) in all but one in 1000.
-BANKS = 32
-#: Share of differing bits up to which a pair's shingles are compared.
-NEAR_BITS = 0.2
 #: Words whose hashes a worker remembers.
 MEMO_WORDS = 150_000
-#: Banks by whose cells documents are first tried, and the Manhattan distance between the segment counts of the first
-#: fingerprints of a pair beyond which it is not tried: more than NEAR_BITS of 64 bits and some.
-FIRST_BANKS, NEAR_COUNTS = 4, 16
+#: Documents (by hash of id) whose shingles say which are frequent, how often one must be seen there, and how many are kept:
+#: these come last in the order of shingles. Any order finds every pair; this one keeps frequent shingles from the prefixes.
+SAMPLE_DOCS, SEEN, FREQUENT = 10_000, 3, 200_000
 #: Documents in one cell from which its documents are first tried with one of them, in up to STAR_TURNS turns, before every
 #: pair still apart is tried; and rows of a cell that one task tries against as many others.
 PAIRS_MAX, STAR_TURNS, BLOCK_ROWS = 32, 2, 1000
@@ -148,8 +144,8 @@ PAIRS_MAX, STAR_TURNS, BLOCK_ROWS = 32, 2, 1000
 SKETCH_BITS, CELL_BITS = 1024, 128
 
 
-#: What a row of the cells carries besides its cells.
-WITH = ("id", "e", "o", "p", "s")
+#: What a row of the cells carries besides its cell: id, place of the cell's shingle in the order, parity sketch, shingles.
+WITH = ("id", "i", "o", "p", "s")
 
 
 class _WordHash(dict):
@@ -162,22 +158,6 @@ class _WordHash(dict):
         return h
 
 
-def bank_fingerprints(hashes: np.ndarray, banks: int = BANKS) -> np.ndarray:
-    """`banks` SimHash fingerprints of the same features: each bank hashes the features anew."""
-    if not len(hashes):
-        return np.zeros(banks, np.uint64)
-    counts = np.zeros(banks * 64, np.int64)
-    add = np.arange(1, banks + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    for k in range(0, len(hashes), 2048):
-        x = hashes[k : k + 2048, None] + add[None, :]
-        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-        x ^= x >> np.uint64(31)
-        lanes = np.unpackbits(x.view(np.uint8), axis=1, bitorder="little").view(np.uint64)
-        counts += np.add.reduceat(lanes, np.arange(0, len(x), 255), axis=0).view(np.uint8).reshape(-1, banks * 64).sum(axis=0, dtype=np.int64)
-    return np.packbits(counts * 2 > len(hashes), bitorder="little").view("<u8")
-
-
 def shingle_hashes(h: np.ndarray, words: int) -> np.ndarray:
     """Distinct hashes of the shingles of a text with these word hashes; fewer words make one shingle."""
     k = min(len(h), words)
@@ -202,20 +182,60 @@ def most_alone(similarity: float) -> float:
     return (1 - similarity) / (1 + similarity)
 
 
-def _bank_rows(words: int):
+def prefix(hashes: np.ndarray, frequent: tuple[np.ndarray, np.ndarray], similarity: float) -> np.ndarray:
+    """Of distinct shingles the first in an order that all documents share: rare ones by hash, then `frequent` ones (hashes,
+    ascending, and their ranks). Of two sets alike by `similarity`, at least that share of the larger is common, so
+    with all but so many less one in the prefix, the first common shingle is in the prefix of both."""
+    if not len(hashes):
+        return hashes
+    rank = np.zeros(len(hashes), np.int64)
+    if len(frequent[0]):
+        at = np.searchsorted(frequent[0], hashes).clip(max=len(frequent[0]) - 1)
+        rank = np.where(frequent[0][at] == hashes, frequent[1][at] + 1, 0)
+    n = len(hashes) - math.ceil(similarity * len(hashes) - 1e-6) + 1
+    return hashes[np.lexsort((hashes, rank))[: min(n, len(hashes))]]
+
+
+def _hashed(texts: pa.Array, words: int, memo: _WordHash) -> Iterator[np.ndarray]:
+    for t in values(texts):
+        text = (t or b"").lower().split()
+        yield shingle_hashes(np.fromiter(map(memo.__getitem__, text), np.uint64, len(text)), words)
+
+
+def _frequent(texts: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of shingles that are frequent in a bounded sample, ascending, and their ranks: the most frequent last."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = _WordHash()
         for b in batches:
-            sigs, sketches, counts = [], [], []
-            for t in values(b.column(1)):
-                text = (t or b"").lower().split()
-                h = np.fromiter(map(memo.__getitem__, text), np.uint64, len(text))
-                pairs = h if len(h) < 2 else h[:-1] * np.uint64(0x9FB21C651E98DF25) ^ h[1:]
-                sigs.append(bank_fingerprints(np.unique(pairs)).tobytes())
-                s = shingle_hashes(h, words)
-                sketches.append(parity_sketch(s).tobytes())
+            for h in _hashed(b.column(1), words, memo):
+                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64))], ["cell"])
+        memo.clear()
+        release()
+
+    chosen = materialize(texts.select("id").distinct().orderBy(F.xxhash64("id"), "id").limit(SAMPLE_DOCS), "sample")
+    seen = texts.join(F.broadcast(chosen), "id", "left_semi").mapInArrow(run, "cell long").groupBy("cell").count().where(F.col("count") >= SEEN)
+    top = seen.orderBy(F.desc("count"), "cell").limit(FREQUENT).toArrow()["cell"].to_numpy().view(np.uint64)
+    order = np.argsort(top)
+    return top[order], (len(top) - order).astype(np.int64)
+
+
+def _signatures(words: int, similarity: float, frequent: Broadcast):
+    """(id, sig, sketch, o, p, shingles, prefix): sig names the set of shingles; o and p are the sketch folded to CELL_BITS."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memo = _WordHash()
+        for b in batches:
+            sigs, sketches, counts, prefixes = [], [], [], []
+            for s in _hashed(b.column(1), words, memo):
+                sigs.append(xxhash.xxh3_128_digest(s.tobytes()))
+                sketches.append(parity_sketch(s))
                 counts.append(len(s))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sigs, pa.binary()), pa.array(sketches, pa.binary()), pa.array(counts, pa.int32())], ["id", "sig", "sketch", "shingles"])
+                prefixes.append(prefix(s, frequent.value, similarity).tobytes())
+            if b.num_rows:
+                o, p = np.bitwise_xor.reduce(np.stack(sketches).reshape(b.num_rows, -1, CELL_BITS // 64), axis=1).view(np.int64).T
+                columns = [pa.array(sigs, pa.binary()), pa.array([x.tobytes() for x in sketches], pa.binary()), pa.array(np.ascontiguousarray(o)), pa.array(np.ascontiguousarray(p)), pa.array(counts, pa.int32()), pa.array(prefixes, pa.binary())]
+                yield pa.RecordBatch.from_arrays([b.column(0), *columns], ["id", "sig", "sketch", "o", "p", "shingles", "prefix"])
         memo.clear()
         release()
 
@@ -223,28 +243,24 @@ def _bank_rows(words: int):
 
 
 def _cell_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(cell, id, e, o, p, s): for each half of each fingerprint the counts of its 16 two-bit segments; e: the segment counts of the first fingerprint; o and p: the parity sketch folded to
-    CELL_BITS; s: the number of distinct shingles."""
-    low = np.uint64(LOW)
+    """(cell, id, i, s): each shingle of a document's prefix is a cell; i: its place; s: the number of distinct shingles."""
     for b in batches:
-        for lo in range(0, b.num_rows, 1000):
-            part = b.slice(lo, 1000)
-            f = np.frombuffer(b"".join(part.column(1).to_pylist()), "<u8").reshape(part.num_rows, BANKS)
-            e = (((f & (f >> np.uint64(1))) & low) << np.uint64(1)) | ((f ^ (f >> np.uint64(1))) & low)
-            half = np.stack([e >> np.uint64(32), e & np.uint64(0xFFFFFFFF)], axis=2).reshape(part.num_rows, BANKS * 2)
-            cell = half | (np.arange(BANKS * 2, dtype=np.uint64) << np.uint64(32))
-            ids = np.repeat(part.column(0).to_numpy(), BANKS * 2)
-            sketch = np.frombuffer(b"".join(part.column(2).to_pylist()), "<u8").reshape(part.num_rows, -1, CELL_BITS // 64)
-            o, p = np.bitwise_xor.reduce(sketch, axis=1).view(np.int64).T
-            each = [np.repeat(x, BANKS * 2) for x in (np.ascontiguousarray(e[:, 0]).view(np.int64), o, p, part.column(3).to_numpy())]
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (cell.reshape(-1).view(np.int64), ids, *each)], ["cell", *WITH])
+        for lo in range(0, b.num_rows, 200):
+            part = b.slice(lo, 200)
+            rows = [np.frombuffer(x, np.int64) for x in part.column(1).to_pylist()]
+            n = np.fromiter(map(len, rows), np.int64, len(rows))
+            place = (np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)).astype(np.int32)
+            each = [np.repeat(part.column(k).to_numpy(), n) for k in (0, 2)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(rows)), pa.array(each[0]), pa.array(place), pa.array(each[1])], ["cell", "id", "i", "s"])
 
 
 def _near(similarity: float) -> Column:
-    """Of two rows of cells, the second's columns ending in 2: their segment counts are near, and their parity sketches
-    leave a Jaccard similarity of `similarity` possible."""
+    """Of two rows of cells, the second's columns ending in 2: what the first common shingle and those after it can have in
+    common, and their parity sketches, leave a Jaccard similarity of `similarity` possible."""
+    both = F.col("s") + F.col("s2")
+    after = F.least(F.col("s") - F.col("i"), F.col("s2") - F.col("i2"))
     alone = F.bit_count(F.col("o").bitwiseXOR(F.col("o2"))) + F.bit_count(F.col("p").bitwiseXOR(F.col("p2")))
-    return (manhattan(F.col("e"), F.col("e2")) <= NEAR_COUNTS) & (alone <= (F.col("s") + F.col("s2")) * most_alone(similarity) + 1e-6)
+    return (after >= both * (similarity / (1 + similarity)) - 1e-6) & (alone <= both * most_alone(similarity) + 1e-6)
 
 
 def _stars(rows: DataFrame, similarity: float, turn: int = 0) -> DataFrame:
@@ -276,15 +292,14 @@ def shingles(data: bytes | None, words: int) -> set[bytes]:
 
 
 def _alike(pairs: DataFrame, sigs: DataFrame, texts: DataFrame, words: int, similarity: float) -> DataFrame:
-    """The pairs that are near by all their bits, may be similar by their parity sketches, and are by the exact Jaccard
-    similarity of their shingles."""
-    most, share = int(NEAR_BITS * BANKS * 64), most_alone(similarity)
+    """The pairs that may be similar by their parity sketches, and are by the exact Jaccard similarity of their shingles."""
+    share = most_alone(similarity)
 
     def by_bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
-                apart = [np.bitwise_count(np.bitwise_xor(*(np.frombuffer(b"".join(b.column(k).to_pylist()), "<u8").reshape(b.num_rows, -1) for k in two))).sum(axis=1) for two in ((2, 3), (4, 5))]
-                keep = (apart[0] <= most) & (apart[1] <= b.column(6).to_numpy() * share + 1e-6)
+                apart = np.bitwise_count(np.bitwise_xor(*(np.frombuffer(b"".join(b.column(k).to_pylist()), "<u8").reshape(b.num_rows, -1) for k in (2, 3)))).sum(axis=1)
+                keep = apart <= b.column(4).to_numpy() * share + 1e-6
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["a", "b"]).filter(pa.array(keep))
 
     def by_text(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -301,8 +316,8 @@ def _alike(pairs: DataFrame, sigs: DataFrame, texts: DataFrame, words: int, simi
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
         release()
 
-    sa, sb = (sigs.select(F.col("id").alias(k), F.col("sig").alias(x), F.col("sketch").alias(f"o{x}"), F.col("shingles").cast("long").alias(f"n{x}")) for k, x in (("a", "x"), ("b", "y")))
-    near = materialize(pairs.join(sa, "a").join(sb, "b").select("a", "b", "x", "y", "ox", "oy", F.col("nx") + F.col("ny")).mapInArrow(by_bits, "a long, b long"), "near")
+    sa, sb = (sigs.select(F.col("id").alias(k), F.col("sketch").alias(x), F.col("shingles").cast("long").alias(f"n{x}")) for k, x in (("a", "x"), ("b", "y")))
+    near = materialize(pairs.join(sa, "a").join(sb, "b").select("a", "b", "x", "y", F.col("nx") + F.col("ny")).mapInArrow(by_bits, "a long, b long"), "near")
     ids = materialize(near.select(F.col("a").alias("id")).union(near.select("b")).distinct(), "near-ids")
     used = texts.join(small(ids, ids.count()), "id", "left_semi")
     ta, tb = used.select(F.col("id").alias("a"), F.col("t").alias("x")), used.select(F.col("id").alias("b"), F.col("t").alias("y"))
@@ -313,19 +328,23 @@ def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8,
     """(doc_id, component_id) of the documents that are in one component with another: chains of texts whose sets of word
     shingles have a Jaccard similarity of `similarity` or more; component_id is the smallest doc_id.
 
-    Candidates are pairs whose segment counts agree in a half of one of BANKS fingerprints - a cell of the grid - and are
-    near in the first fingerprint, and whose parity sketches do not rule the similarity out, which loses no pair. Each document is first tried with the first of its cells in FIRST_BANKS. Then,
-    in cells of more than PAIRS_MAX documents, each is tried with others of its cell in turn, and at last every pair of
-    every cell that is not yet in one component. Links are found by chance (see BANKS), but a pair is joined only after its whole texts are compared.
-    Rows with a null id take no part; a doc_id names one text. Texts without words are all alike."""
+    Candidates are the pairs with a shingle in common in their prefixes (see prefix), among which are all pairs that are
+    alike, less those whose places or parity sketches rule the similarity out. Each document is first tried with the first
+    of each of its cells - the documents with one shingle in their prefix. Then, in cells of more than PAIRS_MAX documents,
+    each is tried with others of its cell in turn, and at last every pair of every cell that is not yet in one component.
+    A pair is joined only after its whole texts are compared. Rows with a null id take no part; a doc_id names one text.
+    Texts without words are all alike."""
     texts = small_batches(docs).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").cast("binary").alias("t")).where("id is not null")
-    sigs = materialize(texts.mapInArrow(_bank_rows(words), "id long, sig binary, sketch binary, shingles int"), "signatures")
-    heads = sigs.groupBy("sig").agg(F.min(F.struct("id", "sketch", "shingles")).alias("first"), F.count("*").alias("n")).select("sig", "first", "n", F.col("first.id").alias("head"))
-    same = sigs.join(heads.where("n > 1"), "sig").where("id <> head").select(F.col("id").alias("a"), F.col("head").alias("b"))
-    cells = heads.select("head", "sig", "first.sketch", "first.shingles").mapInArrow(_cell_rows, "cell long, id long, e long, o long, p long, s int")
-    rows = materialize(cells, "cells")
+    frequent = docs.sparkSession.sparkContext.broadcast(_frequent(texts, words))
+    sigs = materialize(texts.mapInArrow(_signatures(words, similarity, frequent), "id long, sig binary, sketch binary, o long, p long, shingles int, prefix binary"), "signatures")
+    heads = sigs.groupBy("sig").agg(F.min("id").alias("head"), F.count("*").alias("n")).where("n > 1")
+    same = materialize(sigs.select("sig", "id").join(heads, "sig").where("id <> head").select(F.col("id").alias("a"), F.col("head").alias("b")).distinct(), "same")
+    rest = sigs.join(small(same.select(F.col("a").alias("id")), same.count()), "id", "left_anti").select("id", "prefix", "shingles")
+    cells = rest.mapInArrow(_cell_rows, "cell long, id long, i int, s int")
+    shared = cells.groupBy("cell").count().where("count > 1").select("cell")
+    rows = materialize(cells.join(shared, "cell").join(sigs.select("id", "o", "p").dropDuplicates(["id"]), "id").select("cell", *WITH), "cells")
     # first each document with the first of its cells: whole groups of copies join here, at a few pairs a document
-    pairs = _stars(rows.where(F.col("cell") < F.lit(FIRST_BANKS << 33)).withColumn("component", F.col("id")), similarity).union(same).distinct()
+    pairs = _stars(rows.withColumn("component", F.col("id")), similarity).union(same).distinct()
     links = materialize(_alike(pairs, sigs, texts, words, similarity), "alike")
 
     def named() -> DataFrame:

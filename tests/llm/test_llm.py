@@ -280,12 +280,39 @@ def test_full_cells_try_every_pair(spark, monkeypatch):
     """Pairs that differ from the first of their cell and from each other pair, in a cell of more than PAIRS_MAX rows."""
     monkeypatch.setattr(simhash, "BLOCK_ROWS", 7)
     rows = [(1, i, i // 2 if i < 10 else i, 0, 0, 0, 100) for i in range(50)] + [(2, 60, 60, 0, 0, 0, 100), (2, 61, 61, 0, 0, 0, 100)]
-    df = spark.createDataFrame([(c, k, *w) for c, w_id, k, *w in [(c, i, k, i, *rest) for c, i, k, *rest in rows]], "cell long, component long, id long, e long, o long, p long, s int").select("cell", "component", *simhash.WITH)
+    df = spark.createDataFrame([(c, k, i, *rest) for c, i, k, *rest in rows], "cell long, component long, id long, i int, o long, p long, s int").select("cell", "component", *simhash.WITH)
     got = [tuple(r) for r in simhash._every_pair(df, 0.8).collect()]
     component = {i: k for _, i, k, *_ in rows}
     assert len(got) == len(set(got)) and set(got) == {(a, b) for a in range(50) for b in range(a) if component[a] != component[b]} | {(61, 60)}
 
 
+def test_similar_blocks_equal_brute_force(spark):
+    """Blocks appended, cut off or replaced, and a passage that many share: components as by comparing every pair."""
+    rng = random.Random(12)
+    docs, common_part = [], prose(rng, 40)
+    for k in range(120):
+        w = prose(rng, rng.choice((40, 200))).split()
+        new = prose(rng, int(len(w) * rng.choice((0.1, 0.15, 0.19, 0.23, 0.3)))).split()
+        at = rng.randrange(len(w) - len(new))
+        other = (w + new, w[: len(w) - len(new)], w[:at] + new[: len(new) // 2] + w[at + len(new) // 2 :])[k % 3]
+        docs += [(3 * k, " ".join(w)), (3 * k + 1, " ".join(other)), (3 * k + 2, common_part + " " + prose(rng, 60))]
+    sets = [simhash.shingles(t.encode(), 5) for _, t in docs]
+    parent = list(range(len(docs)))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i in range(len(docs)):
+        for j in range(i):
+            if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                a, b = find(i), find(j)
+                parent[max(a, b)] = min(a, b)
+    got = {r.doc_id: r.component_id for r in simhash.similar_documents(table(spark, docs)).collect()}
+    assert {i: got.get(i, i) for i in parent} == {i: find(i) for i in parent} and 20 < len(got) < 200
+
+
 # --- 6 WARC ---
 
 
