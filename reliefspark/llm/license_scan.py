@@ -77,6 +77,8 @@ SAMPLE_DOCS = 500
 CHANCE, SIMILARITY = 0.5, 0.5
 #: Words of a paragraph that are looked at together; longer paragraphs go through in windows that overlap by a half.
 WINDOW = 120
+#: Words of the windows that are looked at around each key word of a line, four places each: a notice within other text.
+NARROW = (8, 16, 32)
 FEATURES = 1 << 14
 _WORD = re.compile(rb"[a-z0-9]+")
 _VARIANTS = ("", "copyright 2021 the authors ", "the code is ", "notice ", "this document ", "see license file ")
@@ -156,6 +158,14 @@ def _examples(prose: list[list[bytes]], seed: int) -> tuple[list[list[bytes]], n
                     v = v + extra[: int(rng.integers(1, max(2, len(v))))]
                 x.append(v)
                 y.append(k)
+            for n in range(12):  # as a narrow window has it: prose before and after, or a part
+                size = NARROW[n % len(NARROW)]
+                a = int(rng.integers(0, max(1, len(w) - size + 1)))
+                v = w[a : a + size]
+                before = int(rng.integers(0, size - len(v) + 1))
+                around = [z for _ in range(size) for z in prose[int(rng.integers(0, len(prose)))]][: size - len(v)]
+                x.append(around[:before] + v + around[before:])
+                y.append(k)
     rest = len(TEMPLATES)
     common = [w for t in TEMPLATES.values() for s in t for w in words_of(s.encode())]
     for w in [words_of(s.encode()) for s in OTHERS] * 15 + prose:
@@ -220,22 +230,46 @@ def train(prose: list[bytes], seed: int = 3, epochs: int = 30) -> LicenceModel:
     return LicenceModel(families, w, b, temperature, [[_pairs(t) for t in ts] for ts in texts], core)
 
 
+def _narrow(model: LicenceModel, w: list[bytes]) -> list[tuple[int, int, str, float, float]]:
+    """Confirmed licences in windows around the key words: first and last word, family, chance, similarity. Of hits that
+    overlap the one most like its template is kept; a hit is the words between the first and last pair of its template."""
+    windows = {(max(0, a), min(len(w), a + n)) for k in range(len(w)) if w[k] in model.key for n in NARROW for a in range(k - n + 1, k + 1, n // 4)}
+    windows |= {(k, min(len(w), k + n)) for k in range(len(w)) if w[k] in model.key for n in NARROW}
+    hits = []
+    for a, e in windows:
+        got = model.classify(w[a:e])
+        if got and got[3]:
+            known = set().union(*model.templates[model.families.index(got[0])])
+            at = [k for k in range(a, e - 1) if w[k] + b" " + w[k + 1] in known] or [a, e - 2]
+            hits.append((at[0], at[-1] + 1, got[0], got[1], got[2]))
+    kept: list[tuple[int, int, str, float, float]] = []
+    for h in sorted(hits, key=lambda h: (-h[4], -h[3], h)):
+        if all(h[1] < o[0] or o[1] < h[0] for o in kept):
+            kept.append(h)
+    return sorted(kept)
+
+
 def scan_text(model: LicenceModel, data: bytes | None) -> list[dict]:
     """Licence paragraphs of a whole text: byte range, family, chance, similarity, confirmed.
 
-    Paragraphs are lines; a longer one than WINDOW words is looked at in windows, each with its own range."""
+    Paragraphs are lines; a longer one than WINDOW words is looked at in windows, each with its own range. Then windows of
+    NARROW words around each key word are looked at for notices within other text: those confirmed are found too, unless
+    the paragraph around them has their family."""
     found: list[dict] = []
     if not data or model.key.isdisjoint(words_of(data)):
         return found
     at = 0
     for line in data.split(b"\n"):
-        spans = [m.span() for m in _WORD.finditer(line.lower())]
         w = words_of(line)
         if not model.key.isdisjoint(w):
+            spans = [m.span() for m in _WORD.finditer(line.lower())]
+            wide = []
             for a in range(0, max(1, len(w) - WINDOW // 2), WINDOW // 2):
                 part = w[a : a + WINDOW]
                 if got := model.classify(part):
-                    found.append({"start": at + spans[a][0], "end": at + spans[a + len(part) - 1][1], "family": got[0], "chance": got[1], "similarity": got[2], "confirmed": got[3]})
+                    wide.append((a, a + len(part) - 1, *got))
+            inner = [(*h, True) for h in _narrow(model, w) if not any(o[5] and o[2] == h[2] and o[0] <= h[1] and h[0] <= o[1] for o in wide)]
+            found += [{"start": at + spans[a][0], "end": at + spans[e][1], "family": f, "chance": c, "similarity": s, "confirmed": ok} for a, e, f, c, s, ok in sorted(wide + inner)]
         at += len(line) + 1
     return found
 

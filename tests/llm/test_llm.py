@@ -82,6 +82,23 @@ def test_no_licence(licence_model, text):
     assert not [f for f in found if f["confirmed"]]
 
 
+@pytest.mark.parametrize("n", [20, 40, 80, 400])
+def test_licences_within_prose(licence_model, n):
+    rng = random.Random(n)
+    for notice, family in (("Released under the MIT License.", "mit"), ("Licensed under CC BY-NC 4.0.", "cc-by-nc"), ("Licensed under CC BY 4.0.", "cc-by"), ("Licensed under the Apache License, Version 2.0.", "apache"), ("Released under the GNU GPL v2 or later.", "gpl")):
+        for _ in range(5):
+            k = rng.randint(0, n)
+            found = license_scan.scan_text(licence_model, (prose(rng, k) + " " + notice + " " + prose(rng, n - k)).encode())
+            assert {f["family"] for f in found if f["confirmed"]} == {family}
+    both = license_scan.scan_text(licence_model, (prose(rng, n) + " Released under the MIT License. " + prose(rng, 3) + " Licensed under CC BY-SA 4.0. " + prose(rng, n)).encode())
+    assert {f["family"] for f in both if f["confirmed"]} == {"mit", "cc-by-sa"}
+
+
+def test_scan_finds_the_planted_line(spark):
+    got = license_scan.scan(table(spark, [(901, "x " * 400 + "Licensed under CC BY 4.0. " + "y " * 400)])).collect()
+    assert got[0].families == ["cc-by"]
+
+
 def test_scan_table(spark, rows):
     more = [(900, "kara mipe\nReleased under the MIT License.\nrudi"), (901, "x " * 400 + "Licensed under CC BY 4.0. " + "y " * 400)]
     got = license_scan.scan(table(spark, rows + more)).collect()
