@@ -22,8 +22,8 @@ from pyspark.sql import functions as F
 from .common import materialize, release, small_batches, values
 from .packed import pack_ints, pack_sorted, slices, unpack_ints, unpack_sorted
 
-#: Longest n-gram: two words. Each order more sends about twice the input in 64-bit hashes.
-ORDER = 2
+#: Longest n-gram: three words. Each order more sends about twice the input in 64-bit hashes.
+ORDER = 3
 #: Factor of a score for each shorter n-gram it falls back on.
 ALPHA = 0.4
 #: A word that no other document has counts as this often.
