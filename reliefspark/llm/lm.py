@@ -32,8 +32,8 @@ UNSEEN = 0.5
 BLOCK_WORDS = 1_500_000
 #: Entries of one part of the count table on average.
 PART_ENTRIES = 1_500_000
-#: Bits of an n-gram's hash beyond what its number takes: one n-gram in 2**21 or fewer shares a count, at every size.
-SPARE_BITS = 21
+#: Bits of an n-gram's hash, at every size.
+HASH_BITS = 64
 MEMO_WORDS = 300_000
 BEGIN = np.uint64(0x9E3779B97F4A7C15)
 
@@ -137,7 +137,7 @@ def backoff_scores(docs: DataFrame, order: int = ORDER, alpha: float = ALPHA, id
     src = small_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").cast("binary").alias("t"))
     blocks = materialize(src.mapInArrow(_blocks, "block long, ids array<long>, sizes binary, vocabulary binary, rank binary, words binary, n long"), "blocks")
     n_words = blocks.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    bits = min(64, math.ceil(math.log2(max(2, n_words * order))) + SPARE_BITS)
+    bits = HASH_BITS
     lead = min(20, max(1, math.ceil(math.log2(max(2, n_words * order * 0.7 / PART_ENTRIES)))))
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -504,7 +504,7 @@ def test_registered_model_is_of_trigrams(spark):
     """The last word of document 0 follows from the trigram that document 1 holds; the first and second give up one order each."""
     docs = [(0, "one two three"), (1, "zero one two three"), (2, "nil two four")]
     got = {r.doc_id: r.log10_score for r in lm.backoff_scores(table(spark, docs)).collect()}
-    assert lm.ORDER == 3 and abs(got[0] - np.log10(0.4 * 1 / 7 * 0.4)) < 1e-9
+    assert lm.HASH_BITS == 64 and lm.ORDER == 3 and abs(got[0] - np.log10(0.4 * 1 / 7 * 0.4)) < 1e-9
 
 
 def test_pipeline_keeps_columns(spark):
