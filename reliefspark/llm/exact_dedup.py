@@ -10,10 +10,11 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from .common import WHITE, materialize, small, without_ids
+from .common import WHITE, materialize, small
 
 #: Fingerprints that one filter takes before it is given out and another begun; also the mean load of a merged segment.
 FILTER_ENTRIES = 1 << 20
@@ -110,7 +111,7 @@ def repeated_fingerprints(fps: DataFrame, rows: int) -> DataFrame:
 
     A segment is the fingerprints with the same leading bits; the number of segments follows the rows, so that one
     task merges about FILTER_ENTRIES entries. A fingerprint that fills a third of the rows is one entry per filter."""
-    lead = min(24, max(0, math.ceil(math.log2(max(1, rows / FILTER_ENTRIES)))))
+    lead = min(48, max(0, math.ceil(math.log2(max(1, rows / FILTER_ENTRIES)))))
     bits = 64 - lead
 
     def filters(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -142,27 +143,60 @@ def repeated_fingerprints(fps: DataFrame, rows: int) -> DataFrame:
     return fps.select("fp").mapInArrow(filters, "segment long, filter binary").groupBy("segment").applyInPandas(merged, "fp long, n long")
 
 
-def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of docs: doc_id, keep_id, group_size, kept, text_sha256 (of the normalised text).
+def _normalised(text_col: str) -> Column:
+    return F.regexp_replace(F.coalesce(F.col(text_col).cast("string"), F.lit("")), WHITE, " ")
 
-    Texts are equal if they are the same after each run of ASCII white space is replaced by one space. Null counts as
-    the empty text. Of equal texts the smallest doc_id stays. A null doc_id never stays before a number; rows that
-    repeat a doc_id whole count as rows of the group and are kept or dropped together. An empty table gives no rows.
-    Other columns are not looked at."""
-    norm = F.regexp_replace(F.coalesce(F.col(text_col).cast("string"), F.lit("")), WHITE, " ")
+
+def _groups(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, fp, text_sha256) of every row, and the groups of two rows or more with equal texts: fp, text_sha256, keep_id, group_size."""
+    norm = _normalised(text_col)
     keyed = materialize(docs.select(F.col(id_col).cast("long").alias("doc_id"), norm.alias("norm")).select("doc_id", F.xxhash64("norm").alias("fp"), F.sha2(F.col("norm").cast("binary"), 256).alias("text_sha256")), "keyed")
     repeated = materialize(repeated_fingerprints(keyed, keyed.count()), "repeated").select("fp")
     many = small(repeated, repeated.count())
     # byte verification: the whole texts behind repeated fingerprints, grouped by fingerprint and text
-    fp = F.xxhash64("norm").alias("fp")
-    suspects = docs.select(F.col(id_col).cast("long").alias("doc_id"), norm.alias("norm")).select("doc_id", "norm", fp).join(many, "fp", "left_semi")
+    suspects = docs.select(F.col(id_col).cast("long").alias("doc_id"), norm.alias("norm")).select("doc_id", "norm", F.xxhash64("norm").alias("fp")).join(many, "fp", "left_semi")
     groups = suspects.groupBy("fp", "norm").agg(F.min("doc_id").alias("keep_id"), F.count("*").alias("group_size")).where("group_size > 1")
-    groups = materialize(groups.select("fp", F.sha2(F.col("norm").cast("binary"), 256).alias("text_sha256"), "keep_id", "group_size"), "groups")
-    out = keyed.join(small(groups, groups.count(), 200_000), ["fp", "text_sha256"], "left")
-    keep = F.when(F.col("group_size").isNull(), F.col("doc_id")).otherwise(F.col("keep_id"))
-    return out.select("doc_id", keep.alias("keep_id"), F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"), F.col("doc_id").eqNullSafe(keep).alias("kept"), "text_sha256")
+    return keyed, materialize(groups.select("fp", F.sha2(F.col("norm").cast("binary"), 256).alias("text_sha256"), "keep_id", "group_size"), "groups")
 
 
-def drop_exact_duplicates(docs: DataFrame) -> DataFrame:
-    """docs, all columns, with only the kept row of each group of equal texts."""
-    return without_ids(docs, exact_duplicates(docs).where("not kept").select("doc_id"))
+def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per row of docs: doc_id, keep_id, group_size, kept, text_sha256 (of the normalised text).
+
+    Texts are equal if they are the same after each run of ASCII white space is replaced by one space. Null counts as
+    the empty text. Of equal texts the smallest doc_id stays, and of several rows with that id and text just one. A null
+    doc_id never stays before a number; where a group has no other ids, one of its rows stays. A doc_id may come with
+    several texts: each is judged by its own text. An empty table gives no rows. Other columns are not looked at."""
+    keyed, groups = _groups(docs, id_col, text_col)
+    out = keyed.join(small(groups, groups.count(), 200_000), ["fp", "text_sha256"], "left")
+    heads = F.col("group_size").isNotNull() & F.col("doc_id").eqNullSafe(F.col("keep_id"))
+    one = Window.partitionBy("fp", "text_sha256").orderBy("doc_id")  # over the rows that may stay only: as a rule one of each group
+    names = ["doc_id", "keep_id", "group_size", "kept", "text_sha256"]
+    stays = out.where(heads).withColumn("kept", F.row_number().over(one) == 1).select(*names)
+    rest = out.where(~heads).select("doc_id", F.when(F.col("group_size").isNull(), F.col("doc_id")).otherwise(F.col("keep_id")).alias("keep_id"), F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"), F.col("group_size").isNull().alias("kept"), "text_sha256")
+    return rest.unionByName(stays)
+
+
+def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs, all columns, with only the row of each group of equal texts that exact_duplicates keeps.
+
+    Rows go by their own text, so a text without copies stays whatever its doc_id. Of rows that share doc_id and text
+    one stays, whichever; of a group without ids too. Null texts are empty texts. An empty table stays empty."""
+    keyed, groups = _groups(docs, id_col, text_col)
+    mark = groups.select(F.col("fp").alias("__fp"), F.col("text_sha256").alias("__sha"), F.col("keep_id").alias("__keep"))
+    mark = small(mark, groups.count(), 200_000)
+    heads = keyed.join(small(groups, groups.count(), 200_000), ["fp", "text_sha256"]).where(F.col("doc_id").eqNullSafe(F.col("keep_id")))
+    several = materialize(heads.groupBy("fp", "text_sha256").count().where("count > 1").select(F.col("fp").alias("__fp"), F.col("text_sha256").alias("__sha")), "several")
+    rows = docs.withColumns({"__fp": F.xxhash64(_normalised(text_col)), "__sha": F.sha2(_normalised(text_col).cast("binary"), 256)}).join(mark, ["__fp", "__sha"], "left")
+    rows = rows.withColumn("__group", F.col("__keep").isNotNull())
+    own = F.col(id_col).cast("long")
+    if groups.where("keep_id is null").isEmpty():
+        stay = rows.where(~F.col("__group") | own.eqNullSafe(F.col("__keep")))
+    else:  # groups without any id have a null keep_id, which the outer join can't tell from no group
+        known = materialize(groups.where("keep_id is null").select(F.col("fp").alias("__fp"), F.col("text_sha256").alias("__sha"), F.lit(True).alias("__none")), "no-ids")
+        rows = rows.join(small(known, known.count(), 200_000), ["__fp", "__sha"], "left")
+        stay = rows.where(~F.col("__group") | F.coalesce("__none", F.lit(False)) | own.eqNullSafe(F.col("__keep")))
+    n = several.count()
+    if n:
+        key = ["__fp", "__sha"]
+        stay = stay.join(small(several, n, 200_000), key, "left_anti").unionByName(stay.join(small(several, n, 200_000), key, "left_semi").dropDuplicates(key))
+    return stay.select(*[F.col(f"`{c}`") for c in docs.columns])

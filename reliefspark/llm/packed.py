@@ -46,5 +46,8 @@ def unpack_sorted(b: bytes) -> np.ndarray:
 
 def slices(keys: np.ndarray, bits: int, lead: int) -> list[tuple[int, int, int]]:
     """(part, begin, end) of ascending keys below 2**bits by their `lead` leading bits; empty parts are left out."""
-    cut = np.searchsorted(keys, np.arange(1, 1 << lead, dtype=np.uint64) << np.uint64(bits - lead)).tolist()
-    return [(p, a, e) for p, (a, e) in enumerate(zip([0, *cut], [*cut, len(keys)], strict=True)) if e > a]
+    if not len(keys):
+        return []
+    part = keys.astype(np.uint64) >> np.uint64(bits - lead)
+    begin = np.flatnonzero(np.append(True, part[1:] != part[:-1]))
+    return list(zip(part[begin].astype(np.int64).tolist(), begin.tolist(), [*begin[1:].tolist(), len(keys)], strict=True))

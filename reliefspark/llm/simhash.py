@@ -332,8 +332,8 @@ def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8,
     alike, less those whose places or parity sketches rule the similarity out. Each document is first tried with the first
     of each of its cells - the documents with one shingle in their prefix. Then, in cells of more than PAIRS_MAX documents,
     each is tried with others of its cell in turn, and at last every pair of every cell that is not yet in one component.
-    A pair is joined only after its whole texts are compared. Rows with a null id take no part; a doc_id names one text.
-    Texts without words are all alike."""
+    A pair is joined only after its whole texts are compared. Rows with a null id take no part; a doc_id names one text
+    (drop_near_duplicates tells rows apart where it may not). Texts without words are all alike. Repeated rows count once."""
     texts = small_batches(docs).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").cast("binary").alias("t")).where("id is not null")
     frequent = docs.sparkSession.sparkContext.broadcast(_frequent(texts, words))
     sigs = materialize(texts.mapInArrow(_signatures(words, similarity, frequent), "id long, sig binary, sketch binary, o long, p long, shingles int, prefix binary"), "signatures")
@@ -366,6 +366,19 @@ def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8,
     return found.select(F.col("node").alias("doc_id"), F.col("component").alias("component_id"))
 
 
-def drop_near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
-    """docs, all columns, with the smallest doc_id of each component of similar_documents."""
-    return without_ids(docs, similar_documents(docs, words, similarity).where("doc_id <> component_id").select("doc_id"))
+def drop_near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs, all columns, with one row of each component of similar_documents: the one with the smallest doc_id.
+
+    Rows are told apart by doc_id and text, so a doc_id may come with several texts, and a null doc_id takes part after all
+    numbers. Rows that share doc_id and text stay or go together. Null texts count as empty, and texts without words are
+    all alike. An empty table stays empty."""
+    key = "__near_key"
+    own = F.col(id_col).cast("long")
+    keyed = docs.withColumn(key, F.xxhash64(own, F.col(text_col).cast("string")))
+    found = materialize(similar_documents(keyed, words, similarity, key, text_col), "near-components")
+    if found.isEmpty():
+        return docs
+    members = found.select(F.col("doc_id").alias(key), "component_id")
+    ids = keyed.select(key, F.coalesce(own, F.lit((1 << 63) - 1)).alias("id")).join(members, key)
+    heads = ids.groupBy("component_id").agg(F.min_by(key, F.struct("id", key)).alias(key))
+    return without_ids(keyed, members.join(heads, [key], "left_anti").select(key), key).drop(key)
