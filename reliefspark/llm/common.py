@@ -3,9 +3,11 @@ distributed connected components."""
 
 from __future__ import annotations
 
+import atexit
 import contextlib
 import ctypes
 import gc
+import uuid
 from collections.abc import Iterator
 from typing import Any
 
@@ -15,7 +17,7 @@ from pyspark.sql import functions as F
 
 from ..storage import materialize, shared_dir
 
-__all__ = ["BROADCAST_ROWS", "WHITE", "connected_components", "materialize", "release", "shared_dir", "small", "small_batches", "values", "without_ids"]
+__all__ = ["BROADCAST_ROWS", "WHITE", "connected_components", "keyed_table", "materialize", "release", "shared_dir", "small", "small_batches", "values", "without_ids"]
 
 #: ASCII white space as one Java regular expression.
 WHITE = r"[\x20\x09-\x0D]+"
@@ -52,6 +54,26 @@ def release() -> None:
         ctypes.CDLL("libc.so.6").malloc_trim(0)
 
 
+def keyed_table(df: DataFrame, key: str, name: str) -> DataFrame:
+    """df as a table in the shared folder, in buckets by key: joins and cogroups by key read it without another shuffle.
+
+    Made for few, large rows, as each task writes a file for each bucket it has rows of. The files go when the driver's JVM
+    ends, the table's name when Python does."""
+    spark = df.sparkSession
+    table = f"work_{name.replace('-', '_')}_{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{table}"
+    df.write.option("compression", "zstd").option("path", path).format("parquet").bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), key).saveAsTable(table)
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(p)
+
+    def forget() -> None:
+        with contextlib.suppress(Exception):  # the session may have ended before
+            spark.sql(f"DROP TABLE IF EXISTS {table}")
+
+    atexit.register(forget)
+    return spark.table(table)
+
+
 def small(df: DataFrame, rows: int, bound: int = BROADCAST_ROWS) -> DataFrame:
     """df marked for broadcast if its counted rows are within the bound, else as it is, for a shuffled join."""
     return F.broadcast(df) if rows <= bound else df
