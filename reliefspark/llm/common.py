@@ -12,12 +12,13 @@ from collections.abc import Iterator
 from typing import Any
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..storage import materialize, shared_dir
 
-__all__ = ["BROADCAST_ROWS", "WHITE", "connected_components", "keyed_table", "materialize", "release", "shared_dir", "small", "small_batches", "values", "without_ids"]
+__all__ = ["BROADCAST_ROWS", "WHITE", "WordHashes", "connected_components", "keyed_table", "materialize", "release", "shared_dir", "small", "small_batches", "values", "without_ids"]
 
 #: ASCII white space as one Java regular expression.
 WHITE = r"[\x20\x09-\x0D]+"
@@ -40,6 +41,22 @@ def small_batches(df: DataFrame) -> DataFrame:
     return df
 
 
+#: Words whose hashes a worker remembers.
+MEMO_WORDS = 150_000
+
+
+class WordHashes(dict):
+    """64-bit XXH3 of words, remembered."""
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= MEMO_WORDS:
+            self.clear()
+        h = xxhash.xxh3_64_intdigest(word)
+        if len(word) <= 64:
+            self[word] = h
+        return h
+
+
 def values(column: pa.Array, rows: int = 256) -> Iterator[Any]:
     """The values of an Arrow column, few at a time in memory."""
     for lo in range(0, len(column), rows):

@@ -16,12 +16,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import keyed_table, materialize, release, small_batches, values
+from .common import WordHashes, keyed_table, materialize, release, small_batches, values
 from .packed import pack_ints, pack_sorted, slices, unpack_ints, unpack_sorted
 
 #: Longest n-gram: three words.
@@ -36,20 +35,9 @@ BLOCK_WORDS = 1_500_000
 PART_ENTRIES = 1_500_000
 #: Bits of an n-gram's hash, at every size. Among n distinct n-grams, some two share a hash with a chance below n * n / 2**65.
 HASH_BITS = 64
-MEMO_WORDS = 300_000
 BEGIN = np.uint64(0x9E3779B97F4A7C15)
 
 
-class _WordHash(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= MEMO_WORDS:
-            self.clear()
-        h = xxhash.xxh3_64_intdigest(word)
-        if len(word) <= 64:
-            self[word] = h
-        return h
-
-
 def _mix(x: np.ndarray) -> np.ndarray:
     """The finaliser of SplitMix64."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -64,7 +52,7 @@ def longer(shorter: np.ndarray, words: np.ndarray, at: np.ndarray, n: int) -> np
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Documents to blocks: ids, words per document, hashes of the distinct words, their numbers, and the words as numbers."""
-    memo = _WordHash()
+    memo = WordHashes()
     part, k = TaskContext.get().partitionId(), 0
 
     def out(ids: list, texts: list[np.ndarray]) -> pa.RecordBatch:

@@ -13,7 +13,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, materialize, release, small, small_batches, values, without_ids
+from .common import WordHashes, connected_components, materialize, release, small, small_batches, values, without_ids
 
 #: Fingerprints in one cell of the grid up to which the cell is joined with itself; fuller cells go by shared neighbours.
 CELL_MAX = 128
@@ -131,8 +131,6 @@ def near_duplicates(docs: DataFrame, words: int = 3, distance: int = 2, id_col:
     return each.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-#: Words whose hashes a worker remembers.
-MEMO_WORDS = 150_000
 #: Documents (by hash of id) whose shingles say which are frequent, how often one must be seen there, and how many are kept:
 #: these come last in the order of shingles. Any order finds every pair; this one keeps frequent shingles from the prefixes.
 SAMPLE_DOCS, SEEN, FREQUENT = 10_000, 3, 200_000
@@ -148,16 +146,6 @@ SKETCH_BITS, CELL_BITS = 1024, 128
 WITH = ("id", "i", "o", "p", "s")
 
 
-class _WordHash(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= MEMO_WORDS:
-            self.clear()
-        h = xxhash.xxh3_64_intdigest(word)
-        if len(word) <= 64:
-            self[word] = h
-        return h
-
-
 def shingle_hashes(h: np.ndarray, words: int) -> np.ndarray:
     """Distinct hashes of the shingles of a text with these word hashes; fewer words make one shingle."""
     k = min(len(h), words)
@@ -196,7 +184,7 @@ def prefix(hashes: np.ndarray, frequent: tuple[np.ndarray, np.ndarray], similari
     return hashes[np.lexsort((hashes, rank))[: min(n, len(hashes))]]
 
 
-def _hashed(texts: pa.Array, words: int, memo: _WordHash) -> Iterator[np.ndarray]:
+def _hashed(texts: pa.Array, words: int, memo: WordHashes) -> Iterator[np.ndarray]:
     for t in values(texts):
         text = (t or b"").lower().split()
         yield shingle_hashes(np.fromiter(map(memo.__getitem__, text), np.uint64, len(text)), words)
@@ -206,7 +194,7 @@ def _frequent(texts: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of shingles that are frequent in a bounded sample, ascending, and their ranks: the most frequent last."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = _WordHash()
+        memo = WordHashes()
         for b in batches:
             for h in _hashed(b.column(1), words, memo):
                 yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64))], ["cell"])
@@ -224,7 +212,7 @@ def _signatures(words: int, similarity: float, frequent: Broadcast):
     """(id, sig, sketch, o, p, shingles, prefix): sig names the set of shingles; o and p are the sketch folded to CELL_BITS."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = _WordHash()
+        memo = WordHashes()
         for b in batches:
             sigs, sketches, counts, prefixes = [], [], [], []
             for s in _hashed(b.column(1), words, memo):

@@ -263,7 +263,7 @@ def test_parity_sketch_is_a_lower_bound():
         w = prose(rng, n).split()[:n]
         v = [x if rng.random() > 0.03 else x + "s" for x in w]
         sets = [simhash.shingles(" ".join(x).encode(), 5) for x in (w, v)]
-        memo = simhash._WordHash()
+        memo = common.WordHashes()
         hashes = [simhash.shingle_hashes(np.array([memo[x.encode()] for x in t], np.uint64), 5) for t in (w, v)]
         assert [len(x) for x in hashes] == [len(x) for x in sets]
         apart = int(np.bitwise_count(np.bitwise_xor(*map(simhash.parity_sketch, hashes))).sum())
