@@ -4,17 +4,15 @@ families, with a calibrated class for everything else; a comparison with the fam
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, release, small_batches, values
+from .common import WordHashes, materialize, release, small_batches, values
 
 # Families and the notices and opening words by which their licences are known.
 TEMPLATES = {
@@ -71,15 +69,17 @@ OTHERS = [
     "You can obtain one at the counter.", "The foundation gives money to free schools.", "Cc the manager by noon, please.",
 ]
 UNKNOWN = "unknown"
-#: Documents (by hash of doc_id) whose paragraphs are examples of the class for everything else.
-SAMPLE_DOCS = 500
+#: Documents (by hash of doc_id) whose paragraphs are examples of the class for everything else, how many of each, and their words.
+SAMPLE_DOCS, SAMPLE_PARAGRAPHS, SAMPLE_WORDS = 500, 4, 240
 #: Chance from which a family is named, and share of the paragraph's or template's word pairs that must be shared with a template.
 CHANCE, SIMILARITY = 0.5, 0.5
-#: Words of a paragraph that are looked at together; longer paragraphs go through in windows that overlap by a half.
+#: Paragraphs and lines of up to this many words are classified whole.
 WINDOW = 120
-#: Words of the windows that are looked at around each key word of a line, four places each: a notice within other text.
-NARROW = (8, 16, 32)
+#: Words of the windows in which every paragraph is looked at, a quarter of a window apart: a notice within other text.
+NARROW = (8, 16, 32, 64)
 FEATURES = 1 << 14
+#: Words that are scored at once in one table.
+STRETCH = 20_000
 _WORD = re.compile(rb"[a-z0-9]+")
 _VARIANTS = ("", "copyright 2021 the authors ", "the code is ", "notice ", "this document ", "see license file ")
 
@@ -88,16 +88,19 @@ def words_of(data: bytes) -> list[bytes]:
     return _WORD.findall(data.lower())
 
 
-def ngrams(w: list[bytes]) -> list[bytes]:
-    """Word n-grams of one to three words."""
-    return [*w, *(a + b" " + b for a, b in zip(w, w[1:], strict=False)), *(a + b" " + b + b" " + c for a, b, c in zip(w, w[1:], w[2:], strict=False))]
+def ngrams(h: np.ndarray) -> list[np.ndarray]:
+    """Features of the words, word pairs and triples that begin at each place, from the hashes of the words."""
+    out = [h]
+    for n in (1, 2):
+        out.append(out[-1][: max(0, len(h) - n)] * np.uint64(0x9FB21C651E98DF25) ^ h[n:])
+    return [((x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(40)).astype(np.int64) % FEATURES for x in out]
 
 
-def vector(w: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashed n-grams and their weights: root of the count, unit length."""
-    c = Counter(xxhash.xxh32_intdigest(g) % FEATURES for g in ngrams(w))
-    v = np.sqrt(np.fromiter(c.values(), float, len(c)))
-    return np.fromiter(c, np.int64, len(c)), v / (np.linalg.norm(v) or 1)
+def vector(w: list[bytes], memo: WordHashes) -> tuple[np.ndarray, np.ndarray]:
+    """Hashed n-grams and their weights: counts over the root of the number of n-grams."""
+    grams = np.concatenate(ngrams(np.fromiter(map(memo.__getitem__, w), np.uint64, len(w))))
+    i, c = np.unique(grams, return_counts=True)
+    return i, c / max(1, len(grams)) ** 0.5
 
 
 @dataclass
@@ -107,29 +110,42 @@ class LicenceModel:
     bias: np.ndarray
     temperature: float
     templates: list[list[set[bytes]]]  # word pairs, by family
-    key: frozenset[bytes]  # every template has one of these words at least, and no paragraph without one can be confirmed
 
-    def chances(self, w: list[bytes]) -> np.ndarray:
-        i, v = vector(w)
-        z = (v @ self.weights[i] + self.bias) / self.temperature
-        e = np.exp(z - z.max())
-        return e / e.sum()
-
-    def similarity(self, w: list[bytes], family: int) -> float:
-        """Largest share of word pairs in common with a template of the family, of the smaller of both."""
+    def likely(self, h: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of the windows begin to end over words with hashes h, those that are of a family with CHANCE or more: which, the
+        family, and its chance. Scores are sums over n-grams, so those of all windows come from running sums."""
+        sums = []
+        for x in ngrams(h):
+            c = np.zeros((len(x) + 1, len(self.families)))
+            np.cumsum(self.weights[x], axis=0, out=c[1:])
+            sums.append(c)
+        size = end - begin
+        z = np.zeros((len(begin), len(self.families)))
+        for n, c in enumerate(sums):
+            z += c[np.maximum(end - n, begin).clip(max=len(c) - 1)] - c[begin.clip(max=len(c) - 1)]
+        z = (z / np.sqrt(size + np.maximum(size - 1, 0) + np.maximum(size - 2, 0))[:, None] + self.bias) / self.temperature
+        best = z[:, :-1].argmax(axis=1)
+        ahead = np.flatnonzero(z[np.arange(len(z)), best] > z[:, -1])  # the rest is unknown or has too small a chance
+        e = np.exp(z[ahead] - z[ahead].max(axis=1, keepdims=True))
+        p = e[np.arange(len(ahead)), best[ahead]] / e.sum(axis=1)
+        sure = p >= CHANCE
+        return ahead[sure], best[ahead[sure]], p[sure]
+
+    def similarity(self, w: list[bytes], family: int) -> tuple[float, int]:
+        """Largest share of word pairs in common with a template of the family, of the smaller of both, and how many pairs."""
         own = _pairs(w)
-        return max((len(own & t) / max(1, min(len(own), len(t))) for t in self.templates[family]), default=0.0)
+        return max(((len(own & t) / max(1, min(len(own), len(t))), len(own & t)) for t in self.templates[family]), default=(0.0, 0))
 
     def classify(self, w: list[bytes]) -> tuple[str, float, float, bool] | None:
         """Family, its chance, likeness to its templates, and whether both agree; None for the class of everything else."""
-        if self.key.isdisjoint(w):
+        memo = WordHashes()
+        if not w:
             return None
-        p = self.chances(w)
-        k = int(p.argmax())
-        if k == len(self.families) - 1 or p[k] < CHANCE:
+        at, family, chance = self.likely(np.fromiter(map(memo.__getitem__, w), np.uint64, len(w)), np.array([0]), np.array([len(w)]))
+        if not len(at):
             return None
-        s = self.similarity(w, k)
-        return self.families[k], float(p[k]), s, s >= SIMILARITY
+        s = self.similarity(w, int(family[0]))[0]
+        return self.families[family[0]], float(chance[0]), s, s >= SIMILARITY
 
 
 def _pairs(w: list[bytes]) -> set[bytes]:
@@ -183,10 +199,11 @@ def _examples(prose: list[list[bytes]], seed: int) -> tuple[list[list[bytes]], n
 def train(prose: list[bytes], seed: int = 3, epochs: int = 30) -> LicenceModel:
     """AdaGrad on three quarters of the examples; the temperature is the one of least loss on the rest."""
     paragraphs = [w for w in (words_of(p)[:WINDOW] for p in prose) if w]
+    memo = WordHashes()
     x, y = _examples(paragraphs, seed)
     families = [*TEMPLATES, UNKNOWN]
     rng = np.random.default_rng(seed)
-    vectors = [vector(w) for w in x]
+    vectors = [vector(w, memo) for w in x]
     order = rng.permutation(len(x))
     held, fit = order[: len(x) // 4], order[len(x) // 4 :]
     weight = (len(y) / (len(families) * np.bincount(y, minlength=len(families)).clip(1))) ** 0.5
@@ -224,62 +241,96 @@ def train(prose: list[bytes], seed: int = 3, epochs: int = 30) -> LicenceModel:
 
     temperature = min((0.25 * 1.25**k for k in range(16)), key=loss)
     texts = [[words_of(t.encode()) for t in ts] for ts in TEMPLATES.values()]
-    core = frozenset(b"license licensed licence copyright redistribution redistributions permission warranties unlicense unencumbered cc0 cc reserved domain confidential gnu mozilla software".split())
-    if not all(core & set(t) for ts in texts for t in ts):
-        raise ValueError("a template has no key word")
-    return LicenceModel(families, w, b, temperature, [[_pairs(t) for t in ts] for ts in texts], core)
-
-
-def _narrow(model: LicenceModel, w: list[bytes]) -> list[tuple[int, int, str, float, float]]:
-    """Confirmed licences in windows around the key words: first and last word, family, chance, similarity. Of hits that
-    overlap the one most like its template is kept; a hit is the words between the first and last pair of its template."""
-    windows = {(max(0, a), min(len(w), a + n)) for k in range(len(w)) if w[k] in model.key for n in NARROW for a in range(k - n + 1, k + 1, n // 4)}
-    windows |= {(k, min(len(w), k + n)) for k in range(len(w)) if w[k] in model.key for n in NARROW}
-    hits = []
-    for a, e in windows:
-        got = model.classify(w[a:e])
-        if got and got[3]:
-            known = set().union(*model.templates[model.families.index(got[0])])
-            at = [k for k in range(a, e - 1) if w[k] + b" " + w[k + 1] in known] or [a, e - 2]
-            hits.append((at[0], at[-1] + 1, got[0], got[1], got[2]))
-    kept: list[tuple[int, int, str, float, float]] = []
-    for h in sorted(hits, key=lambda h: (-h[4], -h[3], h)):
-        if all(h[1] < o[0] or o[1] < h[0] for o in kept):
-            kept.append(h)
-    return sorted(kept)
-
-
-def scan_text(model: LicenceModel, data: bytes | None) -> list[dict]:
-    """Licence paragraphs of a whole text: byte range, family, chance, similarity, confirmed.
-
-    Paragraphs are lines; a longer one than WINDOW words is looked at in windows, each with its own range. Then windows of
-    NARROW words around each key word are looked at for notices within other text: those confirmed are found too, unless
-    the paragraph around them has their family."""
+    return LicenceModel(families, w, b, temperature, [[_pairs(t) for t in ts] for ts in texts])
+
+
+def _windows(n: int, breaks: np.ndarray, lines: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First and end word of every window to look at in n words: paragraphs and lines of up to WINDOW words whole, and windows
+    of NARROW words within each paragraph, the last of each size at its end. breaks, lines: where paragraphs and lines begin."""
+    begin, end = [], []
+    for heads in (breaks, lines):
+        tails = np.append(heads[1:], n)
+        whole = tails - heads <= WINDOW
+        begin.append(heads[whole])
+        end.append(tails[whole])
+    tails = np.append(breaks[1:], n)
+    of = np.repeat(tails, tails - breaks)  # the end of each word's paragraph
+    head = np.repeat(breaks, tails - breaks)
+    for size in NARROW:
+        at = np.flatnonzero(((np.arange(n) - head) % (size // 4) == 0) & (np.arange(n) + size <= of))
+        last = tails[tails - breaks > size] - size
+        begin += [at, last]
+        end += [at + size, last + size]
+    pairs = np.unique(np.concatenate(begin) * (n + 1) + np.concatenate(end))
+    return pairs // (n + 1), pairs % (n + 1)
+
+
+def scan_text(model: LicenceModel, data: bytes | None, memo: WordHashes | None = None) -> list[dict]:
+    """Licences of a whole text: byte range, family, chance, similarity, confirmed.
+
+    Paragraphs stand between blank lines, so a wrapped notice is one. All windows of _windows go through the classifier, and
+    those it names are compared with the family's templates. Of hits that overlap, the one with most word pairs of its
+    template is kept; its range is the words between the first and last such pair. A paragraph or line that was named but
+    shares too little with every template is given as not confirmed, where nothing confirmed overlaps it."""
+    memo = WordHashes() if memo is None else memo
     found: list[dict] = []
-    if not data or model.key.isdisjoint(words_of(data)):
+    if not data:
+        return found
+    low = data.lower()
+    w = _WORD.findall(low)
+    if not w:
         return found
-    at = 0
-    for line in data.split(b"\n"):
-        w = words_of(line)
-        if not model.key.isdisjoint(w):
-            spans = [m.span() for m in _WORD.finditer(line.lower())]
-            wide = []
-            for a in range(0, max(1, len(w) - WINDOW // 2), WINDOW // 2):
-                part = w[a : a + WINDOW]
-                if got := model.classify(part):
-                    wide.append((a, a + len(part) - 1, *got))
-            inner = [(*h, True) for h in _narrow(model, w) if not any(o[5] and o[2] == h[2] and o[0] <= h[1] and h[0] <= o[1] for o in wide)]
-            found += [{"start": at + spans[a][0], "end": at + spans[e][1], "family": f, "chance": c, "similarity": s, "confirmed": ok} for a, e, f, c, s, ok in sorted(wide + inner)]
-        at += len(line) + 1
+    h = np.fromiter(map(memo.__getitem__, w), np.uint64, len(w))
+    breaks, lines = _heads(low, w)
+    confirmed, named = [], []
+    # long texts go through in stretches that overlap by the longest window
+    for lo in range(0, max(1, len(w) - WINDOW), STRETCH):
+        hi = min(len(w), lo + STRETCH + WINDOW)
+        own = [np.unique(np.append(x[(x > lo) & (x < hi)], lo)) - lo for x in (breaks, lines)]
+        begin, end = _windows(hi - lo, *own)
+        at, family, chance = model.likely(h[lo:hi], begin, end)
+        for k, f, p in zip(at.tolist(), family.tolist(), chance.tolist(), strict=True):
+            a, e = int(begin[k]) + lo, int(end[k]) + lo
+            s, n = model.similarity(w[a:e], f)
+            if s >= SIMILARITY:
+                known = set().union(*model.templates[f])
+                pairs = [i for i in range(a, e - 1) if w[i] + b" " + w[i + 1] in known] or [a, max(a, e - 2)]
+                confirmed.append((-n, -s, -p, pairs[0], min(e - 1, pairs[-1] + 1), f))
+            elif e - a <= WINDOW and (a in own[1] + lo or a in own[0] + lo) and s >= SIMILARITY / 2:
+                named.append((-n, -s, -p, a, e - 1, f))
+    kept: list[tuple] = []
+    for hits in (sorted(set(confirmed)), sorted(set(named))):
+        for hit in hits:
+            if all(hit[4] < o[3] or o[4] < hit[3] for o in kept):
+                kept.append(hit)
+    if kept:
+        spans = [m.span() for m in _WORD.finditer(low)]
+        sure = set(confirmed)
+        found = [{"start": spans[x[3]][0], "end": spans[x[4]][1], "family": model.families[x[5]], "chance": -x[2], "similarity": -x[1], "confirmed": x in sure} for x in sorted(kept, key=lambda x: x[3])]
     return found
 
 
+def _heads(low: bytes, w: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of the words that begin a paragraph, and a line."""
+    counts = [len(_WORD.findall(x)) for x in low.split(b"\n")]
+    lines = np.cumsum([0, *counts])[:-1]
+    blank = [not x.strip() for x in low.split(b"\n")]
+    first = [True, *[blank[k - 1] for k in range(1, len(blank))]]
+    has = np.array(counts) > 0
+    # a paragraph begins at the first line with words after a blank one
+    after = np.maximum.accumulate(np.where(first, np.arange(len(first)), 0))
+    seen = np.append(0, np.cumsum(has))
+    new = has & (seen[np.arange(len(has))] == seen[after])
+    return np.unique(np.append(0, lines[new])), np.unique(np.append(0, lines[has]))
+
+
 def prose_sample(docs: DataFrame, rows: int = SAMPLE_DOCS) -> list[bytes]:
-    """Up to four paragraphs each of a bounded sample of documents, by hash of doc_id, without key words."""
+    """The first SAMPLE_PARAGRAPHS lines of a bounded sample of documents, by hash of doc_id, up to SAMPLE_WORDS words each; those
+    that name licences are left out. Only training sees this sample."""
     own = docs.select(F.col("doc_id").cast("long").alias("i"), F.col("text").cast("string").alias("t")).where("i is not null and t is not null")
     chosen = materialize(own.select("i").distinct().orderBy(F.xxhash64("i"), "i").limit(rows), "prose")
-    texts = own.join(F.broadcast(chosen), "i", "left_semi").select(F.slice(F.filter(F.split("t", "\n"), lambda p: F.length(p) > 20), 1, 4).alias("p"))
-    taken = sorted(p[:2000].encode() for r in texts.toArrow()["p"].to_pylist() for p in r or [])
+    texts = own.join(F.broadcast(chosen), "i", "left_semi").select(F.slice(F.filter(F.split("t", "\n"), lambda p: F.length(p) > 20), 1, SAMPLE_PARAGRAPHS).alias("p"))
+    taken = sorted(b" ".join(p.encode().split()[:SAMPLE_WORDS]) for r in texts.toArrow()["p"].to_pylist() for p in r or [])
     key = re.compile(rb"(?i)licen[sc]|copyright|reserved|permission|redistribut|software|public domain|warrant")
     return [p for p in taken if not key.search(p)]
 
@@ -288,7 +339,7 @@ SCHEMA = "doc_id long, families array<string>, licences array<struct<start: long
 
 
 def scan(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> DataFrame:
-    """One row per row of docs: doc_id, families (confirmed ones, sorted), licences (all paragraphs that the classifier named).
+    """One row per row of docs: doc_id, families (confirmed ones, sorted), licences (see scan_text).
 
     Null, empty and licence-free texts have empty lists. Rows that repeat an id and null ids are scanned each. Other
     columns are not looked at. The classifier is trained on the driver from the templates and a bounded sample of prose."""
@@ -296,10 +347,10 @@ def scan(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
+        m, memo = shared.value, WordHashes()
         kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("family", pa.string()), ("chance", pa.float64()), ("similarity", pa.float64()), ("confirmed", pa.bool_())]))
         for b in batches:
-            found = [scan_text(m, t) for t in values(b.column(1))]
+            found = [scan_text(m, t, memo) for t in values(b.column(1))]
             families = [sorted({x["family"] for x in f if x["confirmed"]}) for f in found]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(families, pa.list_(pa.string())), pa.array(found, kind)], ["doc_id", "families", "licences"])
         release()

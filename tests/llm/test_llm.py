@@ -94,6 +94,34 @@ def test_licences_within_prose(licence_model, n):
     assert {f["family"] for f in both if f["confirmed"]} == {"mit", "cc-by-sa"}
 
 
+@pytest.mark.parametrize("columns", [40, 72, 1000])
+def test_wrapped_notices_are_one_paragraph(licence_model, columns):
+    import textwrap
+
+    for family, templates in license_scan.TEMPLATES.items():
+        parts = ["some words of prose stand before this one here.", max(templates, key=len), "and some more words after it all."]
+        text = "\n\n".join("\n".join(textwrap.wrap(p, columns)) for p in parts)
+        assert {x["family"] for x in license_scan.scan_text(licence_model, text.encode()) if x["confirmed"]} == {family}
+
+
+def test_notice_without_its_usual_words(licence_model):
+    """The classifier sees every paragraph: no word is asked for before."""
+    found = license_scan.scan_text(licence_model, b"with or without modification, are permitted provided that the following conditions are met")
+    assert [(x["family"], x["confirmed"]) for x in found] == [("bsd", True)]
+
+
+def test_running_sums_equal_single_windows(licence_model):
+    rng = random.Random(6)
+    w = license_scan.words_of((prose(rng, 50) + " Released under the MIT License. " + prose(rng, 30)).encode())
+    memo = common.WordHashes()
+    h = np.array([memo[x] for x in w], np.uint64)
+    begin = np.arange(0, len(w) - 8)
+    at, family, chance = licence_model.likely(h, begin, begin + 8)
+    alone = {k: licence_model.classify(w[k : k + 8]) for k in begin.tolist()}
+    assert {k for k, x in alone.items() if x} == set(at.tolist()) and len(at)
+    assert all(alone[k][0] == licence_model.families[f] and abs(alone[k][1] - p) < 1e-9 for k, f, p in zip(at.tolist(), family.tolist(), chance.tolist(), strict=True))
+
+
 def test_scan_finds_the_planted_line(spark):
     got = license_scan.scan(table(spark, [(901, "x " * 400 + "Licensed under CC BY 4.0. " + "y " * 400)])).collect()
     assert got[0].families == ["cc-by"]
