@@ -17,22 +17,25 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import materialize
+from .common import materialize, small
 
 #: Tables, projections of each, width of a slot in standard deviations of a projection.
 TABLES, PROJECTIONS, WIDTH = 6, 6, 1.5
 #: Chance of a neighbour in the buckets that one table's probes visit.
 SUCCESS = 0.4
-#: Vectors in one block of buckets on average.
-BLOCK_ROWS = 20_000
+#: Most vectors, and most queries, that one task compares with each other.
+BLOCK_ROWS, ASK_ROWS = 8_192, 4_096
 #: Vectors (by hash of vec_id) from which spread and likeness of neighbours are estimated.
 SAMPLE_ROWS = 4_000
 #: Queries scored against a block at once.
-CHUNK = 256
+CHUNK = 64
+
+
+_erf = np.frompyfunc(math.erf, 1, 1)
 
 
 def _phi(z: np.ndarray) -> np.ndarray:
-    return 0.5 * (1 + np.vectorize(math.erf)(z / math.sqrt(2)))
+    return 0.5 * (1 + _erf(z / math.sqrt(2)).astype(float))
 
 
 @dataclass
@@ -88,50 +91,63 @@ class ProbeIndex:
         here = np.log(np.diff(_phi((edge - self.beta * (q @ self.a[t])) / self.rest), axis=0) + 1e-12)
         return here, here - np.log(np.diff(_phi(edge / self.sigma), axis=0) + 1e-12)
 
-    def last_gain(self, q: np.ndarray, t: int, success: float) -> float:
-        """Of all buckets of table t in order of estimated success: the gain of the last that is visited."""
-        here, gains = self.slot_gains(q, t)
+    def stop(self, here: np.ndarray, gains: np.ndarray, success: float) -> float:
+        """Of all buckets of a table in order of estimated success: the gain of the last that is visited."""
         chance, gain = np.zeros(1), np.zeros(1)
-        for j in range(self.a.shape[2]):
+        for j in range(here.shape[1]):
             chance = (chance[:, None] + here[None, :, j]).reshape(-1)
             gain = (gain[:, None] + gains[None, :, j]).reshape(-1)
         order = np.argsort(-gain, kind="stable")
         reached = np.cumsum(np.exp(chance[order]))
         return float(gain[order[min(len(order) - 1, int(np.searchsorted(reached, success)))]])
 
-    def visits(self, q: np.ndarray, last: np.ndarray, buckets: np.ndarray, t: int) -> np.ndarray:
-        """(queries, buckets): whether each query visits each bucket of table t."""
-        digits = np.stack([buckets // self.slots**j % self.slots for j in range(self.a.shape[2])], axis=1)
-        out = np.zeros((len(q), len(buckets)), bool)
-        for r, x in enumerate(q):
-            gains = self.slot_gains(x, t)[1]
-            out[r] = gains[digits, np.arange(digits.shape[1])].sum(axis=1) >= last[r] - 1e-9
-        return out
+    def digits(self, buckets: np.ndarray, n: int) -> np.ndarray:
+        """(buckets, n): slots of the first n projections."""
+        return np.stack([buckets // self.slots**j % self.slots for j in range(n)], axis=1) if n else np.zeros((len(buckets), 0), np.int64)
+
+    def areas(self, gains: np.ndarray, last: float, lead: int) -> np.ndarray:
+        """Numbers of the areas - buckets with the same slots in the first `lead` projections - that hold a bucket to visit."""
+        best = np.zeros(1)
+        for j in range(lead):
+            best = (best[None, :] + gains[:, j, None]).reshape(-1)
+        return np.flatnonzero(best + gains[:, lead:].max(axis=0).sum() >= last - 1e-9)
+
+    def visits(self, gains: np.ndarray, last: np.ndarray, buckets: np.ndarray) -> np.ndarray:
+        """(queries, buckets): whether each query visits each bucket. gains: (queries, slots, projections)."""
+        total = np.zeros((len(gains), len(buckets)))
+        for j, d in enumerate(self.digits(buckets, self.a.shape[2]).T):
+            total += gains[:, d, j]
+        return total >= last[:, None] - 1e-9
 
 
 def _valid(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
+    """Vectors that take part, shorter ones filled up with zeros, which change no inner product."""
     v = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vec_col).cast("array<double>").alias("v")).where("vec_id is not null and v is not null")
     v = v.where("not exists(v, x -> x is null or isnan(x) or abs(x) = double('Infinity')) and exists(v, x -> x <> 0)")
-    sizes = v.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").limit(1).collect()
-    return v.where(F.size("v") == (sizes[0]["n"] if sizes else 0)).distinct()
+    sizes = v.agg(F.min(F.size("v")).alias("least"), F.max(F.size("v")).alias("most")).first()
+    if sizes["least"] != sizes["most"]:
+        v = v.withColumn("v", F.concat("v", F.array_repeat(F.lit(0.0), F.lit(sizes["most"]) - F.size("v"))))
+    return v.distinct()
 
 
-def _block_search(index: ProbeIndex | None, near: int):
-    """For a cogroup of (block, table, bucket, id, v, members) and (block, qid, v, gain of the last bucket by table; None: all)."""
+def _search(index: ProbeIndex | None, near: int):
+    """For a cogroup of vectors (bucket, v, members) and queries (qid, v, gains, last), both of one area of one table: the nearest
+    in the buckets that each query visits; without an index in all."""
 
     def run(base: pd.DataFrame, asks: pd.DataFrame) -> pd.DataFrame:
         out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         if len(base) and len(asks):
-            t = int(base["table"].iloc[0])  # a block holds whole buckets of one table
             names, which = np.unique(base["bucket"].to_numpy(), return_inverse=True)
             v, members = np.stack(base["v"].to_numpy()), base["members"].tolist()
+            # queries with the same best bucket visit much the same: they are looked at together
+            asks = asks.sort_values(["home", "qid"], kind="stable")
             for lo in range(0, len(asks), CHUNK):
                 part = asks.iloc[lo : lo + CHUNK]
                 q = np.stack(part["v"].to_numpy())
                 if index is None:
                     visits = np.ones((len(q), len(names)), bool)
                 else:
-                    visits = index.visits(q, np.array([g[t] for g in part["last"]]), names, t)
+                    visits = index.visits(np.stack(part["gains"].to_numpy()).reshape(len(part), index.slots, -1), part["last"].to_numpy(), names)
                 some = np.flatnonzero(visits.any(axis=0)[which])
                 if not len(some):
                     continue
@@ -149,16 +165,31 @@ def _block_search(index: ProbeIndex | None, near: int):
     return run
 
 
+def _met(base: DataFrame, asks: DataFrame, key: list[str], index: ProbeIndex | None, near: int) -> DataFrame:
+    """(qid, vec_id, score) of the vectors and queries that have the same key. Keys with many of either are dealt into parts by
+    id, and each part of the one meets each part of the other, so no task holds more than about BLOCK_ROWS and ASK_ROWS."""
+    counts = base.groupBy(*key).agg(F.count("*").alias("n")).join(asks.groupBy(*key).agg(F.count("*").alias("m")), key)
+    parts = materialize(counts.select(*key, F.ceil(F.col("n") / BLOCK_ROWS).cast("int").alias("rows"), F.ceil(F.col("m") / ASK_ROWS).cast("int").alias("lots")), "areas")
+    mark = small(parts, parts.count(), 200_000)
+    left = base.join(mark, key).withColumn("x", F.pmod(F.xxhash64("id"), F.col("rows"))).withColumn("y", F.explode(F.sequence(F.lit(0).cast("long"), F.col("lots") - 1))).drop("rows", "lots")
+    right = asks.join(mark, key).withColumn("y", F.pmod(F.xxhash64("qid"), F.col("lots"))).withColumn("x", F.explode(F.sequence(F.lit(0).cast("long"), F.col("rows") - 1))).drop("rows", "lots")
+    cell = [*key, "x", "y"]
+    return left.groupBy(*cell).cogroup(right.groupBy(*cell)).applyInPandas(_search(index, near), "qid long, vec_id long, score double")
+
+
 def nearest(vectors: DataFrame, every: int = 20, k: int = 20, id_col: str = "vec_id", vec_col: str = "embedding", success: float = SUCCESS) -> DataFrame:
     """(query_id, rank, vec_id, score): for each row whose id is divisible by `every`, its k nearest found by inner product.
 
-    Vectors that are null, zero, hold null or non-finite components or have not the commonest length take no part, nor do
-    rows with a null id; rows repeated whole count once; a query is never its own candidate. Equal vectors are searched
-    once: a class keeps its k + 1 smallest ids, which is all that a list of k can hold. Ties go to the smaller id. A query
-    whose probes found fewer than k (or than all) is searched in every bucket. An empty table gives no rows."""
+    Vectors that are null, zero or hold null or non-finite components take no part, nor do rows with a null id; a vector
+    shorter than others counts as filled up with zeros. Rows repeated whole count once; a query is never its own candidate.
+    Equal vectors are searched once: a class keeps its k + 1 smallest ids, which is all that a list of k can hold. Ties go to
+    the smaller id. Buckets are dealt by areas: a query goes to the areas that hold a bucket it visits, and to no others. A
+    query whose probes found fewer than k (or than all) is searched in every bucket. An empty table gives no rows."""
     near = k + 1
     v = materialize(_valid(vectors, id_col, vec_col), "vectors")
     n = v.count()
+    if not n:
+        return v.select(F.col("vec_id").alias("query_id"), F.lit(1).alias("rank"), "vec_id", F.lit(0.0).alias("score"))
     first = Window.partitionBy("v").orderBy("vec_id")
     least = v.withColumn("r", F.row_number().over(first)).where(F.col("r") <= near)
     classes = materialize(least.groupBy("v").agg(F.min("vec_id").alias("id"), F.sort_array(F.collect_list("vec_id")).alias("members")), "classes")
@@ -166,10 +197,10 @@ def nearest(vectors: DataFrame, every: int = 20, k: int = 20, id_col: str = "vec
     asked = materialize(asked, "asked")
     n_classes = classes.count()
     sample = np.array([r["v"] for r in classes.orderBy(F.xxhash64("id"), "id").limit(SAMPLE_ROWS).select("v").collect()])
-    if not n:
-        return v.select(F.col("vec_id").alias("query_id"), F.lit(1).alias("rank"), "vec_id", F.lit(0.0).alias("score"))
     index = ProbeIndex.fit(sample, k)
-    blocks = max(1, math.ceil(n_classes / BLOCK_ROWS))  # of each table
+    # areas of about BLOCK_ROWS vectors
+    lead = min(index.a.shape[2], max(0, math.ceil(math.log(max(1, n_classes / BLOCK_ROWS), index.slots))))
+    areas = index.slots**lead
 
     def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -177,34 +208,33 @@ def nearest(vectors: DataFrame, every: int = 20, k: int = 20, id_col: str = "vec
                 continue
             got = index.buckets(np.stack(b["v"].to_numpy()))
             for t in range(TABLES):
-                yield pd.DataFrame({"block": _block_of(got[:, t], blocks) + t * blocks, "table": t, "bucket": got[:, t], "id": b["id"], "v": b["v"], "members": b["members"]})
+                yield pd.DataFrame({"table": t, "area": got[:, t] % areas, "bucket": got[:, t], "id": b["id"], "v": b["v"], "members": b["members"]})
 
     def probe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            b["last"] = [[index.last_gain(np.asarray(q), t, success) for t in range(TABLES)] for q in b["v"]]
-            yield b
-
-    placed = classes.mapInPandas(place, "block long, table int, bucket long, id long, v array<double>, members array<long>")
+            rows = []
+            for qid, x in zip(b["qid"].tolist(), b["v"], strict=True):
+                for t in range(TABLES):
+                    here, gains = index.slot_gains(np.asarray(x), t)
+                    last = index.stop(here, gains, success)
+                    home = int((gains.argmax(axis=0) * index.slots ** np.arange(gains.shape[1])).sum())
+                    rows += [(t, a, qid, x, gains.reshape(-1), last, home) for a in index.areas(gains, last, lead).tolist()]
+            if rows:
+                yield pd.DataFrame(rows, columns=["table", "area", "qid", "v", "gains", "last", "home"])
+
+    placed = classes.mapInPandas(place, "table int, area long, bucket long, id long, v array<double>, members array<long>")
     queries = asked.select("qid").distinct().join(classes.select(F.col("id").alias("qid"), "v"), "qid")
-    everywhere = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks * TABLES - 1).cast("long"))).alias("block")
-    asks = queries.mapInPandas(probe, "qid long, v array<double>, last array<double>").select(everywhere, "qid", "v", "last")
-    result = "qid long, vec_id long, score double"
-    found = placed.groupBy("block").cogroup(asks.groupBy("block")).applyInPandas(_block_search(index, near), result)
+    asks = materialize(queries.mapInPandas(probe, "table int, area long, qid long, v array<double>, gains array<double>, last double, home long"), "asks")
+    found = _met(placed, asks, ["table", "area"], index, near)
     best = Window.partitionBy("qid").orderBy(F.desc("score"), "vec_id")
     top = materialize(found.groupBy("qid", "vec_id").agg(F.max("score").alias("score")).withColumn("r", F.row_number().over(best)).where(F.col("r") <= near).drop("r"), "top")
     full = min(near, n)
     short = materialize(queries.join(top.groupBy("qid").count().where(F.col("count") >= full), "qid", "left_anti"), "short")
-    if short.count():
-        whole = classes.select((F.pmod(F.xxhash64("id"), F.lit(blocks))).alias("block"), F.lit(0).alias("table"), F.lit(0).cast("long").alias("bucket"), "id", "v", "members")
-        again = short.select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("block"), "qid", "v")
-        more = whole.groupBy("block").cogroup(again.groupBy("block")).applyInPandas(_block_search(None, near), result)
+    if not short.isEmpty():
+        whole = classes.select(F.lit(0).alias("table"), F.lit(0).cast("long").alias("bucket"), "id", "v", "members")
+        more = _met(whole, short.select(F.lit(0).alias("table"), "qid", "v", F.lit(0).alias("home")), ["table"], None, near)
         more = more.withColumn("r", F.row_number().over(best)).where(F.col("r") <= near).drop("r")
         top = top.join(short.select("qid"), "qid", "left_anti").unionByName(more)
     answers = asked.join(top, "qid").where("vec_id <> query_id")
     rank = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return answers.withColumn("rank", F.row_number().over(rank)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
-
-
-def _block_of(key: np.ndarray, blocks: int) -> np.ndarray:
-    h = key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    return ((h >> np.uint64(33)) % np.uint64(blocks)).astype(np.int64)

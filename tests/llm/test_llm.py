@@ -175,7 +175,7 @@ def test_nearest_recall_ties_and_bad_vectors(spark):
     rng = np.random.default_rng(5)
     x = rng.normal(size=(900, 16)).astype(np.float32)
     x[300:340] = x[0]  # a group of copies
-    v = list(enumerate(x.tolist())) + [(2000, None), (2020, [0.0] * 16), (2040, [float("nan")] * 16), (2060, [1.0, None] * 8), (2080, [1.0]), (None, x[1].tolist()), (4, x[4].tolist())]
+    v = list(enumerate(x.tolist())) + [(2000, None), (2020, [0.0] * 16), (2040, [float("nan")] * 16), (2060, [1.0, None] * 8), (None, x[1].tolist()), (4, x[4].tolist())]
     got = ann.nearest(vectors(spark, v)).collect()
     lists = {}
     for r in sorted(got, key=lambda r: r.rank):
@@ -193,6 +193,31 @@ def test_nearest_recall_ties_and_bad_vectors(spark):
     assert [i for i, _ in lists[0]] == list(range(300, 320))
 
 
+def test_nearest_over_many_areas(spark, monkeypatch):
+    """Areas, vectors and queries dealt into many parts: recall as before, and no query without its whole list."""
+    monkeypatch.setattr(ann, "BLOCK_ROWS", 40)
+    monkeypatch.setattr(ann, "ASK_ROWS", 7)
+    rng = np.random.default_rng(6)
+    centres = rng.normal(size=(12, 12)) * 2
+    x = (centres[rng.integers(0, 12, 1500)] + rng.normal(size=(1500, 12))).astype(np.float32).astype(float)
+    got = ann.nearest(vectors(spark, list(enumerate(x.tolist())))).collect()
+    lists = {}
+    for r in got:
+        lists.setdefault(r.query_id, {})[r.rank] = r.vec_id
+    hits = 0
+    for q in range(0, 1500, 20):
+        s = x @ x[q]
+        s[q] = -np.inf
+        assert sorted(lists[q]) == list(range(1, 21))
+        hits += len(set(lists[q].values()) & set(np.lexsort((np.arange(1500), -s))[:20].tolist()))
+    assert hits / (20 * len(lists)) >= 0.9
+
+
+def test_vectors_of_other_lengths_take_part(spark):
+    got = ann.nearest(vectors(spark, [(0, [1, 0]), (1, [3]), (2, [2, 5, 1]), (20, [0, 1]), (21, [0, 2])])).collect()
+    assert [(r.rank, r.vec_id, r.score) for r in sorted(got, key=lambda r: r.rank) if r.query_id == 0] == [(1, 1, 3.0), (2, 2, 2.0), (3, 20, 0.0), (4, 21, 0.0)]
+
+
 def test_nearest_of_few(spark):
     got = ann.nearest(vectors(spark, [(0, [1, 0]), (1, [0, 1]), (20, [1, 1])])).collect()
     assert sorted((r.query_id, r.rank, r.vec_id) for r in got) == [(0, 1, 20), (0, 2, 1), (20, 1, 0), (20, 2, 1)]
