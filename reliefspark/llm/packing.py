@@ -20,51 +20,86 @@ OVERHEAD = 16
 SHARD_ROWS = 100_000
 
 
+class _Left:
+    """Lengths still to be placed, with a bit for each that is left."""
+
+    def __init__(self, lengths: np.ndarray):
+        self.counts = dict(zip(*(x.tolist() for x in np.unique(lengths, return_counts=True)), strict=True))
+        self.bits = 0
+        for n in self.counts:
+            self.bits |= 1 << n
+
+    def take(self, n: int) -> None:
+        self.counts[n] -= 1
+        if not self.counts[n]:
+            self.bits &= ~(1 << n)
+
+    def fill(self, first: int, room: int) -> int:
+        """What a bin with `room` would hold if it took `first` and then the longest of the others that fit, again and again."""
+        held, top, used = first, room - first, 1
+        limit = min(top, first)
+        while limit > 0 and (bits := self.bits & ((2 << limit) - 1)):
+            n = bits.bit_length() - 1
+            spare = self.counts[n] - (used if n == first else 0)
+            if spare <= 0:
+                limit = n - 1
+                continue
+            m = min(spare, (room - held) // n)
+            held += m * n
+            limit = min(room - held, n - 1)
+        return held
+
+
+def _plan(lengths: np.ndarray, order: np.ndarray, sizes: list[int], overhead: float, look: bool) -> tuple[float, np.ndarray, np.ndarray, np.ndarray]:
+    """Best fit decreasing over bins of `sizes`: cost after downsizing, bin and offset of each length, downsized bins.
+
+    look: the size of a new bin is the one of least cost for each unit that it would hold, as _Left.fill foresees it; else it
+    is the largest."""
+    bins, offsets = np.empty(len(lengths), np.int64), np.empty(len(lengths), np.int64)
+    used: list[int] = []
+    room: dict[int, list[int]] = {}
+    open_rooms = 0  # bit r is set if some open bin has room for just r more
+    left = _Left(lengths) if look else None
+    for i in order.tolist():
+        n = int(lengths[i])
+        fits = open_rooms >> n
+        if fits:
+            r = n + (fits & -fits).bit_length() - 1
+            b = room[r].pop()
+            if not room[r]:
+                open_rooms &= ~(1 << r)
+        else:
+            r, b = sizes[-1], len(used)
+            if left:
+                held = {c: left.fill(n, c) for c in sizes if c >= n}
+                r = min(held, key=lambda c: ((next(x for x in sizes if x >= held[c]) + overhead) / held[c], c))
+            used.append(0)
+        if left:
+            left.take(n)
+        bins[i], offsets[i] = b, used[b]
+        used[b] += n
+        if r > n:
+            room.setdefault(r - n, []).append(b)
+            open_rooms |= 1 << (r - n)
+    final = np.asarray(sizes, np.int64)[np.searchsorted(sizes, used)] if used else np.zeros(0, np.int64)
+    return float(final.sum() + overhead * len(final)), bins, offsets, final
+
+
 def best_fit(lengths: Sequence[int], capacities: Sequence[int] = CAPACITIES, overhead: float = OVERHEAD) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Bin and offset of each length (1 to the largest capacity), and each bin's capacity after downsizing.
 
-    Best fit decreasing: a piece goes to the open bin that it leaves the least room in. Where none fits, a bin is opened:
-    of the permitted sizes that hold the piece, the one of least cost a token, if it takes what is still to be placed.
-    This is done with every prefix of the sizes, and the plan of least total cost after downsizing is taken, so that
-    the sizes are chosen together."""
+    Best fit decreasing: a piece goes to the open bin that it leaves the least room in. Where none fits, a bin is opened of
+    the permitted size that costs least for what it would hold: for each size, the pieces still to be placed are laid into it,
+    longest first, and its cost - of the size it could then be downsized to, plus the overhead - is divided by their sum. So
+    all sizes compete for every bin. At the end each bin gets the smallest size that holds its contents. As lookahead is
+    a guess, plans with every prefix of the sizes, with and without it, are made, and the least total cost wins."""
     lengths = np.asarray(lengths, np.int64)
+    if not len(lengths):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
     order = np.argsort(-lengths, kind="stable")
     sizes = sorted(set(capacities))
-    best = None
-    for top in range(len(sizes)):
-        if len(lengths) and sizes[top] < lengths[order[0]]:
-            continue
-        allowed = sizes[: top + 1]
-        bins, offsets = np.empty(len(lengths), np.int64), np.empty(len(lengths), np.int64)
-        used: list[int] = []
-        size: list[int] = []
-        room: dict[int, list[int]] = {}
-        open_rooms = 0  # bit r is set if some open bin has room for just r more
-        left = int(lengths.sum())
-        for i in order.tolist():
-            n = int(lengths[i])
-            fits = open_rooms >> n
-            if fits:
-                r = n + (fits & -fits).bit_length() - 1
-                b = room[r].pop()
-                if not room[r]:
-                    open_rooms &= ~(1 << r)
-            else:
-                r = min((c for c in allowed if c >= n), key=lambda c: ((c + overhead) / min(c, left), c))
-                b = len(used)
-                used.append(0)
-                size.append(r)
-            bins[i], offsets[i] = b, used[b]
-            used[b] += n
-            left -= n
-            if r > n:
-                room.setdefault(r - n, []).append(b)
-                open_rooms |= 1 << (r - n)
-        final = np.asarray(sizes, np.int64)[np.searchsorted(sizes, used)] if used else np.zeros(0, np.int64)
-        cost = float(final.sum() + overhead * len(final))
-        if best is None or cost < best[0]:
-            best = (cost, bins, offsets, final)
-    return best[1:] if best else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64))
+    plans = [(sizes[: top + 1], look) for top in range(len(sizes)) if sizes[top] >= lengths[order[0]] for look in (True, False)]
+    return min((_plan(lengths, order, allowed, overhead, look) for allowed, look in plans), key=lambda p: p[0])[1:]
 
 
 def word_count(text_col: str = "text") -> F.Column:
@@ -115,3 +150,10 @@ def pack(items: DataFrame, capacities: Sequence[int] = CAPACITIES, overhead: flo
 def pack_documents(docs: DataFrame, capacities: Sequence[int] = CAPACITIES, overhead: float = OVERHEAD) -> DataFrame:
     """pack() with the words of docs.text as lengths. The lengths are written once, before shards are counted."""
     return pack(materialize(docs.select("doc_id", word_count().alias("length")), "lengths"), capacities, overhead)
+
+
+def pack_tokens(docs: DataFrame, path: str | None = None, capacities: Sequence[int] = CAPACITIES, overhead: float = OVERHEAD) -> DataFrame:
+    """pack() with the tokens of docs.text as lengths, begin and end ids too, by the piece encoder with the model at path."""
+    from .piece_bpe import tokenize
+
+    return pack(materialize(tokenize(docs, path, with_ids=False).select("doc_id", F.col("n_tokens").alias("length")), "lengths"), capacities, overhead)

@@ -93,13 +93,14 @@ class PieceBPE:
             at[end - found[1] + 1].append(found)  # of one start, in order of length
         out: list[int] = []
         tried: list[tuple[int, int]] = []
-        pos, k, failed, ok = 0, len(at[0]) - 1, 0, self.compatible
+        pos, k, failed, ok = 0, len(at[0]) - 1, bytearray((n >> 3) + 1), self.compatible  # a bit for each place
         while pos < n:
             here = at[pos]
             before = (out[-1] + 1) << 32 if out else 0
             while k >= 0:
                 i, size = here[k]
-                if not failed >> (pos + size) & 1 and ok[before | i]:
+                end = pos + size
+                if not failed[end >> 3] >> (end & 7) & 1 and ok[before | i]:
                     break
                 k -= 1
             if k >= 0:
@@ -108,7 +109,7 @@ class PieceBPE:
                 pos += size
                 k = len(at[pos]) - 1 if pos < n else 0
             else:
-                failed |= 1 << pos
+                failed[pos >> 3] |= 1 << (pos & 7)
                 out.pop()
                 pos, k = tried.pop()
                 k -= 1

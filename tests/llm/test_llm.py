@@ -240,6 +240,46 @@ def test_best_fit_holds_and_is_tight():
     assert packing.best_fit([])[0].size == 0 and packing.best_fit([3])[2].tolist() == [512]
 
 
+def least_cost(lengths, sizes, overhead):
+    """Over all ways to share the lengths out to bins."""
+    best = [float("inf")]
+
+    def go(k, bins):
+        if k == len(lengths):
+            best[0] = min(best[0], sum(min(c for c in sizes if c >= u) + overhead for u in bins))
+            return
+        for j in range(len(bins)):
+            if bins[j] + lengths[k] <= max(sizes):
+                bins[j] += lengths[k]
+                go(k + 1, bins)
+                bins[j] -= lengths[k]
+        bins.append(lengths[k])
+        go(k + 1, bins)
+        bins.pop()
+
+    go(0, [])
+    return best[0]
+
+
+@pytest.mark.parametrize("sizes,overhead", [((8, 12, 20), 1), ((5, 9, 10, 30), 0), ((16, 24), 4)])
+def test_best_fit_against_every_way(sizes, overhead):
+    rng = random.Random(sum(sizes))
+    ratios, largest_only = [], []
+    for _ in range(60):
+        n = [rng.randint(1, max(sizes)) for _ in range(rng.randint(1, 7))]
+        final = packing.best_fit(n, sizes, overhead)[2]
+        want = least_cost(n, sizes, overhead)
+        ratios.append((final.sum() + overhead * len(final)) / want)
+        order = np.argsort(-np.array(n), kind="stable")
+        largest_only.append(packing._plan(np.array(n), order, sorted(sizes), overhead, False)[0] / want)
+    assert min(ratios) >= 1 and np.mean(ratios) < 1.02 and max(ratios) <= 1.25 and np.mean(ratios) < np.mean(largest_only)
+
+
+def test_sizes_are_chosen_by_what_they_would_hold():
+    bins, _, final = packing.best_fit([10, 10, 10, 600, 600, 5000, 5000], (64, 1300, 5100, 8192), 16)
+    assert sorted(final.tolist()) == [1300, 5100, 5100]
+
+
 def test_pack_documents(spark, rows):
     got = packing.pack_documents(table(spark, rows)).collect()
     want = sorted((i is None, i or 0, len(re.findall(r"[^\x20\x09-\x0D]+", t or ""))) for i, t in rows)
