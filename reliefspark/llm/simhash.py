@@ -362,7 +362,16 @@ def drop_near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.
     all alike. An empty table stays empty."""
     key = "__near_key"
     own = F.col(id_col).cast("long")
-    keyed = docs.withColumn(key, F.xxhash64(own, F.col(text_col).cast("string")))
+    # a doc_id that stands once is its own key; small ones lead groups, as originals come before their copies
+    several = docs.select(own.alias("__id")).groupBy("__id").count().where("count > 1 or __id is null")
+    several = materialize(several.select(F.col("__id").alias("__repeated")), "several")
+    n = several.count()
+    by_text = F.lit(False)
+    keyed = docs
+    if n:
+        keyed = docs.join(small(several.withColumn("__several", F.lit(True)), n), own.eqNullSafe(F.col("__repeated")), "left")
+        by_text = F.coalesce(F.col("__several"), F.lit(False))
+    keyed = keyed.withColumn(key, F.when(by_text, F.xxhash64(own, F.col(text_col).cast("string"))).otherwise(own)).drop("__repeated", "__several")
     found = materialize(similar_documents(keyed, words, similarity, key, text_col), "near-components")
     if found.isEmpty():
         return docs

@@ -164,6 +164,24 @@ def test_exact_duplicates(spark, rows, monkeypatch):
     assert exact_dedup.drop_exact_duplicates(table(spark, rows)).columns == table(spark, []).columns
 
 
+def test_rows_are_dropped_by_their_own_text(spark):
+    rows = [(1, "a"), (2, "b"), (2, "a"), (3, "c"), (3, "c"), (None, "z"), (None, "z"), (None, "b"), (4, None), (5, ""), (6, "q")]
+    left = exact_dedup.drop_exact_duplicates(table(spark, rows)).select("doc_id", "text").collect()
+    assert sorted(map(str, map(tuple, left))) == sorted(map(str, [(1, "a"), (2, "b"), (3, "c"), (None, "z"), (4, None), (6, "q")]))
+    assert sum(r.kept for r in exact_dedup.exact_duplicates(table(spark, rows)).collect()) == 6
+    assert not exact_dedup.drop_exact_duplicates(table(spark, [])).count()
+
+
+def test_near_duplicates_with_repeated_ids(spark):
+    rng = random.Random(20)
+    t = prose(rng, 80)
+    rows = [(1, t), (2, t + " x"), (1, prose(rng, 9)), (None, t + " y"), (2, prose(rng, 9)), (None, "z z"), (None, None), (9, "")]
+    left = simhash.drop_near_duplicates(table(spark, rows))
+    assert left.columns == table(spark, []).columns
+    assert sorted(map(str, [tuple(r) for r in left.select("doc_id", "text").collect()])) == sorted(map(str, [rows[0], rows[2], rows[4], rows[5], rows[7]]))
+    assert not simhash.drop_near_duplicates(table(spark, [])).count()
+
+
 # --- 3 nearest neighbours ---
 
 
