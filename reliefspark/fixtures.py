@@ -55,7 +55,7 @@ SEGMENTS = """SELECT c_custkey AS id, CAST(c_custkey % 10 AS DOUBLE) AS x1, CAST
     CAST(CASE WHEN c_custkey % 6 = 0 THEN c_custkey * 3 % 8 ELSE c_custkey * 13 % 8 END AS DOUBLE) AS y4 FROM customer"""
 
 VERTICES = """SELECT c_nationkey AS id, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) AS ord,
-    CAST(c_custkey * 7919 % 1000 AS DOUBLE) AS x, CAST(c_custkey * 104729 % 1000 AS DOUBLE) AS y FROM customer WHERE c_acctbal > 8000"""
+    CAST(c_custkey * 7919 % 1000 AS DOUBLE) AS x, CAST(c_custkey * 104729 % 1000 AS DOUBLE) AS y FROM customer"""
 
 ANGLES = "SELECT user_id, value * 3.141592653589793 / 180.0 AS a, value * 2.5 AS deg FROM events"
 

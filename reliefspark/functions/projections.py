@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Fixed values of the data model.
@@ -137,3 +137,30 @@ def haversine(lon1: Column, lat1: Column, lon2: Column, lat2: Column) -> Column:
 def level_needed(delta_degrees: Column, tile_size: int, max_level: int = 6) -> Column:
     """Pyramid level whose cells are no larger than the delta."""
     return F.least(F.lit(max_level), F.greatest(F.lit(0), F.log2(delta_degrees * tile_size).cast("int")))
+
+
+def lon_lat_delta(projection: Mercator | LambertConformalConic, x: Column, y: Column) -> Column:
+    """Radians that one map unit to the north east spans at (x, y): the lesser of longitude and latitude. Where a place is off the
+    map, the largest double."""
+    a, b = projection.inverse(x, y), projection.inverse(x + 1, y + 1)
+    d = F.least(F.abs(b[0] - a[0]), F.abs(b[1] - a[1]))
+    known = a[0].isNotNull() & a[1].isNotNull() & b[0].isNotNull() & b[1].isNotNull()
+    return F.when(known, d).otherwise(F.lit(1.7976931348623157e308))
+
+
+def projected_mbr(points: DataFrame, projection: Mercator | LambertConformalConic, *by: str) -> DataFrame:
+    """(by, min_x, min_y, max_x, max_y) in whole map units around points (lon, lat in degrees); points off the map are left out."""
+    x, y = projection.forward(F.col("lon") * (math.pi / 180), F.col("lat") * (math.pi / 180))
+    p = points.select(*by, x.alias("px"), y.alias("py")).where("px is not null and py is not null")
+    return p.groupBy(*by).agg(F.floor(F.min("px")).cast("int").alias("min_x"), F.floor(F.round(F.min("py"), 6)).cast("int").alias("min_y"), F.ceil(F.max("px")).cast("int").alias("max_x"), F.ceil(F.round(F.max("py"), 6)).cast("int").alias("max_y"))
+
+
+def geo_mbr(rects: DataFrame, projection: Mercator | LambertConformalConic, key: str) -> DataFrame:
+    """(key, min_lon, min_lat, max_lon, max_lat in radians) around map rectangles (key, min_x, min_y, max_x, max_y), from their
+    corners and the middles of their sides; rectangles of which one of these is off the map are left out."""
+    mid = {a: [F.col(f"min_{a}"), (F.col(f"min_{a}") + F.col(f"max_{a}")) / 2, F.col(f"max_{a}")] for a in "xy"}
+    border = F.array(*[F.struct(x.cast("double").alias("px"), y.cast("double").alias("py")) for i, x in enumerate(mid["x"]) for j, y in enumerate(mid["y"]) if (i, j) != (1, 1)])
+    lon, lat = projection.inverse(F.col("px"), F.col("py"))
+    on = rects.select(key, F.inline(border)).select(key, lon.alias("lon"), lat.alias("lat"))
+    found = on.groupBy(key).agg(F.min("lon").alias("min_lon"), F.min("lat").alias("min_lat"), F.max("lon").alias("max_lon"), F.max("lat").alias("max_lat"), F.count_if(F.col("lon").isNotNull() & F.col("lat").isNotNull()).alias("n"))
+    return found.where("n = 8").drop("n")

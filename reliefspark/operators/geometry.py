@@ -135,3 +135,37 @@ def triangle_normal(a: Sequence[Column], b: Sequence[Column], c: Sequence[Column
     n = [u[1] * v[2] - u[2] * v[1], u[2] * v[0] - u[0] * v[2], u[0] * v[1] - u[1] * v[0]]
     length = F.sqrt(n[0] * n[0] + n[1] * n[1] + n[2] * n[2])
     return [F.when(length > 0, x / length) for x in n]
+
+
+def midpoint(a: Point, b: Point) -> Point:
+    return (a[0] + b[0]) / 2, (a[1] + b[1]) / 2
+
+
+def length(a: Point, b: Point) -> Column:
+    return F.sqrt((b[0] - a[0]) * (b[0] - a[0]) + (b[1] - a[1]) * (b[1] - a[1]))
+
+
+def extended(a: Point, b: Point, before: Column | float, after: Column | float) -> tuple[Point, Point]:
+    """The segment made longer by so much at either end; a point stays a point."""
+    n = length(a, b)
+    ux, uy = (F.when(n > 0, (b[k] - a[k]) / n).otherwise(0.0) for k in (0, 1))
+    return (a[0] - ux * before, a[1] - uy * before), (b[0] + ux * after, b[1] + uy * after)
+
+
+def segment_kind(a: Point, b: Point) -> Column:
+    """point, horizontal, vertical or sloped."""
+    return F.when((a[0] == b[0]) & (a[1] == b[1]), "point").when(a[1] == b[1], "horizontal").when(a[0] == b[0], "vertical").otherwise("sloped")
+
+
+def points_of(flat: Column) -> Column:
+    """Array of (x, y) of an array x, y, x, y ...; a number left over gives a null."""
+    xs, ys = F.filter(flat, lambda v, i: i % 2 == 0), F.filter(flat, lambda v, i: i % 2 == 1)
+    return F.when(F.size(flat) % 2 == 0, F.zip_with(xs, ys, lambda x, y: F.struct(x.alias("x"), y.alias("y"))))
+
+
+def inflate(min_x: Column, min_y: Column, width: Column, height: Column, by: int) -> tuple[Column, Column, Column, Column]:
+    return min_x - by, min_y - by, width + 2 * by, height + 2 * by
+
+
+def mbr(points: DataFrame, *by: str, x: str = "lon", y: str = "lat") -> DataFrame:
+    return points.groupBy(*by).agg(F.min(x).alias("min_x"), F.min(y).alias("min_y"), F.max(x).alias("max_x"), F.max(y).alias("max_y"))

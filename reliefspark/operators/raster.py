@@ -23,7 +23,7 @@ def merge(parts: DataFrame, bounds: tuple[int, int, int, int] | None = None) ->
     if bounds:
         x0, y0, w, h = bounds
         parts = parts.where(F.col("x").between(x0, x0 + w - 1) & F.col("y").between(y0, y0 + h - 1))
-    merged = parts.groupBy("x", "y").agg(F.max_by(F.struct("h"), "src_ord").alias("top")).select("x", "y", F.col("top.h").alias("h"))
+    merged = parts.groupBy("x", "y").agg(F.max_by("h", "src_ord").alias("h"))
     return extract(merged, *bounds) if bounds else merged
 
 
@@ -135,3 +135,73 @@ def difference(a: DataFrame, b: DataFrame) -> DataFrame:
     """Cells that are not the same in both: (x, y, left_h, right_h)."""
     both = a.select("x", "y", F.col("h").alias("left_h"), F.lit(1).alias("l")).join(b.select("x", "y", F.col("h").alias("right_h"), F.lit(1).alias("r")), ["x", "y"], "full")
     return both.where("l is null or r is null or not (left_h <=> right_h)").select("x", "y", "left_h", "right_h")
+
+
+def zeros(spark: SparkSession, min_x: int, min_y: int, width: int, height: int) -> DataFrame:
+    """A raster of height 0."""
+    return canvas(spark, min_x, min_y, width, height).withColumn("h", F.lit(0))
+
+
+def missing(spark: SparkSession, min_x: int, min_y: int, width: int, height: int) -> DataFrame:
+    """A raster without heights."""
+    return canvas(spark, min_x, min_y, width, height).withColumn("h", F.lit(None).cast("int"))
+
+
+def of_sequence(values: DataFrame, min_x: int, min_y: int, width: int, height: int) -> DataFrame:
+    """A raster of (pos, h): positions from 0, row by row. A number of values other than width * height raises."""
+    n = values.count()
+    if n != width * height:
+        raise ValueError(f"{n} heights, not {width} x {height}")
+    return values.select((F.col("pos") % width + min_x).cast("int").alias("x"), (F.floor(F.col("pos") / width) + min_y).cast("int").alias("y"), "h")
+
+
+def pad_rim(cells: DataFrame, min_x: int, min_y: int, width: int, height: int, right: int = 1, top: int = 1) -> DataFrame:
+    """cells of a rectangle and a rim of missing heights along its right and top."""
+    rim = missing(cells.sparkSession, min_x, min_y, width + right, height + top)
+    return cells.unionByName(rim.where((F.col("x") >= min_x + width) | (F.col("y") >= min_y + height)))
+
+
+def with_heights(cells: DataFrame, new: DataFrame) -> DataFrame:
+    """cells with the heights of new (x, y, h) in their place; null in new is a missing height."""
+    own = new.select("x", "y", F.struct("h").alias("_new"))
+    return cells.join(own, ["x", "y"], "left").select("x", "y", F.when(F.col("_new").isNotNull(), F.col("_new.h")).otherwise(F.col("h")).alias("h"))
+
+
+def heights_at(cells: DataFrame, points: DataFrame) -> DataFrame:
+    """points (x, y, ...) with h; null outside the raster."""
+    return points.join(cells.select("x", "y", "h"), ["x", "y"], "left")
+
+
+def nearest_at(cells: DataFrame, points: DataFrame, projection: object, cells_per_degree: float) -> DataFrame:
+    """points (px, py) of a map with the height h of the cell nearest to each on the ground, half to even."""
+    lon, lat = projection.inverse(F.col("px").cast("double"), F.col("py").cast("double"))
+    cell = points.withColumn("x", F.rint(F.degrees(lon) * cells_per_degree).cast("int")).withColumn("y", F.rint(F.degrees(lat) * cells_per_degree).cast("int"))
+    return heights_at(cells, cell).drop("x", "y")
+
+
+def simplify(cells: DataFrame, least_changes: int = 1, passes: int = 50) -> DataFrame:
+    """simplify_step again and again, until a pass changes fewer than least_changes cells."""
+    from ..storage import materialize
+
+    now = cells.select("x", "y", F.col("h").cast("int").alias("h"))
+    for _ in range(passes):
+        after = materialize(simplify_step(now), "simplified")
+        changed = difference(now, after).count()
+        now = after
+        if changed < least_changes:
+            break
+    return now
+
+
+def decode_i16(bytes_: Column, little: bool = False) -> Column:
+    """Two bytes (binary) as a signed height; the lowest value is a missing one."""
+    pair = F.reverse(F.array(F.substring(bytes_, 1, 1), F.substring(bytes_, 2, 1))) if little else F.array(F.substring(bytes_, 1, 1), F.substring(bytes_, 2, 1))
+    value = F.conv(F.concat(F.hex(pair[0]), F.hex(pair[1])), 16, 10).cast("int")
+    signed = F.when(value >= 32768, value - 65536).otherwise(value)
+    return F.nullif(signed, F.lit(-32768))
+
+
+def union_mbr(rects: DataFrame) -> DataFrame:
+    """(min_x, min_y, width, height) around rectangles with the same columns."""
+    far = rects.agg(F.min("min_x").alias("min_x"), F.min("min_y").alias("min_y"), F.max(F.col("min_x") + F.col("width")).alias("x"), F.max(F.col("min_y") + F.col("height")).alias("y"))
+    return far.select("min_x", "min_y", (F.col("x") - F.col("min_x")).alias("width"), (F.col("y") - F.col("min_y")).alias("height"))

@@ -105,3 +105,32 @@ def image_tile_name(prefix: str, x: Column, y: Column, max_x: int, max_y: int) -
         return F.lpad(c.cast("string"), max(1, len(str(most))), "0")
 
     return F.concat(F.lit(prefix + "-"), padded(x, max_x), F.lit("-"), padded(y, max_y), F.lit(".png"))
+
+
+def raster_grid(rects: DataFrame, size: int) -> DataFrame:
+    """rects (min_x, min_y, width, height, ...) with (tx, ty) of each tile of `size` pixels, and the last of both."""
+    a = split_intervals(rects, F.col("min_x"), F.col("min_x") + F.col("width"), F.lit(size)).withColumnRenamed("index", "tx").drop("interval_min", "interval_max")
+    b = split_intervals(a, F.col("min_y"), F.col("min_y") + F.col("height"), F.lit(size)).withColumnRenamed("index", "ty").drop("interval_min", "interval_max")
+    return b.withColumn("max_tx", (F.ceil(F.col("width") / size) - 1).cast("int")).withColumn("max_ty", (F.ceil(F.col("height") / size) - 1).cast("int"))
+
+
+def valid_tile(level: Column, tile_x: Column, tile_y: Column) -> Column:
+    """(level, tile_x, tile_y) as a struct; a level below 0 raises."""
+    return F.when(level >= 0, F.struct(level.alias("level"), tile_x.alias("tile_x"), tile_y.alias("tile_y"))).otherwise(F.raise_error(F.concat(F.lit("level "), level.cast("string"))))
+
+
+def level_zero(tiles: DataFrame) -> DataFrame:
+    """(tile_x, tile_y) of tiles of level 0; one of a higher level raises."""
+    x = F.when(F.col("level") == 0, F.col("tile_x")).otherwise(F.raise_error(F.lit("not a tile of level 0")))
+    return tiles.select(x.alias("tile_x"), "tile_y")
+
+
+def tile_parts(cells: DataFrame, size: int) -> DataFrame:
+    """cells (x, y, h) of a large tile dealt to tiles of `size` cells: tile_x, tile_y, x and y within the tile, h."""
+    tx, ty = (F.floor(F.col(c) / size).cast("int") for c in "xy")
+    return cells.select(tx.alias("tile_x"), ty.alias("tile_y"), (F.col("x") - tx * size).cast("int").alias("x"), (F.col("y") - ty * size).cast("int").alias("y"), "h")
+
+
+def block_range(low: Column, length: Column, size: int, total: int) -> tuple[Column, Column]:
+    """First and last of the blocks of `size` along one axis of `total` that a window touches."""
+    return F.floor(low / size).cast("int"), F.floor(F.least(low + length, F.lit(total - 1)) / size).cast("int")

@@ -113,3 +113,39 @@ def distance_to_shore(cells: DataFrame) -> DataFrame:
     above = F.min(F.col("g") + F.col("y")).over(col.rowsBetween(0, Window.unboundedFollowing)) - F.col("y")
     rim = F.least(F.col("y") - F.col("y0") + 1, F.col("y1") + 1 - F.col("y"))
     return g.withColumn("dist", F.least(below, above, rim).cast("int")).where("h = 1").select("x", "y", "dist")
+
+
+#: Fixed value: colour of water, rgba.
+WATER_COLOR = 0x49C8FFFF
+
+
+def flag_color(h: Column, rgba: int = WATER_COLOR) -> Column:
+    """Colour of cells whose lowest bit is set, as heights with a water flag have it; other and missing cells are clear."""
+    return F.when(h % 2 == 1, F.lit(rgba)).otherwise(F.lit(0)).cast("long")
+
+
+def body_color(cover: DataFrame, width: int, rgba: int = WATER_COLOR) -> DataFrame:
+    """(x, y, rgba) of a land-cover raster (x, y, h): cells of water bodies that `shown` lets pass - by area, and by how much of the
+    rectangle around them they fill - have the colour, all others are clear."""
+    flags = cover.withColumn("h", monochrome(F.col("h")))
+    found = components(flags, width)
+    kept = component_stats(found).where(shown(F.col("surface_area"), F.col("width"), F.col("height"))).select("color")
+    cells = found.join(kept, "color", "left_semi").select("x", "y", F.lit(rgba).cast("long").alias("_rgba"))
+    return cover.select("x", "y").join(cells, ["x", "y"], "left").select("x", "y", F.coalesce("_rgba", F.lit(0).cast("long")).alias("rgba"))
+
+
+def dem_with_water(dem: DataFrame, cover: DataFrame, width: int) -> DataFrame:
+    """(x, y, v): heights of dem (x, y, h) with the water flag of the bodies of a land-cover raster that are `shown`, encoded as
+    the water format has it; null where the height is missing."""
+    from .raster import encode_water
+
+    wet = body_color(cover, width).where("rgba <> 0").select("x", "y", F.lit(1).alias("_wet"))
+    both = dem.join(wet, ["x", "y"], "left")
+    return both.select("x", "y", F.when(F.col("h").isNotNull(), encode_water(F.col("h"), F.coalesce("_wet", F.lit(0)))).alias("v"))
+
+
+def outline_pixels(cover: DataFrame, projection: object, cells_per_degree: float, reach: int = 3) -> DataFrame:
+    """(px, py) of the map pixels nearest to the water cells within `reach` of the shore. cover must be dense, 1 for water."""
+    near = distance_to_shore(cover).where(F.col("dist") <= reach)
+    x, y = projection.forward(F.radians(F.col("x") / cells_per_degree), F.radians(F.col("y") / cells_per_degree))
+    return near.select(F.rint(x).cast("int").alias("px"), F.rint(y).cast("int").alias("py")).where("px is not null and py is not null").distinct()

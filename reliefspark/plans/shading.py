@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 
 from ..functions import color, terrain
 from ..functions.projections import haversine
-from ..operators.raster import neighbourhood
+from ..functions.angles import rad_to_deg
+from ..operators.raster import canvas, neighbourhood
 
 Shader = Callable[..., Column]
 
@@ -104,3 +105,35 @@ def terrain_pixels(cells: DataFrame, lon0: float, lat0: float, cells_per_degree:
     m = m.withColumn("p", p).withColumn("q", q)
     slope, aspect = terrain.slope_aspect(F.col("p"), F.col("q"))
     return m.select("x", "y", "height", slope.alias("slope"), aspect.alias("aspect"))
+
+
+def projected_pixels(cells: DataFrame, projection: Any, rect: tuple[int, int, int, int], cells_per_degree: float) -> DataFrame:
+    """(x, y, height, slope, aspect) of the pixels of rect (min_x, min_y, width, height) of a map: each pixel is taken back through
+    the projection to the ground, its height is interpolated between four cells there, and slope and aspect come from the
+    pixels around it and the distances between their places on the ground.
+
+    Pixels next to one that has no place or no height have null derivatives. The raster must be dense (see raster.extract).
+    One equi-join by cell, and neighbourhoods in blocks on both sides of it."""
+    x0, y0, w, h = rect
+    lattice = canvas(cells.sparkSession, x0 - 1, y0 - 1, w + 2, h + 2)
+    lon, lat = projection.inverse(F.col("x").cast("double"), F.col("y").cast("double"))
+    lattice = lattice.withColumn("lon", lon).withColumn("lat", lat)
+    lattice = lattice.withColumn("gx", rad_to_deg(F.col("lon")) * cells_per_degree).withColumn("gy", rad_to_deg(F.col("lat")) * cells_per_degree)
+    lattice = lattice.withColumn("cx", F.floor("gx").cast("int")).withColumn("cy", F.floor("gy").cast("int"))
+    corners = neighbourhood(cells).select(F.col("x").alias("cx"), F.col("y").alias("cy"), "n4", "n5", "n7", "n8")
+    height = terrain.bilinear(F.col("n4"), F.col("n5"), F.col("n7"), F.col("n8"), F.col("gx") - F.col("cx"), F.col("gy") - F.col("cy"))
+    sampled = lattice.join(corners, ["cx", "cy"], "left").select("x", "y", F.struct(height.alias("h"), "lon", "lat").alias("at"))
+    n = neighbourhood(sampled, "at")
+    inside = F.col("x").between(x0, x0 + w - 1) & F.col("y").between(y0, y0 + h - 1)
+    wide = haversine(*[F.col(f"n{k}.{c}") for k in (0, 1) for c in ("lon", "lat")])
+    high = haversine(*[F.col(f"n{k}.{c}") for k in (0, 3) for c in ("lon", "lat")])
+    p, q = terrain.horn([F.col(f"n{k}.h") for k in range(9)], F.col("_wide"), F.col("_high"))
+    n = n.where(inside).withColumn("_wide", wide).withColumn("_high", high).withColumn("_p", p).withColumn("_q", q)
+    slope, aspect = terrain.slope_aspect(F.col("_p"), F.col("_q"))
+    return n.select("x", "y", F.col("at.h").alias("height"), slope.alias("slope"), aspect.alias("aspect"))
+
+
+def flipped(pixels: DataFrame, rect: tuple[int, int, int, int]) -> DataFrame:
+    """Pixels of a map, y growing north, as rows of a picture from its top left."""
+    x0, y0, _, h = rect
+    return pixels.withColumn("x", F.col("x") - x0).withColumn("y", F.lit(y0 + h - 1) - F.col("y"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,10 +11,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from . import fixtures as fx
-from .functions import angles, arith, color, coords, projections, terrain
+from .functions import angles, arith, color, coords, parse, projections, terrain
 from .operators import contours, geometry, raster, tiles, water
 from .plans import shading
-from .sources import grids
+from .sources import archives, grids
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -238,21 +239,17 @@ def _(t):
 
 @query("raster_tile_grid", fx.RECTS, "SELECT id, CAST(i AS INT) AS tx, CAST(j AS INT) AS ty, CAST((width + 9) // 10 - 1 AS INT) AS max_tx, CAST((height + 9) // 10 - 1 AS INT) AS max_ty FROM t CROSS JOIN LATERAL (SELECT unnest(range((width + 9) // 10)) AS i) CROSS JOIN LATERAL (SELECT unnest(range((height + 9) // 10)) AS j)")
 def _(t):
-    a = tiles.split_intervals(t, c("min_x"), c("min_x") + c("width"), F.lit(10)).withColumnRenamed("index", "tx").drop("interval_min", "interval_max")
-    b = tiles.split_intervals(a, c("min_y"), c("min_y") + c("height"), F.lit(10)).withColumnRenamed("index", "ty")
-    return b.select("id", "tx", "ty", (F.ceil(c("width") / 10) - 1).cast("int").alias("max_tx"), (F.ceil(c("height") / 10) - 1).cast("int").alias("max_ty"))
+    return tiles.raster_grid(t, 10).select("id", "tx", "ty", "max_tx", "max_ty")
 
 
 @query("raster_mbr", fx.POINTS, f"SELECT level, CAST(floor(min(lon * {PI} / 180 * 1000)) AS INT) AS min_x, CAST(floor(round(min(ln(tan({PI} / 4 + lat * {PI} / 180 / 2)) * 1000), 6)) AS INT) AS min_y, CAST(ceil(max(lon * {PI} / 180 * 1000)) AS INT) AS max_x, CAST(ceil(round(max(ln(tan({PI} / 4 + lat * {PI} / 180 / 2)) * 1000), 6)) AS INT) AS max_y FROM t WHERE abs(lat * {PI} / 180) <= 1.48442222974533 GROUP BY level")
 def _(t):
-    x, y = projections.Mercator(1000.0).forward(angles.deg_to_rad(c("lon")), angles.deg_to_rad(c("lat")))
-    p = t.select("level", x.alias("px"), y.alias("py")).where("px is not null and py is not null")
-    return p.groupBy("level").agg(F.floor(F.min("px")).cast("int").alias("min_x"), F.floor(F.round(F.min("py"), 6)).cast("int").alias("min_y"), F.ceil(F.max("px")).cast("int").alias("max_x"), F.ceil(F.round(F.max("py"), 6)).cast("int").alias("max_y"))
+    return projections.projected_mbr(t, projections.Mercator(1000.0), "level")
 
 
 @query("rect_inflate", fx.RECTS, "SELECT id, min_x - 3 AS min_x, min_y - 3 AS min_y, width + 6 AS width, height + 6 AS height FROM t")
 def _(t):
-    return t.select("id", *[(c(n) - 3).alias(n) for n in ("min_x", "min_y")], *[(c(n) + 6).alias(n) for n in ("width", "height")])
+    return t.select("id", *[v.alias(n) for v, n in zip(geometry.inflate(c("min_x"), c("min_y"), c("width"), c("height"), 3), ("min_x", "min_y", "width", "height"), strict=True)])
 
 
 @query("rect_intersect_join", fx.RECTS, "SELECT a.id AS a_id, b.id AS b_id FROM t a JOIN t b ON a.id < b.id AND a.min_x <= b.min_x + b.width AND a.min_x + a.width >= b.min_x AND a.min_y <= b.min_y + b.height AND a.min_y + a.height >= b.min_y")
@@ -272,7 +269,7 @@ def _(t):
 
 @query("bounds_mbr", fx.POINTS, "SELECT level, min(lon) AS min_x, min(lat) AS min_y, max(lon) AS max_x, max(lat) AS max_y FROM t GROUP BY level")
 def _(t):
-    return t.groupBy("level").agg(F.min("lon").alias("min_x"), F.min("lat").alias("min_y"), F.max("lon").alias("max_x"), F.max("lat").alias("max_y"))
+    return geometry.mbr(t, "level")
 
 
 @query("points_all_inside", fx.POINTS, "SELECT level, bool_and(lon >= -180 AND lon < 180 AND lat >= -80 AND lat < 79.99) AS all_inside FROM t GROUP BY level")
@@ -282,9 +279,7 @@ def _(t):
 
 @query("coords_to_points", fx.POINTS, "SELECT id, k, CASE WHEN k = 0 THEN lon ELSE lat END AS x, CASE WHEN k = 0 THEN lat ELSE lon END AS y FROM t CROSS JOIN (VALUES (0), (1)) AS v(k)")
 def _(t):
-    flat = F.array("lon", "lat", "lat", "lon")
-    xs, ys = F.filter(flat, lambda v, i: i % 2 == 0), F.filter(flat, lambda v, i: i % 2 == 1)
-    return t.select("id", F.posexplode(F.arrays_zip(xs.alias("x"), ys.alias("y")))).select("id", c("pos").alias("k"), c("col.x").alias("x"), c("col.y").alias("y"))
+    return t.select("id", F.posexplode(geometry.points_of(F.array("lon", "lat", "lat", "lon")))).select("id", c("pos").alias("k"), c("col.x").alias("x"), c("col.y").alias("y"))
 
 
 @query("tile_children", fx.TILES, "SELECT level - 1 AS level, tile_x * 2 + dx AS tile_x, tile_y * 2 + dy AS tile_y FROM t CROSS JOIN (VALUES (0), (1)) AS a(dx) CROSS JOIN (VALUES (0), (1)) AS b(dy)")
@@ -400,16 +395,18 @@ def _(t):
     return n.select("x", "y", F.round(terrain.bilinear(c("n4"), c("n5"), c("n7"), c("n8"), F.lit(0.25), F.lit(0.5)), 6).alias("h"))
 
 
-@query("point_lookup", DEM, "SELECT x, y, CASE WHEN (x + y) % 9 = 0 THEN -1 ELSE h END AS h FROM t WHERE x % 3 = 1")
+@query("point_lookup", DEM, "SELECT x, y, CASE WHEN (x + y) % 9 = 0 THEN -1 ELSE h END AS h FROM t")
 def _(t):
-    at = t.where("x % 3 = 1").select("x", "y", F.when((c("x") + c("y")) % 9 == 0, -1).alias("new"))
-    return t.join(at, ["x", "y"]).select("x", "y", F.coalesce("new", "h").alias("h"))
+    new = t.where((c("x") + c("y")) % 9 == 0).select("x", "y", F.lit(-1).alias("h"))
+    return raster.heights_at(raster.with_heights(t, new), t.select("x", "y")).select("x", "y", "h")
 
 
-@query("nearest_sample", DEM, "--withp AS (SELECT x AS px, y AS py, CAST(round_even(x * 0.7 + 1.5, 0) AS INT) AS x, CAST(round_even(y * 0.9 - 2.5, 0) AS INT) AS y FROM t) SELECT px, py, t.h FROM p LEFT JOIN t USING (x, y)")
+_DEG = f"(180.0 / {PI})"
+
+
+@query("nearest_sample", DEM, f"--withp AS (SELECT x AS px, y AS py, CAST(round_even(x / 50000.0 * {_DEG} * 1200, 0) AS INT) AS x, CAST(round_even((2.0 * atan(exp(y / 50000.0)) - {PI} / 2) * {_DEG} * 1200, 0) AS INT) AS y FROM t) SELECT px, py, t.h FROM p LEFT JOIN t USING (x, y)")
 def _(t):
-    p = t.select(c("x").alias("px"), c("y").alias("py"), F.rint(c("x") * 0.7 + 1.5).cast("int").alias("x"), F.rint(c("y") * 0.9 - 2.5).cast("int").alias("y"))
-    return p.join(t, ["x", "y"], "left").select("px", "py", "h")
+    return raster.nearest_at(t, t.select(c("x").alias("px"), c("y").alias("py")), projections.Mercator(50000.0), 1200.0)
 
 
 _DOWN = "w AS (SELECT tx, ty, h, least((tx + 1) / 0.4::DOUBLE, x + 1.0) - greatest(tx / 0.4::DOUBLE, x) AS wx, least((ty + 1) / 0.4::DOUBLE, y + 1.0) - greatest(ty / 0.4::DOUBLE, y) AS wy FROM (SELECT unnest(range(25)) AS tx) CROSS JOIN (SELECT unnest(range(25)) AS ty) JOIN {s} ON x < (tx + 1) / 0.4::DOUBLE AND x + 1 > tx / 0.4::DOUBLE AND y < (ty + 1) / 0.4::DOUBLE AND y + 1 > ty / 0.4::DOUBLE)"
@@ -440,7 +437,7 @@ def _(t):
 
 @query("raster_pad_rim", DEM, "SELECT x, y, h FROM t UNION ALL SELECT 64, i, NULL FROM (SELECT CAST(unnest(range(65)) AS INT) AS i) UNION ALL SELECT i, 64, NULL FROM (SELECT CAST(unnest(range(64)) AS INT) AS i)")
 def _(t):
-    return t.unionByName(raster.canvas(t.sparkSession, 0, 0, 65, 65).where("x = 64 or y = 64").withColumn("h", F.lit(None).cast("int")))
+    return raster.pad_rim(t, 0, 0, 64, 64)
 
 
 @query("height_u16_encode", DEM, "SELECT x, y, coalesce((h + 32768) & 65535, 0) AS v FROM t")
@@ -453,9 +450,9 @@ def _(t):
     return t.select("x", "y", raster.decode_u16(raster.encode_u16(c("h"))).alias("h"))
 
 
-@query("encode_water_into_dem", DEM, "SELECT x, y, CASE WHEN (x + y) % 3 = 0 THEN (h + 500) - 32768 ELSE h + 500 END AS v FROM t WHERE h IS NOT NULL")
+@query("encode_water_into_dem", DEM, "SELECT x, y, CASE WHEN h IS NULL THEN NULL WHEN (x + y) % 3 = 0 THEN (h + 500) - 32768 ELSE h + 500 END AS v FROM t")
 def _(t):
-    return t.where("h is not null").select("x", "y", raster.encode_water(c("h"), ((c("x") + c("y")) % 3 == 0).cast("int")).alias("v"))
+    return t.select("x", "y", F.when(c("h").isNotNull(), raster.encode_water(c("h"), ((c("x") + c("y")) % 3 == 0).cast("int"))).alias("v"))
 
 
 @query("raster_diff", DEM, "--withb AS (SELECT x + 1 AS x, y, CASE WHEN y % 4 = 0 THEN h ELSE 7 END AS h FROM t) SELECT coalesce(t.x, b.x) AS x, coalesce(t.y, b.y) AS y, t.h AS left_h, b.h AS right_h FROM t FULL JOIN b ON t.x = b.x AND t.y = b.y WHERE t.x IS NULL OR b.x IS NULL OR t.h IS DISTINCT FROM b.h")
@@ -465,7 +462,7 @@ def _(t):
 
 @query("raster_union_mbr", PARTS, "SELECT min(x) AS min_x, min(y) AS min_y, max(x) - min(x) + 1 AS width, max(y) - min(y) + 1 AS height FROM t")
 def _(t):
-    return t.agg(F.min("x").alias("min_x"), F.min("y").alias("min_y"), (F.max("x") - F.min("x") + 1).alias("width"), (F.max("y") - F.min("y") + 1).alias("height"))
+    return raster.union_mbr(t.groupBy("src_ord").agg(F.min("x").alias("min_x"), F.min("y").alias("min_y"), (F.max("x") - F.min("x") + 1).alias("width"), (F.max("y") - F.min("y") + 1).alias("height")))
 
 
 @query("halfwidth_expand", DEM, "SELECT x * 2 + k AS x, y, h FROM t CROSS JOIN (VALUES (0), (1)) AS v(k)")
@@ -513,16 +510,19 @@ _K = LCC.constants()
 _LCC_R = f"({_K['a'] * _K['f']!r} * pow(tan(({PI} / 2 - {_RAD[1]}) * 0.5) / pow((1 - {_K['e']!r} * sin({_RAD[1]})) / (1 + {_K['e']!r} * sin({_RAD[1]})), {_K['e'] / 2!r}), {_K['n']!r}))"
 
 
-@query("lcc_forward", fx.POINTS, f"SELECT id, round({_LCC_R} * sin({_K['n']!r} * {_RAD[0]}), 3) AS px, round({_K['rh']!r} - {_LCC_R} * cos({_K['n']!r} * {_RAD[0]}), 3) AS py FROM t WHERE lat > -60 AND lon > -180")
+_LCC_L = f"(CASE WHEN abs({_RAD[0]}) < {PI}::DOUBLE THEN {_RAD[0]} ELSE {_RAD[0]} - sign({_RAD[0]}) * 2 * {PI}::DOUBLE END)"
+
+
+@query("lcc_forward", fx.POINTS, f"SELECT id, round({_LCC_R} * sin({_K['n']!r} * {_LCC_L}), 1) AS px, round({_K['rh']!r} - {_LCC_R} * cos({_K['n']!r} * {_LCC_L}), 1) AS py FROM t")
 def _(t):
     x, y = LCC.forward(angles.deg_to_rad(c("lon")), angles.deg_to_rad(c("lat")))
-    return t.where("lat > -60 and lon > -180").select("id", F.round(x, 3).alias("px"), F.round(y, 3).alias("py"))
+    return t.select("id", F.round(x, 1).alias("px"), F.round(y, 1).alias("py"))
 
 
-@query("lcc_inverse", fx.POINTS, "SELECT id, round(lon, 6) AS lon2, round(lat, 6) AS lat2 FROM t WHERE lat > -60 AND lon > -180")
+@query("lcc_inverse", fx.POINTS, "SELECT id, round(CASE WHEN lon <= -180 THEN lon + 360 ELSE lon END, 6) AS lon2, round(lat, 6) AS lat2 FROM t")
 def _(t):
     x, y = LCC.forward(angles.deg_to_rad(c("lon")), angles.deg_to_rad(c("lat")))
-    p = t.where("lat > -60 and lon > -180").select("id", x.alias("px"), y.alias("py"))
+    p = t.select("id", x.alias("px"), y.alias("py"))
     lon, lat = LCC.inverse(c("px"), c("py"))
     return p.select("id", F.round(angles.rad_to_deg(lon), 6).alias("lon2"), F.round(angles.rad_to_deg(lat), 6).alias("lat2"))
 
@@ -542,16 +542,12 @@ _INV = "(2.0 * atan(exp(({v}) / 3000.0)) - {pi} / 2)"
 
 @query("lonlat_delta", fx.POINTS, f"SELECT id, round(least(1.0 / 3000.0, abs({_INV.format(v='lat + 1', pi=PI)} - {_INV.format(v='lat', pi=PI)})), 9) AS delta FROM t")
 def _(t):
-    m = projections.Mercator(3000.0)
-    a, b = m.inverse(c("lon"), c("lat")), m.inverse(c("lon") + 1, c("lat") + 1)
-    return t.select("id", F.round(F.least(F.abs(b[0] - a[0]), F.abs(b[1] - a[1])), 9).alias("delta"))
+    return t.select("id", F.round(projections.lon_lat_delta(projections.Mercator(3000.0), c("lon"), c("lat")), 9).alias("delta"))
 
 
 @query("min_lonlat_delta", fx.POINTS, f"SELECT level, round(min(least(1.0 / 3000.0, abs({_INV.format(v='lat + 1', pi=PI)} - {_INV.format(v='lat', pi=PI)}))), 9) AS delta FROM t GROUP BY level")
 def _(t):
-    m = projections.Mercator(3000.0)
-    a, b = m.inverse(c("lon"), c("lat")), m.inverse(c("lon") + 1, c("lat") + 1)
-    return t.groupBy("level").agg(F.round(F.min(F.least(F.abs(b[0] - a[0]), F.abs(b[1] - a[1]))), 9).alias("delta"))
+    return t.groupBy("level").agg(F.round(F.min(projections.lon_lat_delta(projections.Mercator(3000.0), c("lon"), c("lat"))), 9).alias("delta"))
 
 
 @query("dem_level_needed", fx.POINTS, "SELECT id, least(6, greatest(0, CAST(trunc(log2((lat + 80.001) / 200 * 3600)) AS INT))) AS dem_level FROM t")
@@ -679,7 +675,7 @@ def _(t):
 @query("custom_shader", DEM, _PIX + " SELECT x, y, CASE WHEN height > 1000 THEN 4278190335 ELSE 65535 END AS rgba FROM s")
 def _(t):
     shading.register_shader("high", lambda height, slope, aspect: F.when(height > 1000, color.literal(255, 0, 0)).otherwise(color.literal(0, 0, 255)).cast("long"))
-    return shading.shaded(_pixels(t), shading.Leaf("high")).withColumn("rgba", F.when(c("rgba") == color.literal(255, 0, 0), F.lit(4278190335)).otherwise(F.lit(65535)))
+    return shading.shaded(_pixels(t), shading.Leaf("high"))
 
 
 # --- water -----------------------------------------------------------------------------------------------------------
@@ -723,12 +719,12 @@ def _(t):
 
 @query("shade_water_from_dem", DEM, "SELECT x, y, CASE WHEN h % 2 = 1 THEN 1237909503 ELSE 0 END AS rgba FROM t")
 def _(t):
-    return t.select("x", "y", F.when(c("h") % 2 == 1, F.lit(0x49C8FFFF)).otherwise(F.lit(0)).cast("long").alias("rgba"))
+    return t.select("x", "y", water.flag_color(c("h")).alias("rgba"))
 
 
 @query("split_3x3_tiles", DEM, "SELECT CAST(floor(x / 22.0) AS INT) AS tile_x, CAST(floor(y / 22.0) AS INT) AS tile_y, count(*) AS cells, CAST(sum(h) AS BIGINT) AS total FROM t GROUP BY 1, 2")
 def _(t):
-    return t.groupBy(coords.tile_of_cell(c("x"), 22).alias("tile_x"), coords.tile_of_cell(c("y"), 22).alias("tile_y")).agg(F.count("*").alias("cells"), F.sum("h").alias("total"))
+    return tiles.tile_parts(t, 22).groupBy("tile_x", "tile_y").agg(F.count("*").alias("cells"), F.sum("h").alias("total"))
 
 
 # --- geometry --------------------------------------------------------------------------------------------------------
@@ -745,8 +741,16 @@ def _(t):
 
 @query("segment_midpoint_length", fx.SEGMENTS, "SELECT id, (x1 + x2) / 2 AS mx, (y1 + y2) / 2 AS my, round(sqrt((x2 - x1) * (x2 - x1) + (y2 - y1) * (y2 - y1)), 9) AS length FROM t")
 def _(t):
-    dx, dy = c("x2") - c("x1"), c("y2") - c("y1")
-    return t.select("id", ((c("x1") + c("x2")) / 2).alias("mx"), ((c("y1") + c("y2")) / 2).alias("my"), F.round(F.sqrt(dx * dx + dy * dy), 9).alias("length"))
+    a, b = points()[:2]
+    mx, my = geometry.midpoint(a, b)
+    return t.select("id", mx.alias("mx"), my.alias("my"), F.round(geometry.length(a, b), 9).alias("length"))
+
+
+@query("segment_kind_extend", fx.SEGMENTS, "--withl AS (SELECT *, sqrt((x2 - x1) * (x2 - x1) + (y2 - y1) * (y2 - y1)) AS n FROM t) SELECT id, CASE WHEN x1 = x2 AND y1 = y2 THEN 'point' WHEN y1 = y2 THEN 'horizontal' WHEN x1 = x2 THEN 'vertical' ELSE 'sloped' END AS kind, round(x1 - CASE WHEN n > 0 THEN (x2 - x1) / n ELSE 0 END * 2, 9) AS ax, round(y2 + CASE WHEN n > 0 THEN (y2 - y1) / n ELSE 0 END * 3, 9) AS by FROM l")
+def _(t):
+    p, q = points()[:2]
+    a, b = geometry.extended(p, q, 2.0, 3.0)
+    return t.select("id", geometry.segment_kind(p, q).alias("kind"), F.round(a[0], 9).alias("ax"), F.round(b[1], 9).alias("by"))
 
 
 def _a2(a: int, b: int, d: int) -> str:
@@ -872,14 +876,32 @@ def _(t):
 # --- validation ------------------------------------------------------------------------------------------------------
 
 
-@query("bounds_validate", fx.BOUNDS, "SELECT id, CASE WHEN min_lon < -149 THEN 'longitude' WHEN min_lat < -59 THEN 'latitude' WHEN max_lon <= min_lon THEN 'empty' ELSE 'ok' END AS verdict FROM t")
+_BTEXT = "SELECT o_orderkey AS id, CAST(CAST(o_custkey % 420 AS INT) - 200 AS VARCHAR(9)) || ',' || CAST(CAST(o_orderkey % 210 AS INT) - 100 AS VARCHAR(9)) || CASE WHEN o_orderkey % 11 = 0 THEN '' ELSE ',' || CAST(CAST(o_custkey % 420 AS INT) - 190 AS VARCHAR(9)) || '.5,' || CASE WHEN o_orderkey % 13 = 0 THEN 'x' ELSE CAST(CAST(o_custkey % 190 AS INT) - 95 AS VARCHAR(9)) END END AS txt FROM orders"
+
+
+@query("bounds_validate", _BTEXT, f"--withs AS (SELECT id, txt, string_split(txt, ',') AS p FROM t), v AS (SELECT id, p, TRY_CAST(p[1] AS DOUBLE) AS a, TRY_CAST(p[2] AS DOUBLE) AS b, TRY_CAST(p[3] AS DOUBLE) AS d, TRY_CAST(p[4] AS DOUBLE) AS e FROM s) SELECT id, CASE WHEN len(p) <> 4 THEN '{parse.NOT_FOUR}' WHEN a IS NULL OR b IS NULL OR d IS NULL OR e IS NULL THEN '{parse.NOT_NUMBERS}' WHEN a NOT BETWEEN -179 AND 180 OR d NOT BETWEEN -179 AND 180 THEN '{parse.LON_RANGE}' WHEN b NOT BETWEEN -90 AND 90 OR e NOT BETWEEN -90 AND 90 THEN '{parse.LAT_RANGE}' WHEN a > d THEN '{parse.LON_ORDER}' WHEN b > e THEN '{parse.LAT_ORDER}' ELSE 'ok' END AS verdict FROM v")
 def _(t):
-    return t.select("id", F.when(c("min_lon") < -149, "longitude").when(c("min_lat") < -59, "latitude").when(c("max_lon") <= c("min_lon"), "empty").otherwise("ok").alias("verdict"))
+    return t.select("id", F.coalesce(parse.bounds(c("txt"))[1], F.lit("ok")).alias("verdict"))
+
+
+@query("tile_id_parse", "SELECT o_orderkey AS id, 'l' || CAST(CAST(o_orderkey % 7 AS INT) AS VARCHAR(9)) || CASE WHEN o_custkey % 2 = 0 THEN 'e' ELSE 'w' END || CAST(CAST(o_custkey % 90 AS INT) AS VARCHAR(9)) || CASE WHEN o_orderkey % 5 = 0 THEN 'x' WHEN o_orderkey % 3 = 0 THEN 's' ELSE 'n' END || CAST(CAST(o_orderkey % 60 AS INT) AS VARCHAR(9)) AS txt FROM orders", "SELECT id, CASE WHEN id % 5 <> 0 THEN CAST(regexp_extract(txt, '^l([0-9]+)', 1) AS INT) END AS level, CASE WHEN id % 5 <> 0 THEN CAST(regexp_extract(txt, '[ew]([0-9]+)', 1) AS INT) * CASE WHEN txt LIKE '%w%' THEN -1 ELSE 1 END END AS tile_x, CASE WHEN id % 5 <> 0 THEN CAST(regexp_extract(txt, '[ns]([0-9]+)', 1) AS INT) * CASE WHEN txt LIKE '%s%' THEN -1 ELSE 1 END END AS tile_y FROM t")
+def _(t):
+    return t.select("id", *[v.alias(n) for v, n in zip(parse.tile_id(c("txt")), ("level", "tile_x", "tile_y"), strict=True)])
+
+
+@query("coverage_parse", _BTEXT, "--withs AS (SELECT id, string_split(txt, ',') AS p FROM t), v AS (SELECT id, p, [TRY_CAST(x AS DOUBLE) FOR x IN p] AS f FROM s) SELECT id, CAST(k AS INT) AS k, f[2 * k + 1] AS lon, f[2 * k + 2] AS lat FROM v CROSS JOIN LATERAL (SELECT unnest(range(len(p) // 2)) AS k) WHERE len(p) % 2 = 0 AND len([1 FOR x IN f IF x IS NULL]) = 0")
+def _(t):
+    return t.select("id", F.posexplode(parse.coverage(c("txt")))).select("id", c("pos").alias("k"), c("col.lon").alias("lon"), c("col.lat").alias("lat"))
+
+
+@query("number_prefix", "SELECT p_partkey AS id, CAST(p_size AS VARCHAR(9)) || '.25' || p_brand AS txt FROM part", "SELECT id, CAST(regexp_extract(txt, '^[0-9]+\\.[0-9]+', 0) AS DOUBLE) AS f, CAST(regexp_extract(txt, '^[0-9]+', 0) AS INT) AS i FROM t")
+def _(t):
+    return t.select("id", parse.float_prefix(c("txt")).alias("f"), parse.int_prefix(c("txt")).alias("i"))
 
 
 @query("validate_accumulate", fx.BOUNDS, "SELECT id, concat_ws(',', CASE WHEN min_lon < -100 THEN 'west' END, CASE WHEN min_lat < -40 THEN 'south' END, CASE WHEN max_lon <= min_lon THEN 'empty' END) AS errors FROM t")
 def _(t):
-    found = F.array_compact(F.array(F.when(c("min_lon") < -100, "west"), F.when(c("min_lat") < -40, "south"), F.when(c("max_lon") <= c("min_lon"), "empty")))
+    found = parse.collect_errors((c("min_lon") < -100, "west"), (c("min_lat") < -40, "south"), (c("max_lon") <= c("min_lon"), "empty"))
     return t.select("id", F.array_join(found, ",").alias("errors"))
 
 
@@ -926,8 +948,7 @@ def _(t):
 
 @query("parse_float_list", "SELECT o_orderkey AS id, CAST(o_custkey AS VARCHAR(20)) || ',' || CAST(o_orderkey % 7 AS VARCHAR(20)) || '.5,' || CASE WHEN o_orderkey % 3 = 0 THEN 'x' ELSE '-2' END AS txt FROM orders", "SELECT id, CASE WHEN id % 3 <> 0 THEN CAST(split_part(txt, ',', 1) AS DOUBLE) + CAST(split_part(txt, ',', 2) AS DOUBLE) - 2 END AS total FROM t")
 def _(t):
-    parts = F.transform(F.split("txt", ","), lambda v: v.try_cast("double"))
-    return t.select("id", F.when(~F.exists(parts, lambda v: v.isNull()), F.aggregate(parts, F.lit(0.0), lambda a, v: a + v)).alias("total"))
+    return t.select("id", F.aggregate(parse.floats(c("txt")), F.lit(0.0), lambda a, v: a + v).alias("total"))
 
 
 @query("proj_params", "SELECT p_partkey AS id, '+proj=lcc +lat_1=' || CAST(p_size AS VARCHAR(9)) || ' +lon_0=' || CAST(p_partkey % 90 AS VARCHAR(9)) AS txt FROM part", "SELECT id, 'lcc' AS proj, CAST(regexp_extract(txt, 'lat_1=([0-9]+)', 1) AS DOUBLE) AS lat_1, CAST(regexp_extract(txt, 'lon_0=([0-9]+)', 1) AS DOUBLE) AS lon_0 FROM t")
@@ -943,27 +964,25 @@ def _(t):
     return t.groupBy("brand").agg(F.array_join(F.transform(marks, lambda v: v["mark"]), ";").alias("scale"))
 
 
-@query("svg_path_string", fx.VERTICES, "SELECT id, string_agg(CASE WHEN ord = 1 THEN 'M' ELSE 'L' END || CAST(x AS BIGINT) || ' ' || CAST(y AS BIGINT), '' ORDER BY ord) || 'Z' AS path FROM t GROUP BY id")
+@query("svg_path_string", fx.VERTICES, "--withn AS (SELECT id, ord, x - 500.25 AS x, y / 4 AS y FROM t), p AS (SELECT id, ord, CAST(round(abs(x) * 100, 0) AS BIGINT) AS a, CAST(round(abs(y) * 100, 0) AS BIGINT) AS b, x < 0 AS neg FROM n), f AS (SELECT id, ord, CASE WHEN neg AND a > 0 THEN '-' ELSE '' END || (a // 100) || CASE WHEN a % 100 = 0 THEN '' ELSE '.' || regexp_replace(lpad(CAST(a % 100 AS VARCHAR), 2, '0'), '0$', '') END AS sx, ' ' || (b // 100) || CASE WHEN b % 100 = 0 THEN '' ELSE '.' || regexp_replace(lpad(CAST(b % 100 AS VARCHAR), 2, '0'), '0$', '') END AS sy FROM p) SELECT id, string_agg(CASE WHEN ord = 1 THEN 'M' ELSE 'L' END || sx || sy, '' ORDER BY ord) || 'Z' AS path FROM f GROUP BY id")
 def _(t):
-    step = F.concat(F.when(c("ord") == 1, "M").otherwise("L"), c("x").cast("long").cast("string"), F.lit(" "), c("y").cast("long").cast("string"))
-    steps = F.array_sort(F.collect_list(F.struct("ord", step.alias("s"))))
-    return t.groupBy("id").agg(F.concat(F.array_join(F.transform(steps, lambda v: v["s"]), ""), F.lit("Z")).alias("path"))
+    step = F.struct("ord", F.when(c("ord") == 1, "M").otherwise("L").alias("letter"), F.array(c("x") - 500.25, c("y") / 4).alias("numbers"))
+    steps = F.array_sort(F.collect_list(step))
+    letters = F.concat(F.transform("s", lambda v: v["letter"]), F.array(F.lit("Z")))
+    numbers = F.concat(F.transform("s", lambda v: v["numbers"]), F.array(F.array().cast("array<double>")))
+    return t.groupBy("id").agg(steps.alias("s")).select("id", parse.svg_path_data(letters, numbers).alias("path"))
 
 
 @query("tiff_tile_prune", "SELECT o_orderkey AS id, CAST(o_custkey * 37 % 36000 AS INT) AS x0, CAST(o_orderkey * 41 % 36000 AS INT) AS y0 FROM orders", "SELECT id, CAST(tx AS INT) AS tx, CAST(ty AS INT) AS ty FROM t CROSS JOIN LATERAL (SELECT unnest(generate_series(x0 // 1024, least(x0 + 1500, 35999) // 1024)) AS tx) CROSS JOIN LATERAL (SELECT unnest(generate_series(y0 // 1024, least(y0 + 1500, 35999) // 1024)) AS ty)")
 def _(t):
-    cut = lambda v: F.floor(v / 1024).cast("int")
-    far = lambda v: F.least(c(v) + 1500, F.lit(35999))
-    return tiles.explode_grid(t, cut(c("x0")), cut(far("x0")), cut(c("y0")), cut(far("y0"))).select("id", c("tile_x").alias("tx"), c("tile_y").alias("ty"))
+    (x0, x1), (y0, y1) = (tiles.block_range(c(v), F.lit(1500), 1024, 36000) for v in ("x0", "y0"))
+    return tiles.explode_grid(t, x0, x1, y0, y1).select("id", c("tile_x").alias("tx"), c("tile_y").alias("ty"))
 
 
 @query("geo_area_mbr", fx.POINTS, f"SELECT id, round((lon - 2) / 60.0, 8) AS min_lon, round(2.0 * atan(exp((lat - 1) / 60.0)) - {PI} / 2, 8) AS min_lat, round((lon + 2) / 60.0, 8) AS max_lon, round(2.0 * atan(exp((lat + 1) / 60.0)) - {PI} / 2, 8) AS max_lat FROM t")
 def _(t):
-    around = [F.struct((c("lon") + dx).alias("px"), (c("lat") + dy).alias("py")) for dx in (-2.0, 0.0, 2.0) for dy in (-1.0, 0.0, 1.0) if dx or dy]
-    x, y = projections.Mercator(60.0).inverse(c("px"), c("py"))
-    border = t.select("id", F.inline(F.array(*around))).select("id", x.alias("lon"), y.alias("lat"))
-    found = border.groupBy("id").agg(F.min("lon").alias("a"), F.min("lat").alias("b"), F.max("lon").alias("d"), F.max("lat").alias("e"), F.count("lat").alias("n")).where("n = 8")
-    return found.select("id", *[F.round(k, 8).alias(n) for k, n in zip("abde", ("min_lon", "min_lat", "max_lon", "max_lat"), strict=True)])
+    rects = t.select("id", (c("lon") - 2).alias("min_x"), (c("lat") - 1).alias("min_y"), (c("lon") + 2).alias("max_x"), (c("lat") + 1).alias("max_y"))
+    return projections.geo_mbr(rects, projections.Mercator(60.0), "id").select("id", *[F.round(n, 8).alias(n) for n in ("min_lon", "min_lat", "max_lon", "max_lat")])
 
 
 @query("anneal_schedule", "SELECT event_id, event_id % 100 AS step, value AS delta FROM events", "SELECT event_id, round(100 * pow(0.85, step), 9) AS temperature, round(CASE WHEN delta <= 0 THEN 1.0 ELSE exp(-delta / (100 * pow(0.85, step))) END, 9) AS acceptance FROM t")
@@ -972,18 +991,95 @@ def _(t):
     return t.select("event_id", F.round(temperature, 9).alias("temperature"), F.round(F.when(c("delta") <= 0, 1.0).otherwise(F.exp(-c("delta") / temperature)), 9).alias("acceptance"))
 
 
-@query("dem_with_water", DEM, "SELECT x, y, CASE WHEN h IS NULL THEN NULL WHEN h < 200 THEN h + 500 - 32768 ELSE h + 500 END AS v FROM t")
+@query("dem_with_water", f"SELECT d.x, d.y, d.h, k.h AS cover FROM ({DEM}) d LEFT JOIN ({COVER}) k ON d.x = k.x AND d.y = k.y")
+def _(t):
+    return water.dem_with_water(t.select("x", "y", "h"), t.select("x", "y", c("cover").alias("h")).where("h is not null"), 64)
+
+
+@query("shade_water", COVER)
+def _(t):
+    return water.body_color(t, 64)
+
+
+_SHOWN = ", big AS (SELECT color FROM z GROUP BY color HAVING count(*) >= 1250 AND ((max(x) - min(x) + 1) * (max(y) - min(y) + 1)) // count(*) < 10), wet AS (SELECT x, y FROM z JOIN big USING (color))"
+ORACLE_SQL["shade_water"] = _FLOOD + _SHOWN + " SELECT t.x, t.y, CASE WHEN wet.x IS NOT NULL THEN 1237909503 ELSE 0 END AS rgba FROM t LEFT JOIN wet USING (x, y)"
+ORACLE_SQL["dem_with_water"] = _FLOOD + _SHOWN + f", dem AS ({DEM}) SELECT dem.x, dem.y, CASE WHEN dem.h IS NOT NULL THEN dem.h + 500 - CASE WHEN wet.x IS NOT NULL THEN 32768 ELSE 0 END END AS v FROM dem LEFT JOIN wet USING (x, y)"
+
+
+_FWD = f"CAST(round_even(x / 1200.0 * ({PI} / 180) * 40000, 0) AS INT) AS px, CAST(round_even(ln(tan({PI} / 4 + y / 1200.0 * ({PI} / 180) / 2)) * 40000, 0) AS INT) AS py"
+
+
+@query("shade_water_outline", COVER, "--withd AS (SELECT CAST(i % 66 - 1 AS INT) AS x, CAST(i // 66 - 1 AS INT) AS y FROM (SELECT unnest(range(66 * 66)) AS i)), l AS (SELECT d.x, d.y FROM d LEFT JOIN t USING (x, y) WHERE t.h IS DISTINCT FROM 80), k AS (SELECT t.x, t.y, min(abs(t.x - l.x) + abs(t.y - l.y)) AS dist FROM t, l WHERE t.h = 80 GROUP BY t.x, t.y) SELECT DISTINCT " + _FWD + ", 255 AS rgba FROM k WHERE dist <= 3")
+def _(t):
+    flags = raster.extract(t, 0, 0, 64, 64).withColumn("h", F.coalesce(water.monochrome(c("h")), F.lit(0)))
+    return water.outline_pixels(flags, projections.Mercator(40000.0), 1200.0).withColumn("rgba", F.lit(255))
+
+
+# --- pictures through a projection ----------------------------------------------------------------------------------
+
+#: 1.37 cells of 1/1200 degree for each map unit.
+_UNITS = 1200 * 180 / math.pi / 1.37
+_AT = {k: (f"((x + {k % 3 - 1}) / {_UNITS!r}::DOUBLE)", f"(2.0 * atan(exp((y + {k // 3 - 1}) / {_UNITS!r}::DOUBLE)) - {PI}::DOUBLE / 2)") for k in (0, 1, 3, 4)}
+_PROJECTED = (
+    "--withd AS (SELECT CAST(i % 64 AS INT) AS x, CAST(i // 64 AS INT) AS y FROM (SELECT unnest(range(4096)) AS i)), f AS (SELECT d.x, d.y, t.h FROM d LEFT JOIN t USING (x, y)), "
+    f"g AS (SELECT x, y, {_AT[4][0]} * 180.0::DOUBLE / {PI}::DOUBLE * 1200 AS gx, {_AT[4][1]} * 180.0::DOUBLE / {PI}::DOUBLE * 1200 AS gy FROM (SELECT CAST(i % 42 + 1 AS INT) AS x, CAST(i // 42 + 1 AS INT) AS y FROM (SELECT unnest(range(1764)) AS i))), "
+    "b AS (SELECT g.x, g.y, (((CAST(q.h - e.h AS DOUBLE) * (gx - floor(gx)) + e.h) - (CAST(r.h - a.h AS DOUBLE) * (gx - floor(gx)) + a.h)) * (gy - floor(gy)) + (CAST(r.h - a.h AS DOUBLE) * (gx - floor(gx)) + a.h)) AS h FROM g LEFT JOIN f a ON a.x = floor(gx) AND a.y = floor(gy) LEFT JOIN f r ON r.x = floor(gx) + 1 AND r.y = floor(gy) LEFT JOIN f e ON e.x = floor(gx) AND e.y = floor(gy) + 1 LEFT JOIN f q ON q.x = floor(gx) + 1 AND q.y = floor(gy) + 1), "
+    + _N9.format(s="b")
+    + f", m AS (SELECT *, {hav_sql(*_AT[0], *_AT[1])} AS w, {hav_sql(*_AT[0], *_AT[3])} AS hgt FROM n WHERE x BETWEEN 2 AND 41 AND y BETWEEN 2 AND 41), "
+    + re.sub(r"\bh([0-8])\b", r"n\1", f"s AS (SELECT x, y, h AS height, {_SLOPE} AS slope, {_ASPECT} AS aspect FROM m)")
+)
+
+
+def _projected(t: DataFrame) -> DataFrame:
+    return shading.projected_pixels(_dense(t), projections.Mercator(_UNITS), (2, 2, 40, 40), 1200.0)
+
+
+@query("projected_slope_aspect", DEM, _PROJECTED + " SELECT x, y, round(height, 5) AS height, round(slope, 6) AS slope, round(aspect, 6) AS aspect FROM s")
 def _(t):
-    wet = F.when(c("h") < 200, 1).otherwise(0)
-    return t.select("x", "y", F.when(c("h").isNotNull(), raster.encode_water(c("h"), wet)).alias("v"))
+    return _projected(t).select("x", "y", F.round("height", 5).alias("height"), F.round("slope", 6).alias("slope"), F.round("aspect", 6).alias("aspect"))
 
 
-@query("shade_water", COVER, "--withw AS (SELECT x, y, CASE WHEN h = 80 THEN 1237909503 ELSE 0 END AS rgba FROM t) SELECT * FROM w")
+@query("shade_projected", DEM, _PROJECTED + f", p AS (SELECT x, y, {elevation_sql('height')} AS e, {_NZ.format(e=igor_sql('slope', 'aspect'))} AS i FROM s) SELECT x - 2 AS x, 41 - y AS y, {over_sql('i', 'e')} AS rgba FROM p")
 def _(t):
-    return t.select("x", "y", F.when(water.monochrome(c("h")) == 1, F.lit(0x49C8FFFF)).otherwise(F.lit(0)).cast("long").alias("rgba"))
+    return shading.flipped(shading.shaded(_projected(t), shading.DEFAULT), (2, 2, 40, 40))
+
+
+# --- files by the batch ---------------------------------------------------------------------------------------------
+
+
+def _named_tiles(t: DataFrame) -> DataFrame:
+    return grids.to_tiles(t, 32, "hgt").select(F.concat(coords.tile_name(c("tile_x"), c("tile_y")), F.lit(".hgt")).alias("name"), "content")
+
+
+@query("zip_roundtrip", DEM, "SELECT x, y, h FROM t")
+def _(t):
+    packed_ = archives.zip_tiles(_named_tiles(t).withColumn("name", F.regexp_replace("name", "[.]hgt$", "")))
+    return archives.read_batch(archives.unzip(packed_, "[.]hgt$").select("name", "content"), 32, "hgt").join(t.select("x", "y"), ["x", "y"], "left_semi")
+
+
+@query("batch_errors", DEM, "SELECT DISTINCT CASE WHEN x // 32 = 1 THEN 'N0' || (y // 32) || 'E00' || (x // 32) || '.hgt' END AS name FROM t WHERE x // 32 = 1")
+def _(t):
+    damaged = _named_tiles(t).withColumn("content", F.when(c("name").contains("E001"), F.substring("content", 1, 100)).otherwise(c("content")))
+    return archives.decode_all(damaged, 32, "hgt").where("error is not null").select("name")
+
+
+@query("tiff_roundtrip", DEM, "SELECT x * 2 + k AS x, y, coalesce(h, -9999) AS h FROM t CROSS JOIN (VALUES (0), (1)) AS v(k) WHERE y >= 16")
+def _(t):
+    import numpy as np
+    import pandas as pd
+
+    def pack(cells: pd.DataFrame) -> pd.DataFrame:
+        image = np.full((64, 64), -9999, np.int16)
+        image[63 - cells["y"], cells["x"]] = cells["h"].fillna(-9999).astype(np.int16)
+        return pd.DataFrame({"path": ["a.tif"], "content": [archives.encode_tiff(image, 16)]})
+
+    files = t.groupBy(F.lit("a.tif").alias("path")).applyInPandas(pack, "path string, content binary")
+    found = archives.tiff_cells(files, 2, (0, 0, 64, 48)).select("x", (c("y") + 16).alias("y"), "h")
+    return found.join(t.select(F.explode(F.array(c("x") * 2, c("x") * 2 + 1)).alias("x"), "y"), ["x", "y"], "left_semi")
 
 
-@query("shade_water_outline", COVER, "--withd AS (SELECT CAST(i % 66 - 1 AS INT) AS x, CAST(i // 66 - 1 AS INT) AS y FROM (SELECT unnest(range(66 * 66)) AS i)), l AS (SELECT d.x, d.y FROM d LEFT JOIN t USING (x, y) WHERE t.h IS DISTINCT FROM 80), k AS (SELECT t.x, t.y, min(abs(t.x - l.x) + abs(t.y - l.y)) AS dist FROM t, l WHERE t.h = 80 GROUP BY t.x, t.y) SELECT DISTINCT CAST(round_even(x * 0.5, 0) AS INT) AS px, CAST(round_even(y * 0.5, 0) AS INT) AS py, 255 AS rgba FROM k WHERE dist <= 3")
+@query("geojson_tiles", "SELECT n_nationkey AS id, CAST(n_nationkey * 37 % 80 AS INT) AS y, CAST(n_nationkey * 53 % 170 AS INT) AS x FROM nation", "SELECT 'N' || lpad(CAST(y AS VARCHAR), 2, '0') || 'W' || lpad(CAST(x AS VARCHAR), 3, '0') AS name, -x AS tile_x, y AS tile_y FROM t")
 def _(t):
-    near = water.distance_to_shore(raster.extract(t, 0, 0, 64, 64).withColumn("h", F.coalesce(water.monochrome(c("h")), F.lit(0)))).where("dist <= 3")
-    return near.select(F.rint(c("x") * 0.5).cast("int").alias("px"), F.rint(c("y") * 0.5).cast("int").alias("py")).distinct().withColumn("rgba", F.lit(255))
+    feature = F.format_string('{"type": "Feature", "properties": {"ll_tile": "N%02dW%03d"}, "geometry": null}', c("y"), c("x"))
+    text = t.agg(F.concat(F.lit('{"type": "FeatureCollection", "features": ['), F.array_join(F.collect_list(feature), ","), F.lit("]}")).alias("value"))
+    return archives.listed_tiles(text)
