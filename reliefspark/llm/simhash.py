@@ -5,6 +5,8 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
+from operator import or_
 
 import numpy as np
 import pyarrow as pa
@@ -142,8 +144,9 @@ PAIRS_MAX, STAR_TURNS, BLOCK_ROWS = 32, 2, 1000
 SKETCH_BITS, CELL_BITS = 1024, 128
 
 
-#: What a row of the cells carries besides its cell: id, place of the cell's shingle in the order, parity sketch, shingles.
-WITH = ("id", "i", "o", "p", "s")
+#: What a row of the cells carries besides its cell: id, place of the cell's shingle in the order, parity sketch, shingles; and
+#: the three shingles before the cell's in the order, as far as there are any.
+WITH, BEFORE = ("id", "i", "o", "p", "s"), ("b1", "b2", "b3")
 
 
 def shingle_hashes(h: np.ndarray, words: int) -> np.ndarray:
@@ -231,7 +234,7 @@ def _signatures(words: int, similarity: float, frequent: Broadcast):
 
 
 def _cell_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(cell, id, i, s): each shingle of a document's prefix is a cell; i: its place; s: the number of distinct shingles."""
+    """(cell, id, i, s, BEFORE): each shingle of a document's prefix is a cell; i: its place; s: the number of distinct shingles."""
     for b in batches:
         for lo in range(0, b.num_rows, 200):
             part = b.slice(lo, 200)
@@ -239,7 +242,9 @@ def _cell_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             n = np.fromiter(map(len, rows), np.int64, len(rows))
             place = (np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)).astype(np.int32)
             each = [np.repeat(part.column(k).to_numpy(), n) for k in (0, 2)]
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(rows)), pa.array(each[0]), pa.array(place), pa.array(each[1])], ["cell", "id", "i", "s"])
+            cell = np.concatenate(rows)
+            before = [pa.array(np.roll(cell, k), mask=place < k) for k in (1, 2, 3)]
+            yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(each[0]), pa.array(place), pa.array(each[1]), *before], ["cell", "id", "i", "s", *BEFORE])
 
 
 def _near(similarity: float) -> Column:
@@ -265,12 +270,15 @@ def _apart(rows: DataFrame, more_than: int = 1) -> DataFrame:
 
 
 def _every_pair(rows: DataFrame, similarity: float) -> DataFrame:
-    """All pairs (a, b) of a cell that are of different components and may be similar. A cell of more than BLOCK_ROWS rows is
-    dealt into blocks by id, and each two blocks are tried by themselves."""
+    """All pairs (a, b) of a cell that are of different components and may be similar. Where one of the shingles BEFORE the cell's
+    is among the other document's too, the pair is left to the cell of that one: both places are earlier there, so what _near
+    lets pass here passes there, and the first cell that a pair shares always has it. A cell of more than BLOCK_ROWS rows is dealt into blocks by id, and each two blocks are tried by
+    themselves."""
+    earlier = reduce(or_, [F.coalesce(F.col(a) == F.col(f"{b}_2"), F.lit(False)) for a in BEFORE for b in BEFORE])
     counted = _apart(rows).withColumn("k", F.ceil(F.col("n") / BLOCK_ROWS).cast("int")).withColumn("r", F.pmod(F.xxhash64("id"), F.col("k")).cast("int"))
-    left = counted.select("cell", F.col("r").alias("x"), F.explode(F.sequence("r", F.col("k") - 1)).alias("y"), "component", *WITH)
-    right = counted.select("cell", F.explode(F.sequence(F.lit(0), "r")).alias("x"), F.col("r").alias("y"), F.col("component").alias("component2"), *[F.col(c).alias(f"{c}2") for c in WITH])
-    pairs = left.join(right, ["cell", "x", "y"]).where("component <> component2 and (x < y or id < id2)").where(_near(similarity))
+    left = counted.select("cell", F.col("r").alias("x"), F.explode(F.sequence("r", F.col("k") - 1)).alias("y"), "component", *WITH, *BEFORE)
+    right = counted.select("cell", F.explode(F.sequence(F.lit(0), "r")).alias("x"), F.col("r").alias("y"), F.col("component").alias("component2"), *[F.col(c).alias(f"{c}_2" if c in BEFORE else f"{c}2") for c in (*WITH, *BEFORE)])
+    pairs = left.join(right, ["cell", "x", "y"]).where("component <> component2 and (x < y or id < id2)").where(~earlier & _near(similarity))
     return pairs.select(F.greatest("id", "id2").alias("a"), F.least("id", "id2").alias("b")).distinct()
 
 
@@ -328,16 +336,16 @@ def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8,
     heads = sigs.groupBy("sig").agg(F.min("id").alias("head"), F.count("*").alias("n")).where("n > 1")
     same = materialize(sigs.select("sig", "id").join(heads, "sig").where("id <> head").select(F.col("id").alias("a"), F.col("head").alias("b")).distinct(), "same")
     rest = sigs.join(small(same.select(F.col("a").alias("id")), same.count()), "id", "left_anti").select("id", "prefix", "shingles")
-    cells = rest.mapInArrow(_cell_rows, "cell long, id long, i int, s int")
+    cells = rest.mapInArrow(_cell_rows, "cell long, id long, i int, s int, b1 long, b2 long, b3 long")
     shared = cells.groupBy("cell").count().where("count > 1").select("cell")
-    rows = materialize(cells.join(shared, "cell").join(sigs.select("id", "o", "p").dropDuplicates(["id"]), "id").select("cell", *WITH), "cells")
+    rows = materialize(cells.join(shared, "cell").join(sigs.select("id", "o", "p").dropDuplicates(["id"]), "id").select("cell", *WITH, *BEFORE), "cells")
     # first each document with the first of its cells: whole groups of copies join here, at a few pairs a document
     pairs = _stars(rows.withColumn("component", F.col("id")), similarity).union(same).distinct()
     links = materialize(_alike(pairs, sigs, texts, words, similarity), "alike")
 
     def named() -> DataFrame:
         head = found.select(F.col("node").alias("id"), F.col("component").alias("now"))
-        return rows.join(head, "id", "left").select("cell", *WITH, F.coalesce("now", "id").alias("component"))
+        return rows.join(head, "id", "left").select("cell", *WITH, *BEFORE, F.coalesce("now", "id").alias("component"))
 
     found = materialize(connected_components(links), "components")
     for turn in range(1, STAR_TURNS + 1):

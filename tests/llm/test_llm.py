@@ -407,10 +407,12 @@ def test_similar_documents(spark):
 def test_full_cells_try_every_pair(spark, monkeypatch):
     """Pairs that differ from the first of their cell and from each other pair, in a cell of more than PAIRS_MAX rows."""
     monkeypatch.setattr(simhash, "BLOCK_ROWS", 7)
-    rows = [(1, i, i // 2 if i < 10 else i, 0, 0, 0, 100) for i in range(50)] + [(2, 60, 60, 0, 0, 0, 100), (2, 61, 61, 0, 0, 0, 100)]
-    df = spark.createDataFrame([(c, k, i, *rest) for c, i, k, *rest in rows], "cell long, component long, id long, i int, o long, p long, s int").select("cell", "component", *simhash.WITH)
+    none = (None, None, None)
+    rows = [(1, i // 2 if i < 10 else i, i, 0, 0, 0, 100, *none) for i in range(50)] + [(2, 60, 60, 0, 0, 0, 100, 9, 8, 7), (2, 61, 61, 0, 0, 0, 100, 6, 5, None)]
+    rows += [(3, 70, 70, 1, 0, 0, 100, 4, None, None), (3, 71, 71, 1, 0, 0, 100, 2, 4, None)]  # left to cell 4, which would have them
+    df = spark.createDataFrame(rows, "cell long, component long, id long, i int, o long, p long, s int, b1 long, b2 long, b3 long")
     got = [tuple(r) for r in simhash._every_pair(df, 0.8).collect()]
-    component = {i: k for _, i, k, *_ in rows}
+    component = {i: k for _, k, i, *_ in rows}
     assert len(got) == len(set(got)) and set(got) == {(a, b) for a in range(50) for b in range(a) if component[a] != component[b]} | {(61, 60)}
 
 
