@@ -27,6 +27,8 @@ SUCCESS = 0.4
 BLOCK_ROWS, ASK_ROWS = 8_192, 4_096
 #: Vectors (by hash of vec_id) from which spread and likeness of neighbours are estimated.
 SAMPLE_ROWS = 4_000
+#: Pairs of a query and an area whose finds are merged by one task.
+LOT_ROWS = 10_000
 #: Queries scored against a block at once.
 CHUNK = 64
 
@@ -131,11 +133,11 @@ def _valid(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
 
 
 def _search(index: ProbeIndex | None, near: int):
-    """For a cogroup of vectors (bucket, v, members) and queries (qid, v, gains, last), both of one area of one table: the nearest
-    in the buckets that each query visits; without an index in all."""
+    """For a cogroup of vectors (bucket, v, members) and queries (qid, v, gains, last), both of one area of one table: a row for each
+    query with the nearest in the buckets that it visits; without an index in all."""
 
     def run(base: pd.DataFrame, asks: pd.DataFrame) -> pd.DataFrame:
-        out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        out: list[tuple[int, list[int], list[float]]] = []
         if len(base) and len(asks):
             names, which = np.unique(base["bucket"].to_numpy(), return_inverse=True)
             v, members = np.stack(base["v"].to_numpy()), base["members"].tolist()
@@ -158,23 +160,45 @@ def _search(index: ProbeIndex | None, near: int):
                 for r, qid in enumerate(part["qid"].tolist()):
                     got = np.flatnonzero((scores[r] >= floor[r]) & (scores[r] > -np.inf))
                     flat = sorted((-s, int(m)) for s, g in zip(scores[r, got].tolist(), some[got].tolist(), strict=True) for m in members[g])[:near]
-                    out.append((np.full(len(flat), qid), np.array([m for _, m in flat], np.int64), np.array([-s for s, _ in flat])))
-        cols = [np.concatenate(c) for c in zip(*out, strict=True)] if out else [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
-        return pd.DataFrame({"qid": cols[0], "vec_id": cols[1], "score": cols[2]})
+                    if flat:
+                        out.append((qid, [m for _, m in flat], [-s for s, _ in flat]))
+        return pd.DataFrame(out, columns=["qid", "ids", "scores"])
+
+    return run
+
+
+def _merged(near: int):
+    """For rows (qid, ids, scores), all of a query in one group: the nearest of each query, each vector once."""
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        n = rows["ids"].map(len).to_numpy()
+        qid, ids, scores = np.repeat(rows["qid"].to_numpy(), n), np.concatenate(rows["ids"].to_numpy()), np.concatenate(rows["scores"].to_numpy())
+        order = np.lexsort((-scores, ids, qid))
+        qid, ids, scores = qid[order], ids[order], scores[order]
+        once = np.append(True, (qid[1:] != qid[:-1]) | (ids[1:] != ids[:-1]))
+        qid, ids, scores = qid[once], ids[once], scores[once]
+        order = np.lexsort((ids, -scores, qid))
+        qid, ids, scores = qid[order], ids[order], scores[order]
+        head = np.append(True, qid[1:] != qid[:-1])
+        place = np.arange(len(qid)) - np.maximum.accumulate(np.where(head, np.arange(len(qid)), 0))
+        return pd.DataFrame({"qid": qid, "vec_id": ids, "score": scores})[place < near]
 
     return run
 
 
 def _met(base: DataFrame, asks: DataFrame, key: list[str], index: ProbeIndex | None, near: int) -> DataFrame:
-    """(qid, vec_id, score) of the vectors and queries that have the same key. Keys with many of either are dealt into parts by
-    id, and each part of the one meets each part of the other, so no task holds more than about BLOCK_ROWS and ASK_ROWS."""
+    """(qid, vec_id, score): the nearest of each query among the vectors with the same key. Keys with many of either are dealt into
+    parts by id, and each part of the one meets each part of the other, so no task holds more than about BLOCK_ROWS and
+    ASK_ROWS. What a query found in each travels as one row, and is merged in lots of queries."""
     counts = base.groupBy(*key).agg(F.count("*").alias("n")).join(asks.groupBy(*key).agg(F.count("*").alias("m")), key)
     parts = materialize(counts.select(*key, F.ceil(F.col("n") / BLOCK_ROWS).cast("int").alias("rows"), F.ceil(F.col("m") / ASK_ROWS).cast("int").alias("lots")), "areas")
     mark = small(parts, parts.count(), 200_000)
     left = base.join(mark, key).withColumn("x", F.pmod(F.xxhash64("id"), F.col("rows"))).withColumn("y", F.explode(F.sequence(F.lit(0).cast("long"), F.col("lots") - 1))).drop("rows", "lots")
     right = asks.join(mark, key).withColumn("y", F.pmod(F.xxhash64("qid"), F.col("lots"))).withColumn("x", F.explode(F.sequence(F.lit(0).cast("long"), F.col("rows") - 1))).drop("rows", "lots")
     cell = [*key, "x", "y"]
-    return left.groupBy(*cell).cogroup(right.groupBy(*cell)).applyInPandas(_search(index, near), "qid long, vec_id long, score double")
+    found = left.groupBy(*cell).cogroup(right.groupBy(*cell)).applyInPandas(_search(index, near), "qid long, ids array<long>, scores array<double>")
+    lots = max(1, math.ceil(asks.count() / LOT_ROWS))
+    return found.groupBy(F.pmod(F.xxhash64("qid"), F.lit(lots)).alias("lot")).applyInPandas(_merged(near), "qid long, vec_id long, score double")
 
 
 def nearest(vectors: DataFrame, every: int = 20, k: int = 20, id_col: str = "vec_id", vec_col: str = "embedding", success: float = SUCCESS) -> DataFrame:
@@ -226,14 +250,12 @@ def nearest(vectors: DataFrame, every: int = 20, k: int = 20, id_col: str = "vec
     queries = asked.select("qid").distinct().join(classes.select(F.col("id").alias("qid"), "v"), "qid")
     asks = materialize(queries.mapInPandas(probe, "table int, area long, qid long, v array<double>, gains array<double>, last double, home long"), "asks")
     found = _met(placed, asks, ["table", "area"], index, near)
-    best = Window.partitionBy("qid").orderBy(F.desc("score"), "vec_id")
-    top = materialize(found.groupBy("qid", "vec_id").agg(F.max("score").alias("score")).withColumn("r", F.row_number().over(best)).where(F.col("r") <= near).drop("r"), "top")
+    top = materialize(found, "top")
     full = min(near, n)
     short = materialize(queries.join(top.groupBy("qid").count().where(F.col("count") >= full), "qid", "left_anti"), "short")
     if not short.isEmpty():
         whole = classes.select(F.lit(0).alias("table"), F.lit(0).cast("long").alias("bucket"), "id", "v", "members")
         more = _met(whole, short.select(F.lit(0).alias("table"), "qid", "v", F.lit(0).alias("home")), ["table"], None, near)
-        more = more.withColumn("r", F.row_number().over(best)).where(F.col("r") <= near).drop("r")
         top = top.join(short.select("qid"), "qid", "left_anti").unionByName(more)
     answers = asked.join(top, "qid").where("vec_id <> query_id")
     rank = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
