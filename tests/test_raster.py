@@ -150,3 +150,35 @@ def test_stream_and_command_line(spark, tmp_path):
     assert grids.decode_png(bytes(picture.content))[1].shape == (8, 8, 4)
     assert cli.main(["shade", str(tmp_path / "cells"), "x", "--shading-script", "what"], spark) == 2
     assert cli.main(["nothing"], spark) == 1
+
+
+def test_tiff_windows_and_damage():
+    from reliefspark.sources import archives
+
+    image = np.random.default_rng(2).integers(-3000, 3000, (50, 70)).astype(np.int16)
+    data = archives.encode_tiff(image, 16)
+    assert (archives.decode_tiff(data) == image).all() and (archives.decode_tiff(data, (5, 7, 40, 20)) == image[7:27, 5:45]).all()
+    for bad in (data[:-3], b"II+\0" + data[4:]):
+        with pytest.raises(ValueError):
+            archives.decode_tiff(bad)
+    with pytest.raises(ValueError):
+        archives.decode_tiff(data, (60, 0, 20, 10))
+
+
+def test_batch_names_every_damaged_tile(spark):
+    from reliefspark.sources import archives
+
+    good = grids.encode_tile(np.arange(4, dtype=np.int16).reshape(2, 2), "png16")
+    files = spark.createDataFrame([("a/N01E002.png", good), ("N03W004.png", good[:20]), ("hello.png", good)], "name string, content binary")
+    with pytest.raises(ValueError, match="N03W004.*hello"):
+        archives.read_batch(files, 2, "png16")
+    assert {(r.x, r.y, r.h) for r in archives.read_batch(files.where("name like 'a/%'"), 2, "png16").collect()} == {(4, 2, 0), (5, 2, 1), (4, 3, 2), (5, 3, 3)}
+
+
+def test_projected_pixels_over_blocks(spark):
+    """A raster wider than a block, on a plane: slope and aspect are the same everywhere."""
+    n = 300
+    plane = raster.canvas(spark, 0, 0, n, 12).withColumn("h", F.col("x") * 10)
+    units = 1200 * 180 / np.pi / 1.3
+    got = shading.projected_pixels(plane, projections.Mercator(units), (2, 2, 220, 5), 1200.0).agg(F.count("slope").alias("n"), F.min("slope").alias("a"), F.max("slope").alias("b")).first()
+    assert got.n == 1100 and got.b - got.a < 1e-6 and got.a > 0.1
