@@ -52,27 +52,41 @@ def filter_rows(rows: np.ndarray, pixel: int) -> bytes:
     return np.hstack([best[:, None].astype(np.uint8), picked]).tobytes()
 
 
+def _rebuilt(kind: int, row: bytes, before: bytes, pixel: int) -> bytearray:
+    """A row behind the average (3) or Paeth (4) filter, byte by byte: each depends on the one a pixel to its left."""
+    now = bytearray(row)
+    if kind == 3:
+        for x in range(len(now)):
+            now[x] = (now[x] + ((now[x - pixel] if x >= pixel else 0) + before[x] >> 1)) & 255
+        return now
+    for x in range(min(pixel, len(now))):
+        now[x] = (now[x] + before[x]) & 255
+    for x in range(pixel, len(now)):
+        a, b, c = now[x - pixel], before[x], before[x - pixel]
+        da, db, dc = abs(b - c), abs(a - c), abs(a + b - 2 * c)
+        now[x] = (now[x] + (a if da <= db and da <= dc else b if db <= dc else c)) & 255
+    return now
+
+
 def unfilter_rows(data: bytes, height: int, width: int, pixel: int) -> np.ndarray:
     raw = np.frombuffer(data, np.uint8).reshape(height, width + 1)
-    out = np.zeros((height, width), np.int32)
-    before = np.zeros(width, np.int32)
+    out = np.zeros((height, width), np.uint8)
+    before = np.zeros(width, np.uint8)
     for y in range(height):
-        kind, row = int(raw[y, 0]), raw[y, 1:].astype(np.int32)
+        kind, row = int(raw[y, 0]), raw[y, 1:]
         if kind == 0:
-            now = row
+            out[y] = row
+        elif kind == 1:  # sums along the row, modulo 256
+            for k in range(min(pixel, width)):
+                out[y, k::pixel] = np.cumsum(row[k::pixel], dtype=np.uint8)
         elif kind == 2:
-            now = (row + before) & 255
-        elif kind in (1, 3, 4):
-            now = row.copy()
-            for x in range(0, width, pixel):
-                a = now[x - pixel : x] if x else np.zeros(pixel, np.int32)
-                b, c = before[x : x + pixel], before[x - pixel : x] if x else np.zeros(pixel, np.int32)
-                guess = a if kind == 1 else (a + b) // 2 if kind == 3 else _paeth(a, b, c)
-                now[x : x + pixel] = (row[x : x + pixel] + guess) & 255
+            out[y] = row + before
+        elif kind in (3, 4):
+            out[y] = np.frombuffer(_rebuilt(kind, row.tobytes(), before.tobytes(), pixel), np.uint8)
         else:
             raise ValueError(f"filter {kind}")
-        out[y] = before = now
-    return out.astype(np.uint8)
+        before = out[y]
+    return out
 
 
 # Colour type and bits of a sample, by kind of picture: grey of 1, 8 and 16 bits, and colour with alpha.

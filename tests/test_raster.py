@@ -182,3 +182,21 @@ def test_projected_pixels_over_blocks(spark):
     units = 1200 * 180 / np.pi / 1.3
     got = shading.projected_pixels(plane, projections.Mercator(units), (2, 2, 220, 5), 1200.0).agg(F.count("slope").alias("n"), F.min("slope").alias("a"), F.max("slope").alias("b")).first()
     assert got.n == 1100 and got.b - got.a < 1e-6 and got.a > 0.1
+
+
+@pytest.mark.parametrize("pixel", [1, 2, 4])
+def test_unfilter_undoes_each_filter(pixel):
+    """Rows filtered by the definition of each of the five filters."""
+    rows = np.random.default_rng(pixel).integers(0, 256, (10, 24)).astype(int)
+    data = bytearray()
+    for y, row in enumerate(rows):
+        kind = y % 5
+        data.append(kind)
+        for x, v in enumerate(row.tolist()):
+            a = int(rows[y, x - pixel]) if x >= pixel else 0
+            b = int(rows[y - 1, x]) if y else 0
+            c = int(rows[y - 1, x - pixel]) if y and x >= pixel else 0
+            p = a + b - c
+            near = min((a, b, c), key=lambda k: abs(p - k))
+            data.append((v - (0, a, b, (a + b) // 2, near)[kind]) % 256)
+    assert (grids.unfilter_rows(bytes(data), 10, 24, pixel) == rows).all()
