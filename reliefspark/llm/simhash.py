@@ -139,13 +139,14 @@ SAMPLE_DOCS, SEEN, FREQUENT = 10_000, 3, 200_000
 #: Documents in one cell from which its documents are first tried with one of them, in up to STAR_TURNS turns, before every
 #: pair still apart is tried; and rows of a cell that one task tries against as many others.
 PAIRS_MAX, STAR_TURNS, BLOCK_ROWS = 32, 2, 1000
-#: Bits of a document's parity sketch: bit k is set if an odd number of its distinct shingles hash to k. Two sketches differ
-#: in no more bits than there are shingles in one document alone. Folded to CELL_BITS it travels with the cells.
+#: Least bits of a document's parity sketch: bit k is set if an odd number of its distinct shingles hash to k. Two sketches differ
+#: in no more bits than there are shingles in one document alone. Longer texts have the next power of two to their
+#: shingles, as a sketch that is much shorter rules nothing out. Folded to CELL_BITS it travels with the cells.
 SKETCH_BITS, CELL_BITS = 1024, 128
 
 
 #: What a row of the cells carries besides its cell: id, place of the cell's shingle in the order, parity sketch, shingles; and
-#: the three shingles before the cell's in the order, as far as there are any.
+#: what is added where every pair is tried: the three shingles before the cell's in the order, as far as there are any.
 WITH, BEFORE = ("id", "i", "o", "p", "s"), ("b1", "b2", "b3")
 
 
@@ -162,11 +163,24 @@ def shingle_hashes(h: np.ndarray, words: int) -> np.ndarray:
 
 
 def parity_sketch(hashes: np.ndarray) -> np.ndarray:
-    """SKETCH_BITS bits as words of 64."""
-    odd = np.bincount((hashes & np.uint64(SKETCH_BITS - 1)).astype(np.int64), minlength=SKETCH_BITS) & 1
+    """A power of two of bits, at least SKETCH_BITS and as many as hashes, as words of 64."""
+    bits = max(SKETCH_BITS, 1 << max(len(hashes) - 1, 0).bit_length())
+    odd = np.bincount((hashes & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
     return np.packbits(odd.astype(np.uint8), bitorder="little").view("<u8")
 
 
+def folded(sketch: np.ndarray, bits: int) -> np.ndarray:
+    """The sketch of the same hashes with fewer bits."""
+    return np.bitwise_xor.reduce(sketch.reshape(-1, bits // 64), axis=0)
+
+
+def sketches_apart(a: bytes, b: bytes) -> int:
+    """Differing bits of two sketches, the longer one folded to the shorter."""
+    x, y = np.frombuffer(a, "<u8"), np.frombuffer(b, "<u8")
+    bits = 64 * min(len(x), len(y))
+    return int(np.bitwise_count(folded(x, bits) ^ folded(y, bits)).sum())
+
+
 def most_alone(similarity: float) -> float:
     """Shingles in one of two documents alone, as a share of the sum of their counts, at a Jaccard similarity: the bound
     that the differing bits of two parity sketches must keep."""
@@ -224,7 +238,7 @@ def _signatures(words: int, similarity: float, frequent: Broadcast):
                 counts.append(len(s))
                 prefixes.append(prefix(s, frequent.value, similarity).tobytes())
             if b.num_rows:
-                o, p = np.bitwise_xor.reduce(np.stack(sketches).reshape(b.num_rows, -1, CELL_BITS // 64), axis=1).view(np.int64).T
+                o, p = np.stack([folded(x, CELL_BITS) for x in sketches]).view(np.int64).T
                 columns = [pa.array(sigs, pa.binary()), pa.array([x.tobytes() for x in sketches], pa.binary()), pa.array(np.ascontiguousarray(o)), pa.array(np.ascontiguousarray(p)), pa.array(counts, pa.int32()), pa.array(prefixes, pa.binary())]
                 yield pa.RecordBatch.from_arrays([b.column(0), *columns], ["id", "sig", "sketch", "o", "p", "shingles", "prefix"])
         memo.clear()
@@ -234,17 +248,15 @@ def _signatures(words: int, similarity: float, frequent: Broadcast):
 
 
 def _cell_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(cell, id, i, s, BEFORE): each shingle of a document's prefix is a cell; i: its place; s: the number of distinct shingles."""
+    """(cell, id, i): each shingle of a document's prefix is a cell; i: its place."""
     for b in batches:
         for lo in range(0, b.num_rows, 200):
             part = b.slice(lo, 200)
             rows = [np.frombuffer(x, np.int64) for x in part.column(1).to_pylist()]
             n = np.fromiter(map(len, rows), np.int64, len(rows))
             place = (np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)).astype(np.int32)
-            each = [np.repeat(part.column(k).to_numpy(), n) for k in (0, 2)]
-            cell = np.concatenate(rows)
-            before = [pa.array(np.roll(cell, k), mask=place < k) for k in (1, 2, 3)]
-            yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(each[0]), pa.array(place), pa.array(each[1]), *before], ["cell", "id", "i", "s", *BEFORE])
+            ids = np.repeat(part.column(0).to_numpy(), n)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(rows)), pa.array(ids), pa.array(place)], ["cell", "id", "i"])
 
 
 def _near(similarity: float) -> Column:
@@ -266,16 +278,28 @@ def _stars(rows: DataFrame, similarity: float, turn: int = 0) -> DataFrame:
 def _apart(rows: DataFrame, more_than: int = 1) -> DataFrame:
     """The rows of cells that hold more than one component and more than `more_than` rows, and the rows of their cell, n."""
     n = rows.groupBy("cell").agg(F.count("*").alias("n"), F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").where(F.col("n") > more_than)
-    return rows.join(n.select("cell", "n"), "cell")
+    n = materialize(n.select("cell", "n"), "apart-cells")
+    return rows.join(small(n, n.count()), "cell")
+
+
+def _with_before(rows: DataFrame, sigs: DataFrame) -> DataFrame:
+    """The rows with BEFORE, read from their documents' prefixes: eight bytes for each shingle, in the order."""
+    ids = materialize(rows.select("id").distinct(), "apart-ids")
+    prefixes = sigs.join(small(ids, ids.count()), "id", "left_semi").select("id", "prefix").dropDuplicates(["id"])
+    before = [F.when(F.col("i") >= k, F.substring("prefix", (F.col("i") - k) * 8 + 1, F.lit(8))).alias(b) for k, b in enumerate(BEFORE, 1)]
+    return rows.join(prefixes, "id").select(*rows.columns, *before)
 
 
-def _every_pair(rows: DataFrame, similarity: float) -> DataFrame:
+def _every_pair(rows: DataFrame, similarity: float, sigs: DataFrame | None = None) -> DataFrame:
     """All pairs (a, b) of a cell that are of different components and may be similar. Where one of the shingles BEFORE the cell's
     is among the other document's too, the pair is left to the cell of that one: both places are earlier there, so what _near
     lets pass here passes there, and the first cell that a pair shares always has it. A cell of more than BLOCK_ROWS rows is dealt into blocks by id, and each two blocks are tried by
-    themselves."""
+    themselves. Rows without BEFORE get it from sigs."""
     earlier = reduce(or_, [F.coalesce(F.col(a) == F.col(f"{b}_2"), F.lit(False)) for a in BEFORE for b in BEFORE])
-    counted = _apart(rows).withColumn("k", F.ceil(F.col("n") / BLOCK_ROWS).cast("int")).withColumn("r", F.pmod(F.xxhash64("id"), F.col("k")).cast("int"))
+    apart = _apart(rows)
+    if sigs is not None:
+        apart = _with_before(materialize(apart, "apart"), sigs)
+    counted = apart.withColumn("k", F.ceil(F.col("n") / BLOCK_ROWS).cast("int")).withColumn("r", F.pmod(F.xxhash64("id"), F.col("k")).cast("int"))
     left = counted.select("cell", F.col("r").alias("x"), F.explode(F.sequence("r", F.col("k") - 1)).alias("y"), "component", *WITH, *BEFORE)
     right = counted.select("cell", F.explode(F.sequence(F.lit(0), "r")).alias("x"), F.col("r").alias("y"), F.col("component").alias("component2"), *[F.col(c).alias(f"{c}_2" if c in BEFORE else f"{c}2") for c in (*WITH, *BEFORE)])
     pairs = left.join(right, ["cell", "x", "y"]).where("component <> component2 and (x < y or id < id2)").where(~earlier & _near(similarity))
@@ -294,7 +318,7 @@ def _alike(pairs: DataFrame, sigs: DataFrame, texts: DataFrame, words: int, simi
     def by_bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
-                apart = np.bitwise_count(np.bitwise_xor(*(np.frombuffer(b"".join(b.column(k).to_pylist()), "<u8").reshape(b.num_rows, -1) for k in (2, 3)))).sum(axis=1)
+                apart = np.fromiter(map(sketches_apart, values(b.column(2)), values(b.column(3))), np.int64, b.num_rows)
                 keep = apart <= b.column(4).to_numpy() * share + 1e-6
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["a", "b"]).filter(pa.array(keep))
 
@@ -335,17 +359,18 @@ def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8,
     sigs = materialize(texts.mapInArrow(_signatures(words, similarity, frequent), "id long, sig binary, sketch binary, o long, p long, shingles int, prefix binary"), "signatures")
     heads = sigs.groupBy("sig").agg(F.min("id").alias("head"), F.count("*").alias("n")).where("n > 1")
     same = materialize(sigs.select("sig", "id").join(heads, "sig").where("id <> head").select(F.col("id").alias("a"), F.col("head").alias("b")).distinct(), "same")
-    rest = sigs.join(small(same.select(F.col("a").alias("id")), same.count()), "id", "left_anti").select("id", "prefix", "shingles")
-    cells = rest.mapInArrow(_cell_rows, "cell long, id long, i int, s int, b1 long, b2 long, b3 long")
+    rest = sigs.join(small(same.select(F.col("a").alias("id")), same.count()), "id", "left_anti").select("id", "prefix")
+    cells = rest.mapInArrow(_cell_rows, "cell long, id long, i int")
     shared = cells.groupBy("cell").count().where("count > 1").select("cell")
-    rows = materialize(cells.join(shared, "cell").join(sigs.select("id", "o", "p").dropDuplicates(["id"]), "id").select("cell", *WITH, *BEFORE), "cells")
+    # only what names a row moves by cell; what its document has is added to the shared ones
+    rows = materialize(cells.join(shared, "cell").join(sigs.select("id", "o", "p", F.col("shingles").alias("s")).dropDuplicates(["id"]), "id").select("cell", *WITH), "cells")
     # first each document with the first of its cells: whole groups of copies join here, at a few pairs a document
     pairs = _stars(rows.withColumn("component", F.col("id")), similarity).union(same).distinct()
     links = materialize(_alike(pairs, sigs, texts, words, similarity), "alike")
 
     def named() -> DataFrame:
         head = found.select(F.col("node").alias("id"), F.col("component").alias("now"))
-        return rows.join(head, "id", "left").select("cell", *WITH, *BEFORE, F.coalesce("now", "id").alias("component"))
+        return rows.join(head, "id", "left").select("cell", *WITH, F.coalesce("now", "id").alias("component"))
 
     found = materialize(connected_components(links), "components")
     for turn in range(1, STAR_TURNS + 1):
@@ -357,7 +382,7 @@ def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8,
         links = links.union(more)
         found = materialize(connected_components(links), "components")
     # at last every pair of a cell that is still apart
-    more = materialize(_alike(_every_pair(named(), similarity), sigs, texts, words, similarity), "alike")
+    more = materialize(_alike(_every_pair(named(), similarity, sigs), sigs, texts, words, similarity), "alike")
     found = materialize(connected_components(links.union(more)), "components")
     return found.select(F.col("node").alias("doc_id"), F.col("component").alias("component_id"))
 

@@ -383,6 +383,28 @@ def test_parity_sketch_is_a_lower_bound():
         assert apart <= alone and (not both or abs(alone - (len(sets[0]) + len(sets[1])) * simhash.most_alone(1 - alone / both)) < 1e-6)
 
 
+def test_sketches_of_other_lengths_are_a_lower_bound():
+    rng = np.random.default_rng(5)
+    for n in (0, 1, 900, 1024, 1025, 3000, 70_000):
+        common = rng.integers(0, 1 << 63, n, dtype=np.uint64)
+        for extra in (0, 1, n // 5):
+            a, b = common, np.concatenate([common, rng.integers(0, 1 << 63, extra, dtype=np.uint64)])
+            x, y = simhash.parity_sketch(a), simhash.parity_sketch(b)
+            assert len(x) * 64 >= max(n, 1024) and simhash.sketches_apart(x.tobytes(), y.tobytes()) <= extra
+    # texts with nothing in common are told apart at every length
+    for n in (300, 3000, 30_000):
+        x, y = (simhash.parity_sketch(rng.integers(0, 1 << 63, n, dtype=np.uint64)).tobytes() for _ in range(2))
+        assert simhash.sketches_apart(x, y) > 2 * n * simhash.most_alone(0.8)
+
+
+def test_rows_get_the_shingles_before_theirs(spark):
+    prefix = np.arange(10, 16, dtype=np.int64)
+    sigs = spark.createDataFrame([(1, prefix.tobytes()), (1, prefix.tobytes()), (2, prefix[:1].tobytes())], "id long, prefix binary")
+    rows = spark.createDataFrame([(15, 1, 5), (10, 1, 0), (12, 1, 2), (10, 2, 0)], "cell long, id long, i int")
+    got = {(r.id, r.i): [b and int.from_bytes(b, "little") for b in (r.b1, r.b2, r.b3)] for r in simhash._with_before(rows, sigs).collect()}
+    assert got == {(1, 5): [14, 13, 12], (1, 0): [None] * 3, (1, 2): [11, 10, None], (2, 0): [None] * 3}
+
+
 def test_similar_documents(spark):
     rng = random.Random(9)
     base = [prose(rng, 300) for _ in range(40)]
