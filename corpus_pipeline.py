@@ -8,7 +8,7 @@ from reliefspark.llm.common import materialize
 from reliefspark.llm.exact_dedup import drop_exact_duplicates
 from reliefspark.llm.packing import pack_documents
 from reliefspark.llm.quality import keep_quality
-from reliefspark.llm.simhash import drop_near_duplicates
+from reliefspark.llm.simhash import drop_near_duplicates, drop_simhash_duplicates
 from reliefspark.llm.substring_dedup import substring_dedup
 
 
@@ -21,7 +21,8 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return drop_near_duplicates(docs)
+    """By SimHash, as op5; of what stays, texts that share four fifths of their shingles though their fingerprints differ by more."""
+    return drop_near_duplicates(materialize(drop_simhash_duplicates(docs), "simhash"))
 
 
 def substring(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

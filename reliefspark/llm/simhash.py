@@ -387,15 +387,13 @@ def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8,
     return found.select(F.col("node").alias("doc_id"), F.col("component").alias("component_id"))
 
 
-def drop_near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs, all columns, with one row of each component of similar_documents: the one with the smallest doc_id.
+KEY = "__near_key"
 
-    Rows are told apart by doc_id and text, so a doc_id may come with several texts, and a null doc_id takes part after all
-    numbers. Rows that share doc_id and text stay or go together. Null texts count as empty, and texts without words are
-    all alike. An empty table stays empty."""
-    key = "__near_key"
+
+def _with_key(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """docs and KEY, a long that tells rows apart by doc_id and text: a doc_id that stands once is its own key; small ones lead
+    groups, as originals come before their copies."""
     own = F.col(id_col).cast("long")
-    # a doc_id that stands once is its own key; small ones lead groups, as originals come before their copies
     several = docs.select(own.alias("__id")).groupBy("__id").count().where("count > 1 or __id is null")
     several = materialize(several.select(F.col("__id").alias("__repeated")), "several")
     n = several.count()
@@ -404,11 +402,32 @@ def drop_near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.
     if n:
         keyed = docs.join(small(several.withColumn("__several", F.lit(True)), n), own.eqNullSafe(F.col("__repeated")), "left")
         by_text = F.coalesce(F.col("__several"), F.lit(False))
-    keyed = keyed.withColumn(key, F.when(by_text, F.xxhash64(own, F.col(text_col).cast("string"))).otherwise(own)).drop("__repeated", "__several")
-    found = materialize(similar_documents(keyed, words, similarity, key, text_col), "near-components")
-    if found.isEmpty():
-        return docs
-    members = found.select(F.col("doc_id").alias(key), "component_id")
-    ids = keyed.select(key, F.coalesce(own, F.lit((1 << 63) - 1)).alias("id")).join(members, key)
-    heads = ids.groupBy("component_id").agg(F.min_by(key, F.struct("id", key)).alias(key))
-    return without_ids(keyed, members.join(heads, [key], "left_anti").select(key), key).drop(key)
+    return keyed.withColumn(KEY, F.when(by_text, F.xxhash64(own, F.col(text_col).cast("string"))).otherwise(own)).drop("__repeated", "__several")
+
+
+def _one_of_each(keyed: DataFrame, found: DataFrame, id_col: str) -> DataFrame:
+    """keyed without KEY, with one key of each component of found (doc_id: a key, component_id): that of the smallest doc_id."""
+    members = found.select(F.col("doc_id").alias(KEY), "component_id")
+    ids = keyed.select(KEY, F.coalesce(F.col(id_col).cast("long"), F.lit((1 << 63) - 1)).alias("id")).distinct().join(members, KEY)
+    heads = ids.groupBy("component_id").agg(F.min_by(KEY, F.struct("id", KEY)).alias(KEY))
+    return without_ids(keyed, members.join(heads, [KEY], "left_anti").select(KEY), KEY).drop(KEY)
+
+
+def drop_simhash_duplicates(docs: DataFrame, words: int = 3, distance: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs, all columns, with one row of each component of near_duplicates (SimHash fingerprints within `distance` bits): the
+    one with the smallest doc_id. Null and repeated doc_ids, null and empty texts are taken as by drop_near_duplicates."""
+    keyed = _with_key(docs, id_col, text_col)
+    each = materialize(near_duplicates(keyed, words, distance, KEY, text_col).select("doc_id", "component_id").distinct(), "simhash-components")
+    several = each.groupBy("component_id").count().where("count > 1").select("component_id")
+    return _one_of_each(keyed, materialize(each.join(several, "component_id"), "simhash-members"), id_col)
+
+
+def drop_near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs, all columns, with one row of each component of similar_documents: the one with the smallest doc_id.
+
+    Rows are told apart by doc_id and text, so a doc_id may come with several texts, and a null doc_id takes part after all
+    numbers. Rows that share doc_id and text stay or go together. Null texts count as empty, and texts without words are
+    all alike. An empty table stays empty."""
+    keyed = _with_key(docs, id_col, text_col)
+    found = materialize(similar_documents(keyed, words, similarity, KEY, text_col), "near-components")
+    return docs if found.isEmpty() else _one_of_each(keyed, found, id_col)

@@ -427,6 +427,20 @@ def test_similar_documents(spark):
     assert kept.columns == table(spark, []).columns and 225 not in {r.doc_id for r in kept.collect()}
 
 
+def test_near_stage_goes_by_simhash(spark):
+    """Of each component of op5 at most one row stays, though the sets of shingles differ; texts with other edits go as before."""
+    import corpus_pipeline
+
+    rng = random.Random(21)
+    verse, t = prose(rng, 13) + " ", prose(rng, 300)
+    rows = [(k, verse * 60 + prose(rng, 12)) for k in range(1, 5)] + [(10, t), (11, t + " " + prose(rng, 20)), (20, prose(rng, 50)), (None, None), (30, " ")]
+    one, other = simhash.shingles(rows[0][1].encode(), 5), simhash.shingles(rows[1][1].encode(), 5)
+    assert len(one & other) / len(one | other) < 0.8
+    left = corpus_pipeline.near(spark, table(spark, rows), "")
+    assert left.columns == table(spark, []).columns and sorted(r.doc_id for r in left.collect()) == [1, 10, 20, 30]
+    assert not corpus_pipeline.near(spark, table(spark, []), "").count()
+
+
 def test_full_cells_try_every_pair(spark, monkeypatch):
     """Pairs that differ from the first of their cell and from each other pair, in a cell of more than PAIRS_MAX rows."""
     monkeypatch.setattr(simhash, "BLOCK_ROWS", 7)
