@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from dataclasses import dataclass
+from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.arith import value_01_status
+from ..storage import materialize
 
 Point = tuple[Column, Column]
 
@@ -116,16 +121,139 @@ def polygon_edges(points: DataFrame) -> DataFrame:
     return e.select("id", (F.row_number().over(w) - 1).alias("edge"), "x1", "y1", "x2", "y2")
 
 
+#: Edges of a polygon that one row holds, and of them those that are tried against another row's at once.
+BLOCK_EDGES, TILE_EDGES = 4096, 32
+
+
+@dataclass
+class _Edges:
+    """Consecutive edges (edge: the first one's number) of a polygon. xs, ys, gone: their points and which of them have a null; starts
+    and ends are slices of these, and where each edge begins at the end of the one before, such points stand once."""
+
+    edge: int
+    xs: np.ndarray
+    ys: np.ndarray
+    gone: np.ndarray | None
+    starts: slice
+    ends: slice
+    low: np.ndarray
+    high: np.ndarray
+
+    @staticmethod
+    def of(edge: int, x1: np.ndarray, y1: np.ndarray, x2: np.ndarray, y2: np.ndarray, gone: np.ndarray | None) -> _Edges:
+        n = len(x1)
+        low, high = np.fmin(y1, y2), np.maximum(y1, y2)
+        if gone is not None:  # a null is passed over; other missing numbers are above all
+            null1, null2 = gone[:, 1], gone[:, 3]
+            low, high = np.where(null1, y2, np.where(null2, y1, low)), np.where(null1, y2, np.where(null2, y1, high))
+        low, high = np.where(np.isnan(low), np.inf, low), np.where(np.isnan(high), np.inf, high)
+        if gone is not None:
+            high[null1 & null2] = -np.inf
+        elif np.array_equal(x1[1:], x2[:-1]) and np.array_equal(y1[1:], y2[:-1]):
+            return _Edges(edge, np.append(x1, x2[-1:]), np.append(y1, y2[-1:]), None, slice(0, n), slice(1, n + 1), low, high)
+        points_gone = None if gone is None else np.concatenate([gone[:, 0] | gone[:, 1], gone[:, 2] | gone[:, 3]])
+        return _Edges(edge, np.append(x1, x2), np.append(y1, y2), points_gone, slice(0, n), slice(n, 2 * n), low, high)
+
+    def __len__(self) -> int:
+        return len(self.low)
+
+    def part(self, lo: int, hi: int) -> _Edges:
+        at, n = (slice(lo, hi + 1), hi - lo) if self.ends.start == 1 else (np.r_[lo:hi, len(self) + lo : len(self) + hi], hi - lo)
+        starts, ends = slice(0, n), slice(1, n + 1) if self.ends.start == 1 else slice(n, 2 * n)
+        return _Edges(self.edge + lo, self.xs[at], self.ys[at], None if self.gone is None else self.gone[at], starts, ends, self.low[lo:hi], self.high[lo:hi])
+
+    def areas(self, other: _Edges, as_rows: bool) -> np.ndarray:
+        """area2 of each edge and each point of other; edges are rows or columns. Where a null takes part: below all."""
+        turn = (lambda v: v[:, None]) if as_rows else (lambda v: v[None, :])
+        across = (lambda v: v[None, :]) if as_rows else (lambda v: v[:, None])
+        x, y = self.xs[self.starts], self.ys[self.starts]
+        out = turn(self.xs[self.ends] - x) * (across(other.ys) - turn(y))
+        out -= (across(other.xs) - turn(x)) * turn(self.ys[self.ends] - y)
+        for gone in (None if self.gone is None else turn(self.gone[self.starts] | self.gone[self.ends]), None if other.gone is None else across(other.gone)):
+            if gone is not None:
+                out[np.broadcast_to(gone, out.shape)] = -np.inf
+        return out
+
+
+def _between_all(x: tuple[np.ndarray, ...], y: tuple[np.ndarray, ...]) -> np.ndarray:
+    """Of points a, b, c: c is within a and b, by x where these differ, else by y."""
+    inside = lambda a, b, c: ((a <= c) & (c <= b)) | ((a >= c) & (c >= b))
+    return np.where(x[0] != x[1], inside(*x), inside(*y))
+
+
+def _shared(a: _Edges, b: _Edges) -> np.ndarray:
+    """Which edges of a (rows) share an end with which of b."""
+    return reduce(np.logical_or, [(a.xs[s][:, None] == b.xs[t]) & (a.ys[s][:, None] == b.ys[t]) for s in (a.starts, a.ends) for t in (b.starts, b.ends)])
+
+
+def _meeting(a: _Edges, b: _Edges, edges: int, tolerance: float) -> int:
+    """Pairs of an edge of a and a later one of b, no neighbours in a polygon of so many edges, whose class is not NotIntersect: they
+    cross, or share an end, or an end of one that is collinear with the other lies between its ends (see intersection_class)."""
+    found = 0
+    if not (a.low.min() <= b.high.max() and a.high.max() >= b.low.min()):
+        return 0
+    for lo in range(0, len(a), TILE_EDGES):
+        t = a.part(lo, min(lo + TILE_EDGES, len(a)))
+        o = b if a.edge != b.edge else b.part(lo, len(b))
+        near = (t.low[:, None] <= o.high) & (t.high[:, None] >= o.low)
+        if not o.edge - (t.edge + len(t) - 1) > 1:
+            near &= np.arange(o.edge, o.edge + len(o)) - np.arange(t.edge, t.edge + len(t))[:, None] > 1
+        if t.edge == 0 and o.edge + len(o) == edges:
+            near[0, -1] = False
+        # points of o beside edges of t, and points of t beside edges of o; not a number counts as left
+        one, two = t.areas(o, True), o.areas(t, False)
+        right1, right2 = one < -tolerance, two < -tolerance
+        left1, left2 = ~(one <= tolerance), ~(two <= tolerance)
+        cross = (left1[:, o.starts] & right1[:, o.ends]) | (right1[:, o.starts] & left1[:, o.ends])
+        cross &= (left2[t.starts] & right2[t.ends]) | (right2[t.starts] & left2[t.ends])
+        cross &= near
+        found += int(np.count_nonzero(cross))
+        flat1, flat2 = ~(left1 | right1), ~(left2 | right2)
+        flat = flat1[:, o.starts] | flat1[:, o.ends] | flat2[t.starts] | flat2[t.ends]
+        if t.gone is not None or o.gone is not None:  # else points of both are collinear with either
+            flat |= _shared(t, o)
+        near &= flat & ~cross
+        r, c = np.nonzero(near)
+        if len(r):
+            (x1, y1, x2, y2), (x3, y3, x4, y4) = ((e.xs[e.starts][k], e.ys[e.starts][k], e.xs[e.ends][k], e.ys[e.ends][k]) for e, k in ((t, r), (o, c)))
+            meet = flat1[:, o.starts][r, c] & _between_all((x1, x2, x3), (y1, y2, y3)) | flat1[:, o.ends][r, c] & _between_all((x1, x2, x4), (y1, y2, y4))
+            meet |= flat2[t.starts][r, c] & _between_all((x3, x4, x1), (y3, y4, y1)) | flat2[t.ends][r, c] & _between_all((x3, x4, x2), (y3, y4, y2))
+            for p in ((x1, y1), (x2, y2)):
+                for q in ((x3, y3), (x4, y4)):
+                    meet |= (p[0] == q[0]) & (p[1] == q[1])
+            found += int(np.count_nonzero(meet))
+    return found
+
+
 def self_intersecting(points: DataFrame, tolerance: float = 1e-4) -> DataFrame:
-    """(id, edges, crossings): pairs of edges that are no neighbours and meet. Edges meet only if their y ranges overlap."""
+    """(id, edges, crossings): pairs of edges that are no neighbours and meet. Edges meet only if their y ranges overlap.
+
+    The edges of a polygon lie in rows of BLOCK_EDGES, and each two rows are tried by themselves, so that no row is made for a pair
+    and one large polygon is dealt over many tasks."""
     e = polygon_edges(points)
-    n = e.groupBy("id").agg(F.count("*").alias("edges"))
-    a, b = e.select([F.col(c).alias(f"a_{c}" if c != "id" else c) for c in e.columns]), e.select([F.col(c).alias(f"b_{c}" if c != "id" else c) for c in e.columns])
-    pairs = a.join(b, "id").join(n, "id").where("a_edge < b_edge and b_edge - a_edge > 1 and not (a_edge = 0 and b_edge = edges - 1)")
-    pairs = pairs.where("least(a_y1, a_y2) <= greatest(b_y1, b_y2) and greatest(a_y1, a_y2) >= least(b_y1, b_y2)")
-    c = F.col
-    kind = intersection_class((c("a_x1"), c("a_y1")), (c("a_x2"), c("a_y2")), (c("b_x1"), c("b_y1")), (c("b_x2"), c("b_y2")), tolerance)
-    met = pairs.where(kind != "NotIntersect").groupBy("id").agg(F.count("*").alias("crossings"))
+    ends = [F.col(k).cast("double").alias(k) for k in ("x1", "y1", "x2", "y2")]
+    rows = F.sort_array(F.collect_list(F.struct(F.col("edge").cast("int"), *ends)))
+    blocks = materialize(e.groupBy("id", F.floor(F.col("edge") / BLOCK_EDGES).cast("int").alias("block")).agg(rows.alias("rows")), "edges")
+    n = blocks.groupBy("id").agg(F.sum(F.size("rows").cast("long")).alias("edges"), F.max("block").alias("last"))
+    left = blocks.join(n, "id").select("id", "edges", F.col("block").alias("i"), F.explode(F.sequence("block", "last")).alias("j"), F.col("rows").alias("a"))
+    right = blocks.select("id", F.explode(F.sequence(F.lit(0), "block")).alias("i"), F.col("block").alias("j"), F.col("rows").alias("b"))
+
+    def edges_of(column: pa.ListArray) -> Iterator[_Edges]:
+        flat, at = column.flatten(), np.append(0, np.cumsum(column.value_lengths().to_numpy()))
+        first = flat.field(0).to_numpy()
+        gone = np.column_stack([flat.field(k).is_null().to_numpy(zero_copy_only=False) for k in range(1, 5)])
+        xy = [flat.field(k).to_numpy(zero_copy_only=False) for k in range(1, 5)]
+        for lo, hi in zip(at, at[1:], strict=False):
+            yield _Edges.of(int(first[lo]), *[v[lo:hi] for v in xy], gone[lo:hi] if gone[lo:hi].any() or not all(np.isfinite(v[lo:hi]).all() for v in xy) else None)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        with np.errstate(all="ignore"):
+            for b in batches:
+                met = [_meeting(x, y, k, tolerance) for x, y, k in zip(edges_of(b.column(2)), edges_of(b.column(3)), b.column(1).to_pylist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(met, pa.int64())], ["id", "met"])
+
+    id_type = points.schema["id"].dataType.simpleString()
+    met = left.join(right, ["id", "i", "j"]).select("id", "edges", "a", "b").mapInArrow(run, f"id {id_type}, met long").groupBy("id").agg(F.sum("met").alias("crossings"))
     return n.join(met, "id", "left").select("id", "edges", F.coalesce("crossings", F.lit(0)).alias("crossings"))
 
 

@@ -1,4 +1,6 @@
+import math
 import random
+import time
 
 import numpy as np
 import pytest
@@ -97,6 +99,28 @@ def test_closure_stops_at_cached_tiles(spark):
     assert tiles.required_closure(t, spark.createDataFrame([(1, 0, 0)], t.schema)).count() == 17
 
 
+def test_crossings_of_large_and_odd_polygons(spark, monkeypatch):
+    """A star of 4,001 edges, each of which crosses 1,998 others, within a minute; small blocks against the class of each pair."""
+    n, begin = 4001, time.monotonic()
+    star = [(0, k, 1e6 * math.cos(2000 * math.pi * k / n), 1e6 * math.sin(2000 * math.pi * k / n)) for k in range(n)]
+    schema = "id int, ord int, x double, y double"
+    assert [tuple(r) for r in geometry.self_intersecting(spark.createDataFrame(star, schema)).collect()] == [(0, n, n * 999)]
+    assert time.monotonic() - begin < 60
+    monkeypatch.setattr(geometry, "BLOCK_EDGES", 7)
+    monkeypatch.setattr(geometry, "TILE_EDGES", 3)
+    rng = random.Random(4)
+    rows = [(i, k, float(rng.randrange(5)), float(rng.randrange(5))) for i in range(8) for k in range((1, 2, 3, 4, 20, 40, 50, 60)[i])]
+    rows += [(8, k, None if k % 7 == 3 else float(rng.randrange(5)), None if k % 5 == 2 else float(rng.randrange(5))) for k in range(40)] + [(None, k, float(k % 3), float(k % 2)) for k in range(9)]
+    points = spark.createDataFrame(rows, schema)
+    e = geometry.polygon_edges(points)
+    a, b = (e.select("id", *[F.col(c).alias(p + c) for c in e.columns[1:]]) for p in "ab")
+    kind = geometry.intersection_class(*[(F.col(p + "x" + k), F.col(p + "y" + k)) for p in "ab" for k in "12"])
+    pairs = a.join(b, "id").where("aedge < bedge - 1 and least(ay1, ay2) <= greatest(by1, by2) and greatest(ay1, ay2) >= least(by1, by2)").select("id", "aedge", "bedge", kind.alias("kind")).collect()
+    edges = {r.id: r["count"] for r in e.groupBy("id").count().collect()}
+    want = {i: (k, sum(r.id == i and r.kind != "NotIntersect" and not (r.aedge == 0 and r.bedge == k - 1) for r in pairs)) for i, k in edges.items()}
+    assert {r.id: (r.edges, r.crossings) for r in geometry.self_intersecting(points).collect()} == want and want[None][1] == 0 < want[8][1]
+
+
 def test_segment_rounding(spark):
     p = [(F.lit(x), F.lit(y)) for x, y in ((69.06, 48.87), (95.6, 57.5), (88.965, 55.3425), (27.5, 11.04))]
     r = spark.range(1).select(geometry.intersection_class(*p).alias("a"), geometry.intersection_point(*p)[0].alias("b")).first()
