@@ -6,6 +6,7 @@ import zlib
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from reliefspark.llm import ann, common, exact_dedup, license_scan, lm, packed, packing, piece_bpe, quality, simhash, substring_dedup, warc
 
@@ -542,6 +543,37 @@ def test_quality_held_out(spark):
     assert quality.keep_quality(table(spark, docs), lab).columns == table(spark, []).columns
 
 
+def test_every_pair_has_its_loss():
+    rng = np.random.default_rng(3)
+    y, s = (rng.random(300) < 0.7).astype(np.int64), rng.normal(0, 3, 300)
+    d = s[y == 1][:, None] - s[y == 0]
+    loss, slopes = quality._pair_loss(quality._histogram(y, s))
+    k, share = quality._places(s)
+    k = k + y * (len(slopes) // 2)
+    got = slopes[k] * (1 - share / quality.PARTS) + slopes[k + 1] * share / quality.PARTS
+    want = np.zeros(300)
+    wrong = 1 / (1 + np.exp(d)) / d.size
+    want[y == 1], want[y == 0] = -wrong.sum(axis=1), wrong.sum(axis=0)
+    assert abs(loss - np.logaddexp(0, -d).mean()) < 1e-3 and np.abs(got - want).max() < 1e-3 * np.abs(want).max()
+
+
+def test_every_label_counts(spark, monkeypatch):
+    """The only rejected documents come after 10,000 others by hash of doc_id; a table of features gives what the driver's rows give."""
+    ids = [r.id for r in spark.range(13500).where(~quality.held_out(F.col("id"))).orderBy(F.xxhash64("id"), "id").collect()]
+    assert len(ids) > 10_100
+    rng = random.Random(5)
+    junk = set(ids[-40:])
+    docs = [(i, "!!! $$$ ### " * 4 if i in junk else prose(rng, 4)) for i in ids] + [(20000, "### !!! " * 6), (20001, prose(rng, 4))]
+    lab = spark.createDataFrame([(i, int(i not in junk)) for i in ids], "doc_id long, quality int")
+    got = {r.doc_id: r.score for r in quality.quality_scores(table(spark, docs), lab).collect()}
+    assert got[20000] < 0.3 < got[20001] and len(quality.keep_quality(table(spark, docs), lab).where("doc_id < 20000").collect()) == len(ids) - 40
+    some, lab = table(spark, docs[-300:]), lab.where(F.col("doc_id").isin(ids[-300:]))
+    few = [(r.doc_id, r.score, r.above_quantile) for r in quality.quality_scores(some, lab).orderBy("doc_id").collect()]
+    monkeypatch.setattr(quality, "DRIVER_ROWS", 0)
+    for r, (i, score, above) in zip(quality.quality_scores(some, lab).orderBy("doc_id").collect(), few, strict=True):
+        assert r.doc_id == i and abs(r.score - score) < 1e-9 and r.above_quantile == above
+
+
 # --- 8 substring dedup ---
 
 
